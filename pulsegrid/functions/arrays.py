@@ -4,6 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression used inside a lambda is otherwise evaluated anew for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(x: Column) -> Column:
     return x.cast("array<double>")
 
@@ -29,17 +37,15 @@ def mean_abs(x: Column) -> Column:
 
 
 def pop_std(x: Column) -> Column:
-    """Population standard deviation, two-pass over one pair of running values."""
-    m = mean(x)
-    return F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m))))
+    """Population standard deviation by the two-pass formula."""
+    return let(mean(x), lambda m: F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m)))))
 
 
 def diff(x: Column) -> Column:
     """First difference, one element shorter than the input."""
-    n = F.size(x)
-    return F.zip_with(
-        F.slice(x, F.lit(2), n - 1), F.slice(x, F.lit(1), n - 1), lambda a, b: a - b
-    )
+    return let(x, lambda v: F.zip_with(
+        F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1), lambda a, b: a - b
+    ))
 
 
 def zone(x: Column, lo: int, hi: int) -> Column:
@@ -50,25 +56,29 @@ def zone(x: Column, lo: int, hi: int) -> Column:
 
 def argmax(x: Column) -> Column:
     """0-based index of the first largest element."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+    return let(x, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def argmin(x: Column) -> Column:
-    return (F.array_position(x, F.array_min(x)) - 1).cast("int")
+    return let(x, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
 
 
 def resample(x: Column, points: int) -> Column:
     """Linear resampling to ``points`` values on the normalised axis [0, 1]."""
-    m = F.size(x)
+    def on(v):
+        m = F.size(v)
 
-    def at(k):
-        pos = k * (m - 1) / F.lit(float(max(points - 1, 1)))
-        left = F.least(F.floor(pos).cast("int"), m - 1)
-        right = F.least(left + 1, m - 1)
-        a, b = F.get(x, left), F.get(x, right)
-        return a + (b - a) * (pos - left)
+        def at(k):
+            def lerp(pos):
+                left = F.least(F.floor(pos).cast("int"), m - 1)
+                a, b = F.get(v, left), F.get(v, F.least(left + 1, m - 1))
+                return a + (b - a) * (pos - left)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+            return let(k * (m - 1) / F.lit(float(max(points - 1, 1))), lerp)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+
+    return let(x, on)
 
 
 def patches(x: Column, width: int, stride: int) -> Column:
@@ -85,10 +95,10 @@ def moving_average(x: Column, kernel: int = 25) -> Column:
     padded = F.concat(
         F.array_repeat(F.get(x, F.lit(0)), pad), x, F.array_repeat(F.element_at(x, -1), pad)
     )
-    return F.transform(
-        F.sequence(F.lit(1), F.size(x)),
-        lambda i: total(F.slice(padded, i, F.lit(kernel))) / F.lit(float(kernel)),
-    )
+    return let(padded, lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(p) - 2 * pad),
+        lambda i: total(F.slice(p, i, F.lit(kernel))) / F.lit(float(kernel)),
+    ))
 
 
 def average_pool(x: Column, width: int = 2) -> Column:
@@ -105,21 +115,25 @@ def average_pool(x: Column, width: int = 2) -> Column:
 
 def instance_norm(x: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / (sample std + eps) within one series."""
-    m = mean(x)
-    sd = F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / (F.size(x) - 1))
-    return F.transform(x, lambda v: (v - m) / (sd + F.lit(eps)))
+    def scaled(m):
+        ss = total(F.transform(x, lambda v: (v - m) * (v - m)))
+        return let(F.sqrt(ss / (F.size(x) - 1)) + F.lit(eps),
+                   lambda sd: F.transform(x, lambda v: (v - m) / sd))
+
+    return let(mean(x), scaled)
 
 
 def lead_summary(b0: Column, b1: Column) -> Column:
     """14 values: seven summaries of the lead difference, then of the lead sum."""
 
-    def seven(a):
-        hi, lo = F.array_max(a), F.array_min(a)
-        return [mean(a), pop_std(a), mean_abs(a), hi, lo, hi - lo, mean_square(diff(a))]
+    def seven(x):
+        return let(x, lambda a: F.array(
+            mean(a), pop_std(a), mean_abs(a), F.array_max(a), F.array_min(a),
+            F.array_max(a) - F.array_min(a), mean_square(diff(a))))
 
     minus = F.zip_with(b0, b1, lambda x, y: x - y)
     plus = F.zip_with(b0, b1, lambda x, y: x + y)
-    return F.array(*seven(minus), *seven(plus))
+    return F.concat(seven(minus), seven(plus))
 
 
 def flat_leads(b0: Column, b1: Column) -> Column:

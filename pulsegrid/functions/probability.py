@@ -12,16 +12,18 @@ LOG_FLOOR = 1e-8
 
 def normalise(p: Column) -> Column:
     clipped = F.transform(p, lambda x: F.greatest(x, F.lit(EPS)))
-    s = F.greatest(A.total(clipped), F.lit(EPS))
-    return F.transform(clipped, lambda x: x / s)
+    return A.let(clipped, _divide_by_total)
+
+
+def _divide_by_total(v: Column) -> Column:
+    return A.let(F.greatest(A.total(v), F.lit(EPS)), lambda s: F.transform(v, lambda x: x / s))
 
 
 def power_calibrate(p: Column, power) -> Column:
     """Normalise, raise to ``power`` and normalise again; power 1 only normalises."""
     if isinstance(power, Column):
-        base = normalise(p)
-        raised = normalise(F.transform(base, lambda x: F.pow(x, power)))
-        return F.when(F.abs(power - 1.0) < EPS, base).otherwise(raised)
+        return A.let(normalise(p), lambda base: F.when(F.abs(power - 1.0) < EPS, base).otherwise(
+            normalise(F.transform(base, lambda x: F.pow(x, power)))))
     base = normalise(p)
     if abs(float(power) - 1.0) < EPS:
         return base
@@ -35,14 +37,14 @@ def align(by_class: Column) -> Column:
         lambda c: F.coalesce(F.element_at(by_class, c), F.lit(0.0)),
     )
     uniform = F.array(*[F.lit(1.0 / N_CLASSES)] * N_CLASSES)
-    return normalise(F.when(A.total(raw) <= 0, uniform).otherwise(raw))
+    return normalise(A.let(raw, lambda r: F.when(A.total(r) <= 0, uniform).otherwise(r)))
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    s = F.greatest(A.total(e), F.lit(EPS))
-    return F.transform(e, lambda x: x / s)
+    def shifted(v):
+        return A.let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+    return A.let(A.let(scores, shifted), _divide_by_total)
 
 
 def align_scores(by_class: Column) -> Column:
@@ -65,8 +67,7 @@ def near_one_hot(label: Column, background: float = 1e-6) -> Column:
         F.sequence(F.lit(0), F.lit(N_CLASSES - 1)),
         lambda c: F.when(c == label, F.lit(1.0)).otherwise(F.lit(background)),
     )
-    s = A.total(row)
-    return F.transform(row, lambda x: x / s)
+    return A.let(row, _divide_by_total)
 
 
 def safe_log(p: Column) -> Column:
@@ -87,13 +88,17 @@ def boundary_scores(log_b, log_e, bias, alpha, tau, eta) -> Column:
     """Fused scores plus bias, pushed along the evidence where the top two are close."""
     alpha, tau, eta = [v if isinstance(v, Column) else F.lit(float(v)) for v in (alpha, tau, eta)]
     scores = F.zip_with(fuse_logs(log_b, log_e, alpha), bias, lambda x, b: x + b)
-    ranked = F.sort_array(scores, asc=False)
-    margin = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
-    weight = F.when(
-        eta > 0, eta * F.exp(-margin / F.greatest(tau, F.lit(1e-6)))
-    ).otherwise(F.lit(0.0))
-    centre = A.mean(log_e)
-    return F.zip_with(scores, log_e, lambda s, e: s + weight * (e - centre))
+
+    def push(v):
+        ranked = F.sort_array(v, asc=False)
+        margin = F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
+        weight = F.when(
+            eta > 0, eta * F.exp(-margin / F.greatest(tau, F.lit(1e-6)))
+        ).otherwise(F.lit(0.0))
+        return A.let(F.struct(weight.alias("w"), A.mean(log_e).alias("c")), lambda k: F.zip_with(
+            v, log_e, lambda s, e: s + k["w"] * (e - k["c"])))
+
+    return A.let(scores, push)
 
 
 def decision_scores(p: Column, power, multiplier: Column) -> Column:

@@ -29,29 +29,32 @@ def _safe(c: Column, x: Column) -> Column:
 def shape_descriptors(x: Column, center=PRE_SAMPLES, qrs=QRS, st=ST) -> Column:
     """26 descriptors of one window as built-in array expressions."""
     c = center
-    left, right = A.zone(x, 0, c), F.slice(x, c + 1, F.greatest(F.size(x) - c, F.lit(0)))
-    q, s = A.zone(x, c + qrs[0], c + qrs[1]), A.zone(x, c + st[0], c + st[1])
-    dx = A.diff(x)
-    hi, lo = F.array_max(x), F.array_min(x)
-    dhi, dlo = F.array_max(dx), F.array_min(dx)
-    q_abs = F.transform(q, lambda v: F.abs(v))
-    q_max = F.array_max(q_abs) + F.lit(EPS)
-    negative = F.transform(x, lambda v: F.when(v < 0, 1.0).otherwise(0.0))
-    changes = A.mean(F.transform(A.diff(negative), lambda v: F.abs(v)))
-
-    def share(level):
-        return A.mean(F.transform(q_abs, lambda v: F.when(v > level * q_max, 1.0).otherwise(0.0)))
-
-    left_e, right_e = A.mean_square(left), A.mean_square(right)
-    return F.array(
-        hi, lo, hi - lo,
-        (A.argmax(x) - c).cast("double"), (A.argmin(x) - c).cast("double"),
-        A.mean(x), A.pop_std(x), A.mean_abs(x),
-        A.mean(q), A.pop_std(q), A.mean_square(q), A.mean_square(x), left_e, right_e,
-        left_e / (right_e + F.lit(EPS)),
-        dhi, dlo, dhi - dlo, A.mean_square(dx), changes, share(0.3), share(0.5),
-        _safe(A.mean(s), s), _safe(A.pop_std(s), s), A.total(q), A.total(q_abs),
-    )
+    parts = F.struct(
+        x.alias("x"), A.zone(x, 0, c).alias("left"), F.slice(x, c + 1, F.greatest(F.size(x) - c, F.lit(0))).alias("right"),
+        A.zone(x, c + qrs[0], c + qrs[1]).alias("q"), A.zone(x, c + st[0], c + st[1]).alias("s"), A.diff(x).alias("dx"))
+
+    def describe(p):
+        x, q, s, dx = p["x"], p["q"], p["s"], p["dx"]
+        negative = F.transform(x, lambda v: F.when(v < 0, 1.0).otherwise(0.0))
+        changes = A.mean(F.transform(A.diff(negative), lambda v: F.abs(v)))
+
+        def share(level):
+            return A.let(level * (F.array_max(F.transform(q, lambda v: F.abs(v))) + F.lit(EPS)), lambda edge: A.mean(
+                F.transform(q, lambda v: F.when(F.abs(v) > edge, 1.0).otherwise(0.0))))
+
+        hi, lo, dhi, dlo = F.array_max(x), F.array_min(x), F.array_max(dx), F.array_min(dx)
+        left_e, right_e = A.mean_square(p["left"]), A.mean_square(p["right"])
+        return F.array(
+            hi, lo, hi - lo,
+            (A.argmax(x) - c).cast("double"), (A.argmin(x) - c).cast("double"),
+            A.mean(x), A.pop_std(x), A.mean_abs(x),
+            A.mean(q), A.pop_std(q), A.mean_square(q), A.mean_square(x), left_e, right_e,
+            left_e / (right_e + F.lit(EPS)),
+            dhi, dlo, dhi - dlo, A.mean_square(dx), changes, share(0.3), share(0.5),
+            _safe(A.mean(s), s), _safe(A.pop_std(s), s), A.total(q), A.total(F.transform(q, lambda v: F.abs(v))),
+        )
+
+    return A.let(parts, describe)
 
 
 def _batch_descriptors(x, c, qrs, st):

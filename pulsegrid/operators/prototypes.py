@@ -42,26 +42,24 @@ def class_means(fit: DataFrame, keys=(), leads=("b0", "b1"), y="y") -> DataFrame
 
 
 def packed_prototypes(protos: DataFrame, keys=()) -> DataFrame:
-    """One row per key: ``p0``/``p1`` are arrays of five class vectors."""
+    """One row per key: five class vectors per lead (``p0``, ``p1``) and their squared norms."""
     def lead(i):
         rows = F.sort_array(F.collect_list(F.when(F.col("lead") == i, F.struct("cls", "proto"))))
         return F.transform(rows, lambda r: r["proto"])
-    return protos.groupBy(*keys).agg(lead(0).alias("p0"), lead(1).alias("p1"))
+    packed = protos.groupBy(*keys).agg(lead(0).alias("p0"), lead(1).alias("p1"))
+    return packed.select("*", *[F.transform(f"p{i}", lambda p: A.dot(p, p)).alias(f"q{i}") for i in (0, 1)])
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(A.dot(v, v))
+def _lead(b: Column, protos: Column, squares: Column) -> Column:
+    """Struct of cosines ``c`` and mean squared distances ``d`` to the five class vectors."""
 
+    def of(k):
+        return F.struct(
+            F.zip_with(k["dots"], squares, lambda d, s: d / ((F.sqrt(k["sq"]) + F.lit(EPS)) * (F.sqrt(s) + F.lit(EPS)))).alias("c"),
+            F.zip_with(k["dots"], squares, lambda d, s: F.greatest(k["sq"] + s - 2.0 * d, F.lit(0.0)) / k["n"]).alias("d"))
 
-def _lead(b: Column, protos: Column, squares: Column):
-    """Cosine and mean squared distance of one window to the five class vectors."""
-    b_sq = A.dot(b, b)
-    dots = F.transform(protos, lambda p: A.dot(b, p))
-    cos = F.zip_with(
-        dots, squares, lambda d, s: d / ((F.sqrt(b_sq) + F.lit(EPS)) * (F.sqrt(s) + F.lit(EPS))))
-    dist = F.zip_with(
-        dots, squares, lambda d, s: F.greatest(b_sq + s - 2.0 * d, F.lit(0.0)) / F.size(b))
-    return cos, dist
+    return A.let(F.struct(
+        A.dot(b, b).alias("sq"), F.transform(protos, lambda p: A.dot(b, p)).alias("dots"), F.size(b).alias("n")), of)
 
 
 def prototype_features(beats: DataFrame, packed: DataFrame, keys=(), name="proto_x") -> DataFrame:
@@ -73,20 +71,18 @@ def prototype_features(beats: DataFrame, packed: DataFrame, keys=(), name="proto
     side = F.broadcast(packed)
     out = beats.join(side, list(keys)) if keys else beats.crossJoin(side)
     for i in (0, 1):
-        out = out.withColumn(f"_q{i}", F.transform(f"p{i}", lambda p: A.dot(p, p)))
-        cos, dist = _lead(F.col(f"b{i}").cast("array<double>"), F.col(f"p{i}"), F.col(f"_q{i}"))
-        out = out.withColumn(f"_c{i}", cos).withColumn(f"_d{i}", dist)
+        out = out.withColumn(f"_m{i}", _lead(F.col(f"b{i}").cast("array<double>"), F.col(f"p{i}"), F.col(f"q{i}")))
     margins = []
     for i in (0, 1):
-        c = F.col(f"_c{i}")
+        c = F.col(f"_m{i}.c")
         margins += [c[S] - c[N], c[F_] - c[N], c[F_] - c[V]]
     for i in (0, 1):
-        d = F.col(f"_d{i}")
+        d = F.col(f"_m{i}.d")
         margins += [d[N] - d[S], d[N] - d[F_], d[V] - d[F_]]
     full = F.concat(
-        F.col("_c0"), F.col("_c1"),
-        F.transform("_d0", F.log1p), F.transform("_d1", F.log1p), F.array(*margins))
-    return out.withColumn(name, full).drop("p0", "p1", "_q0", "_q1", "_c0", "_c1", "_d0", "_d1")
+        F.col("_m0.c"), F.col("_m1.c"),
+        F.transform("_m0.d", lambda v: F.log1p(v)), F.transform("_m1.d", lambda v: F.log1p(v)), F.array(*margins))
+    return out.withColumn(name, full).drop("p0", "p1", "q0", "q1", "_m0", "_m1")
 
 
 def evidence_features(assigned: DataFrame, keys=(), base="x", name="x_ev") -> DataFrame:
@@ -110,6 +106,10 @@ def feature_set(df: DataFrame, kind: str, evidence="x_ev", name="features") -> D
     return df.withColumn(name, choices[kind]())
 
 
+def _standard(x, m, sd):
+    return F.transform(x, lambda v: (v - m) / sd)
+
+
 def normalise_from_fit(assigned: DataFrame, leads=("b0", "b1"), keys=(), eps=1e-6) -> DataFrame:
     """(x - mean) / (std + eps) per lead, mean and std over rows and time of the fit part."""
     aggs = []
@@ -127,5 +127,5 @@ def normalise_from_fit(assigned: DataFrame, leads=("b0", "b1"), keys=(), eps=1e-
     out = assigned.join(side, list(keys)) if keys else assigned.crossJoin(side)
     for b in leads:
         m, sd = F.col(f"_m_{b}"), F.col(f"_sd_{b}")
-        out = out.withColumn(b, F.transform(F.col(b).cast("array<double>"), lambda v, m=m, sd=sd: (v - m) / sd))
+        out = out.withColumn(b, _standard(F.col(b).cast("array<double>"), m, sd))
     return out.select(*assigned.columns)

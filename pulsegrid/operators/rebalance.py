@@ -117,9 +117,13 @@ def jitter_mask(df: DataFrame, seed, epoch, row_id="beat_id", leads=("b0", "b1")
     df = df.withColumn("_on", uniform(seed, epoch, rid, "m") < share).withColumn(
         "_w", width).withColumn("_s", start)
     for lead in leads:
-        def one(x, i, lead=lead):
-            inside = F.col("_on") & (i >= F.col("_s")) & (i < F.col("_s") + F.col("_w"))
-            return F.when(inside, F.lit(0.0)).otherwise(
-                x + F.lit(float(noise)) * normal(seed, epoch, rid, lead, i))
-        df = df.withColumn(lead, F.transform(F.col(lead).cast("array<double>"), one))
+        df = df.withColumn(lead, _masked_noise(F.col(lead).cast("array<double>"), lead, seed, epoch, rid, noise))
     return df.drop("_on", "_w", "_s")
+
+
+def _masked_noise(x, lead, seed, epoch, rid, noise):
+    def one(v, i):
+        inside = F.col("_on") & (i >= F.col("_s")) & (i < F.col("_s") + F.col("_w"))
+        return F.when(inside, F.lit(0.0)).otherwise(v + F.lit(float(noise)) * normal(seed, epoch, rid, lead, i))
+
+    return F.transform(x, one)

@@ -43,7 +43,7 @@ def _drawn_counts(per_record, record, quota, seed, lo, hi):
     """Class counts of the drawn records for candidates lo..hi-1 (each a seeded draw)."""
     spark = per_record.sparkSession
     cands = spark.range(lo, hi).withColumnRenamed("id", "cand")
-    rows = per_record.withColumn("cand", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).cast("long"))
+    rows = per_record.withColumn("cand", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))))
     drawn = take_lowest(rows, ["cand"], cands.withColumn("quota", F.lit(quota)), seed, ["cand", record])
     return drawn.where("selected").groupBy("cand").agg(*[F.sum(c).alias(c) for c in COUNTS])
 

@@ -129,8 +129,7 @@ def weighted_rows(rows: DataFrame, mode: str, keys=(), y="y", name="weight") ->
 def prior_bias(strength, prefix="count_") -> Column:
     """strength * log(uniform / prior), centred; counts are raised by one."""
     raised = F.array(*[F.col(prefix + c) + F.lit(1.0) for c in CLASS_NAMES])
-    total = A.total(raised)
     s = strength if isinstance(strength, Column) else F.lit(float(strength))
-    bias = F.transform(raised, lambda c: s * F.log(F.lit(1.0 / N_CLASSES) / (c / total)))
-    centre = A.mean(bias)
-    return F.transform(bias, lambda b: b - centre)
+    bias = A.let(A.total(raised), lambda total: F.transform(
+        raised, lambda c: s * F.log(F.lit(1.0 / N_CLASSES) / (c / total))))
+    return A.let(bias, lambda v: A.let(A.mean(v), lambda m: F.transform(v, lambda b: b - m)))

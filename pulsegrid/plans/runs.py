@@ -76,11 +76,9 @@ def score_runs(probs: DataFrame, fit: DataFrame, keys=RUN, fit_keys=("dataset",
     validation rows only; the chosen policy is applied to the test rows.
     """
     keys, fit_keys = list(keys), list(fit_keys)
-    fits = fit.join(F.broadcast(probs.select(*keys).distinct()), fit_keys)
-    counts = pin(class_counts(fits, keys))
-    labels = counts.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("y"), F.col(f"count_{c}").alias("n")) for i, c in enumerate(CLASS_NAMES)
-    ])).alias("c")).select(*keys, "c.*")
+    runs = probs.select(*keys).distinct()
+    counts = pin(runs.join(class_counts(fit, fit_keys), fit_keys).select(
+        *keys, *[f"count_{c}" for c in CLASS_NAMES]))
     policies = counts.select(*keys, decoders.decoder_structs(prior_ratio()).alias("decoders"))
     grid = pin(selection.adapter_grid(probs.where("role = 'val'"), policies, keys))
     chosen = pin(selection.select_adapter(grid, policies, keys))
@@ -97,11 +95,11 @@ def score_runs(probs: DataFrame, fit: DataFrame, keys=RUN, fit_keys=("dataset",
     policy = chosen.select(
         *keys, F.col("alpha").alias("selected_alpha"), F.col("decoder").alias("selected_decoder"),
         F.col("power").alias("selected_power"), F.to_json("multiplier").alias("selected_multiplier"))
-    sizes = labels.groupBy(*keys).agg(F.sum("n").alias("train_size"))
+    total = sum((F.col(f"count_{c}") for c in CLASS_NAMES[1:]), F.col("count_N"))
     top = selection.top_candidates(grid, keys).select(*keys, F.to_json("candidates").alias("validation_table"))
-    texts = counts.select(*keys, F.to_json(counts_map()).alias("train_counts"))
+    texts = counts.select(*keys, total.alias("train_size"), F.to_json(counts_map()).alias("train_counts"))
     out = detail
-    for side in (policy, sizes, top, texts):
+    for side in (policy, top, texts):
         out = out.join(side, keys)
     return out
 
