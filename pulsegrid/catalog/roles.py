@@ -20,9 +20,9 @@ def table(spark, sf, name) -> DataFrame:
 
 def rounded(df: DataFrame, digits=6) -> DataFrame:
     """Doubles rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
-    return df.select(*[
-        (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {digits}) + 0.0D as `{f.name}`"
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f"`{f.name}`"
         for f in df.schema.fields])
 
 

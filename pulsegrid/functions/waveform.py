@@ -81,25 +81,79 @@ def _batch_descriptors(x, c, qrs, st):
     return np.stack(cols, axis=1).astype(np.float64)
 
 
+def _by_length(vec: pd.Series):
+    """(row positions, matrix) per window length of a batch; one rate gives one length."""
+    sizes = vec.map(len).to_numpy()
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, np.stack(vec.to_numpy()[at]).astype(np.float64)
+
+
+def _lerp_rows(x: np.ndarray, points: int) -> np.ndarray:
+    pos = np.arange(points) * (x.shape[1] - 1) / max(points - 1, 1)
+    left = np.minimum(np.floor(pos).astype(int), x.shape[1] - 1)
+    right = np.minimum(left + 1, x.shape[1] - 1)
+    return x[:, left] + (x[:, right] - x[:, left]) * (pos - left)
+
+
+def resample_batch(points: int):
+    """Arrow-batched linear resampling, for long windows."""
+
+    @F.pandas_udf("array<double>")
+    def run(vec: pd.Series) -> pd.Series:
+        out = np.empty(len(vec), dtype=object)
+        for at, x in _by_length(vec):
+            for i, row in zip(at, _lerp_rows(x, points)):
+                out[i] = row
+        return pd.Series(out)
+
+    return run
+
+
 def shape_descriptors_batch(center=PRE_SAMPLES, qrs=QRS, st=ST):
     """Arrow-batched form for long windows, where array expressions are interpreted per value."""
 
     @F.pandas_udf("array<double>")
     def run(vec: pd.Series) -> pd.Series:
-        if len(vec) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack(vec.to_numpy()).astype(np.float64)
-        return pd.Series(list(_batch_descriptors(x, center, qrs, st)))
+        out = np.empty(len(vec), dtype=object)
+        for at, x in _by_length(vec):
+            for i, row in zip(at, _batch_descriptors(x, center, qrs, st)):
+                out[i] = row
+        return pd.Series(out)
+
+    return run
+
+
+def _batch_wave(center, wave_points, slope_points):
+    """Everything of the base row but the intervals, in one pass over both windows."""
+
+    @F.pandas_udf("array<double>")
+    def run(b0: pd.Series, b1: pd.Series) -> pd.Series:
+        out = np.empty(len(b0), dtype=object)
+        for at, x in _by_length(b0):
+            z = np.stack(b1.to_numpy()[at]).astype(np.float64)
+            m0, m1 = (_batch_descriptors(w, center, QRS, ST) for w in (x, z))
+            full = np.concatenate([
+                m0, m1, m0 - m1, _lerp_rows(x, wave_points), _lerp_rows(z, wave_points),
+                _lerp_rows(np.diff(x, axis=1), slope_points), _lerp_rows(np.diff(z, axis=1), slope_points)], axis=1)
+            for i, row in zip(at, full):
+                out[i] = row
+        return pd.Series(out)
 
     return run
 
 
 def base_features(beats: DataFrame, rr="rr", center=PRE_SAMPLES, name="x", batched=True,
                   wave_points=80, slope_points=40) -> DataFrame:
-    """Interval + shape (lead 0, lead 1, difference) + resampled wave and slope of both leads."""
-    describe = shape_descriptors_batch(center) if batched else (lambda v: shape_descriptors(v, center))
+    """Interval + shape (lead 0, lead 1, difference) + resampled wave and slope of both leads.
+
+    ``batched`` computes the window part in Arrow batches; the other form is all built-ins.
+    """
+    if batched:
+        wave = _batch_wave(center, wave_points, slope_points)
+        return beats.withColumn(name, F.concat(F.col(rr), wave("b0", "b1")))
     b0, b1 = F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>")
-    rows = beats.withColumn("_m0", describe(b0)).withColumn("_m1", describe(b1))
+    rows = beats.withColumn("_m0", shape_descriptors(b0, center)).withColumn("_m1", shape_descriptors(b1, center))
     gap = F.zip_with("_m0", "_m1", lambda p, q: p - q)
     full = F.concat(
         F.col(rr), F.col("_m0"), F.col("_m1"), gap,

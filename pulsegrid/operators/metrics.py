@@ -12,6 +12,17 @@ def cell(i, j):
     return f"c{i}{j}"
 
 
+# The wide expressions below are SQL text: one parse instead of hundreds of Column calls.
+
+def _total(names):
+    return "(" + " + ".join(names) + ")"
+
+
+ROW = [_total(cell(i, j) for j in range(N_CLASSES)) for i in range(N_CLASSES)]
+COL = [_total(cell(i, j) for i in range(N_CLASSES)) for j in range(N_CLASSES)]
+GRID = [(i, j) for i in range(N_CLASSES) for j in range(N_CLASSES)]
+
+
 def confusion_counts(df: DataFrame, keys, y="y", pred="pred") -> DataFrame:
     """One row per key with 25 cell columns; zero cells are kept.
 
@@ -26,100 +37,69 @@ def confusion_counts(df: DataFrame, keys, y="y", pred="pred") -> DataFrame:
 
 def widen_counts(counts: DataFrame, keys, y="y", pred="pred", n="n") -> DataFrame:
     cells = [
-        F.coalesce(
-            F.sum(F.when((F.col(y) == i) & (F.col(pred) == j), F.col(n))), F.lit(0)
-        ).cast("long").alias(cell(i, j))
-        for i in range(N_CLASSES) for j in range(N_CLASSES)
+        F.expr(f"cast(coalesce(sum({n}) filter (where {y} = {i} and {pred} = {j}), 0) as bigint) as {cell(i, j)}")
+        for i, j in GRID
     ]
     return counts.groupBy(*keys).agg(*cells)
 
 
 def confusion_long(wide: DataFrame, keys) -> DataFrame:
     """25 rows (y, pred, n) per key."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("y"), F.lit(j).alias("pred"), F.col(cell(i, j)).alias("n"))
-        for i in range(N_CLASSES) for j in range(N_CLASSES)
-    ])
-    return wide.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
-
-
-def _row(i):
-    return sum((F.col(cell(i, j)) for j in range(1, N_CLASSES)), F.col(cell(i, 0)))
+    cells = ", ".join(f"named_struct('y', {i}, 'pred', {j}, 'n', {cell(i, j)})" for i, j in GRID)
+    return wide.select(*keys, F.expr(f"inline(array({cells}))"))
 
 
-def _col(j):
-    return sum((F.col(cell(i, j)) for i in range(1, N_CLASSES)), F.col(cell(0, j)))
-
-
-def metric_row(wide: DataFrame, keys, prefix="", extra=()) -> DataFrame:
+def metric_row(wide: DataFrame, keys, prefix="") -> DataFrame:
     """Accuracy, Se/Pr/F1 per class and the three macro means; absent classes count as ~0."""
-    se = [F.col(cell(c, c)) / (_row(c) + F.lit(EPS)) for c in range(N_CLASSES)]
-    pr = [F.col(cell(c, c)) / (_col(c) + F.lit(EPS)) for c in range(N_CLASSES)]
-    n = sum((_row(c) for c in range(1, N_CLASSES)), _row(0))
-    hits = sum((F.col(cell(c, c)) for c in range(1, N_CLASSES)), F.col(cell(0, 0)))
-    base = wide.select(
-        *keys, *extra,
-        (hits / n).alias("_acc"),
-        *[e.alias(f"_se{c}") for c, e in enumerate(se)],
-        *[e.alias(f"_pr{c}") for c, e in enumerate(pr)],
-        *[_row(c).alias(f"support_{CLASS_NAMES[c]}") for c in range(N_CLASSES)],
-        *[_col(c).alias(f"predicted_{CLASS_NAMES[c]}") for c in range(N_CLASSES)],
-    )
-    f1 = [
-        2 * F.col(f"_se{c}") * F.col(f"_pr{c}") / (F.col(f"_se{c}") + F.col(f"_pr{c}") + F.lit(EPS))
-        for c in range(N_CLASSES)
-    ]
-    base = base.select("*", *[e.alias(f"_f{c}") for c, e in enumerate(f1)])
-
-    def macro(k):
-        return sum((F.col(f"_f{c}") for c in range(1, k)), F.col("_f0")) / k
-
-    named = [F.col("_acc").alias(prefix + "accuracy"),
-             macro(5).alias(prefix + "macro_f1_5"),
-             macro(4).alias(prefix + "macro_f1_4"),
-             macro(3).alias(prefix + "macro_f1_3_nsv")]
+    keys = list(keys)
+    hits, n = _total(cell(c, c) for c in range(N_CLASSES)), _total(ROW)
+    base = wide.selectExpr(
+        *keys, f"{hits} / {n} as _acc",
+        *[f"{cell(c, c)} / ({ROW[c]} + {EPS}D) as _se{c}" for c in range(N_CLASSES)],
+        *[f"{cell(c, c)} / ({COL[c]} + {EPS}D) as _pr{c}" for c in range(N_CLASSES)],
+        *[f"{ROW[c]} as {prefix}support_{x}" for c, x in enumerate(CLASS_NAMES)],
+        *[f"{COL[c]} as {prefix}predicted_{x}" for c, x in enumerate(CLASS_NAMES)],
+    ).selectExpr("*", *[
+        f"2 * _se{c} * _pr{c} / (_se{c} + _pr{c} + {EPS}D) as _f{c}" for c in range(N_CLASSES)])
+    named = [f"_acc as {prefix}accuracy"]
+    for k, name in ((5, "macro_f1_5"), (4, "macro_f1_4"), (3, "macro_f1_3_nsv")):
+        named.append(f"{_total(f'_f{c}' for c in range(k))} / {k} as {prefix}{name}")
     for m, src in (("Se", "_se"), ("Pr", "_pr"), ("F1", "_f")):
-        named += [F.col(f"{src}{c}").alias(f"{prefix}{m}_{n_}") for c, n_ in enumerate(CLASS_NAMES)]
-    return base.select(
-        *keys, *extra, *named,
-        *[F.col(f"support_{c}").alias(f"{prefix}support_{c}") for c in CLASS_NAMES],
-        *[F.col(f"predicted_{c}").alias(f"{prefix}predicted_{c}") for c in CLASS_NAMES],
-    )
+        named += [f"{src}{c} as {prefix}{m}_{x}" for c, x in enumerate(CLASS_NAMES)]
+    named += [f"{prefix}{k}_{x}" for k in ("support", "predicted") for x in CLASS_NAMES]
+    return base.selectExpr(*keys, *named)
 
 
 def absent_share(prefix="") -> Column:
     """Share of rows predicted as one of classes 0-3 that has no true row at all."""
-    wrong = sum(
-        (F.when(F.col(f"{prefix}support_{c}") == 0, F.col(f"{prefix}predicted_{c}")).otherwise(F.lit(0))
-         for c in CLASS_NAMES[1:4]),
-        F.when(F.col(f"{prefix}support_N") == 0, F.col(f"{prefix}predicted_N")).otherwise(F.lit(0)),
-    )
-    n = sum((F.col(f"{prefix}support_{c}") for c in CLASS_NAMES[1:]), F.col(f"{prefix}support_N"))
-    return wrong / F.greatest(n, F.lit(1))
+    wrong = _total(f"if({prefix}support_{c} = 0, {prefix}predicted_{c}, 0)" for c in CLASS_NAMES[:4])
+    n = _total(f"{prefix}support_{c}" for c in CLASS_NAMES)
+    return F.expr(f"{wrong} / greatest({n}, 1)")
 
 
 def class_counts(df: DataFrame, keys, y="y") -> DataFrame:
     """count_N..count_Q per key, zero classes kept."""
     small = df.groupBy(*keys, F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
     return small.groupBy(*keys).agg(*[
-        F.coalesce(F.sum(F.when(F.col("_y") == c, F.col("_n"))), F.lit(0)).cast("long").alias(f"count_{n}")
-        for c, n in enumerate(CLASS_NAMES)
+        F.expr(f"cast(coalesce(sum(_n) filter (where _y = {c}), 0) as bigint) as count_{x}")
+        for c, x in enumerate(CLASS_NAMES)
     ])
 
 
 def counts_map(prefix="count_") -> Column:
-    return F.create_map(*[x for c in CLASS_NAMES for x in (F.lit(c), F.col(prefix + c).cast("int"))])
+    return F.expr("map(" + ", ".join(f"'{c}', cast({prefix}{c} as int)" for c in CLASS_NAMES) + ")")
 
 
 def counts_json(df: DataFrame, keys, y="y", name="counts") -> DataFrame:
     wide = class_counts(df, keys, y)
-    return wide.select(*keys, F.to_json(F.struct(*[F.col(f"count_{c}").alias(c) for c in CLASS_NAMES])).alias(name))
+    body = ", ".join(f"'{c}', count_{c}" for c in CLASS_NAMES)
+    return wide.select(*keys, F.expr(f"to_json(named_struct({body})) as {name}"))
 
 
 def prior_ratio(prefix="count_") -> Column:
     """max(n0,1) / max(nc,1) for every class."""
-    ref = F.greatest(F.col(prefix + "N"), F.lit(1)).cast("double")
-    return F.array(*[ref / F.greatest(F.col(prefix + c), F.lit(1)) for c in CLASS_NAMES])
+    items = ", ".join(f"cast(greatest({prefix}N, 1) as double) / greatest({prefix}{c}, 1)" for c in CLASS_NAMES)
+    return F.expr(f"array({items})")
 
 
 def name_of(code: Column) -> Column:
@@ -150,17 +130,15 @@ def recall_diagnostics(conf: DataFrame, run_keys, group_keys, raw_stage, new_sta
     ``conf`` is (run_keys, stage, y, pred, n); only runs that have both stages count.
     """
     per = widen_counts(conf.where(F.col("stage").isin(raw_stage, new_stage)), [*run_keys, "stage"])
-    rec = F.array(*[F.col(cell(c, c)) / F.greatest(_row(c).cast("double"), F.lit(EPS)) for c in range(N_CLASSES)])
+    rec = F.expr("array(" + ", ".join(
+        f"{cell(c, c)} / greatest(cast({ROW[c]} as double), {EPS}D)" for c in range(N_CLASSES)) + ")")
     per = per.select(*run_keys, "stage", rec.alias("_se"))
     both = per.where(F.col("stage") == raw_stage).drop("stage").withColumnRenamed("_se", "_raw").join(
         per.where(F.col("stage") == new_stage).drop("stage").withColumnRenamed("_se", "_new"), run_keys
     )
     means = both.groupBy(*group_keys).agg(*[
-        e for c, n in enumerate(CLASS_NAMES) for e in (
-            F.avg(F.col("_raw")[c]).alias(f"raw_Se_{n}_mean"),
-            F.avg(F.col("_new")[c]).alias(f"adapted_Se_{n}_mean"),
-            F.avg(F.col("_new")[c] - F.col("_raw")[c]).alias(f"delta_Se_{n}_mean"),
-        )
+        F.expr(f"avg({e}) as {stem}_Se_{n}_mean") for c, n in enumerate(CLASS_NAMES)
+        for stem, e in (("raw", f"_raw[{c}]"), ("adapted", f"_new[{c}]"), ("delta", f"_new[{c}] - _raw[{c}]"))
     ])
 
     def extreme(stem, pick):

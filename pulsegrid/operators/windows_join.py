@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
+from pulsegrid.functions.waveform import resample_batch
 from pulsegrid.schema import BASE_RATE, POST_SAMPLES, PRE_SAMPLES
 
 PRE_SECONDS = PRE_SAMPLES / BASE_RATE
@@ -66,7 +67,7 @@ def beat_windows(ann, signals, chunk_len, pre=None, post=None, points=None, key=
     bounds = window_bounds(ann, record_lengths(signals), pre, post).where("inside")
     cut = interval_join(bounds, signals, chunk_len, key)
     if points:
-        cut = cut.withColumn("samples", A.resample(F.col("samples").cast("array<double>"), points))
+        cut = cut.withColumn("samples", resample_batch(points)("samples"))
     return bounds.join(pair_leads(cut, key), key)
 
 

@@ -52,38 +52,35 @@ WEIGHT_MODES = [*CONSTANT_WEIGHTS, *RATIO_WEIGHTS, "balanced", "balanced_sqrt",
 COST_PROFILES = ["default_cost", "no_cost", "balanced", "moderate_tail", "strong_tail"]
 
 
-def _multiplier(decoder: str, ratio: Column) -> Column:
-    values = []
-    for c, (exponent, lo, hi) in enumerate(DECODERS[decoder][1]):
-        if exponent is None:
-            values.append(F.lit(float(lo)))
-        else:
-            values.append(F.least(F.greatest(F.pow(ratio[c], F.lit(float(exponent))), F.lit(float(lo))), F.lit(float(hi))))
-    return F.array(*values, F.lit(1.0))
-
-
-def decoder_structs(ratio: Column) -> Column:
-    """The six policies as an array of structs, in their fixed order."""
-    return F.array(*[
-        F.struct(
-            F.lit(name).alias("decoder"), F.lit(i).alias("ord"), F.lit(float(power)).alias("power"),
-            _multiplier(name, ratio).alias("multiplier"), F.lit(RATIONALE[name]).alias("rationale"))
-        for i, (name, (power, _)) in enumerate(DECODERS.items())
-    ])
+def _capped(ratio: str, exponent, lo, hi) -> str:
+    if exponent is None:
+        return f"{float(lo)}D"
+    return f"least(greatest(pow({ratio}, {float(exponent)}D), {float(lo)}D), {float(hi)}D)"
+
+
+def decoder_structs(ratio: str) -> Column:
+    """The six policies, in fixed order, as an array of structs over a ratio array column."""
+    items = []
+    for i, (name, (power, spec)) in enumerate(DECODERS.items()):
+        values = ", ".join(_capped(f"{ratio}[{c}]", *three) for c, three in enumerate(spec))
+        items.append(
+            f"named_struct('decoder', '{name}', 'ord', {i}, 'power', {float(power)}D, "
+            f"'multiplier', array({values}, 1.0D), 'rationale', '{RATIONALE[name]}')")
+    return F.expr(f"array({', '.join(items)})")
 
 
 def decoder_table(fit: DataFrame, keys=(), y="y") -> DataFrame:
     """(keys, decoder, ord, power, multiplier, rationale) from the class counts of the fit rows."""
     counts = class_counts(fit, keys, y)
     rows = counts.select(*keys, prior_ratio().alias("_r"))
-    return rows.select(*keys, F.explode(decoder_structs(F.col("_r"))).alias("d")).select(*keys, "d.*")
+    return rows.select(*keys, F.explode(decoder_structs("_r")).alias("d")).select(*keys, "d.*")
 
 
 def packed_decoders(fit: DataFrame, keys=(), y="y") -> DataFrame:
     """One row per key with the policies in one array, ready to broadcast."""
     counts = class_counts(fit, keys, y)
     return counts.select(*keys, prior_ratio().alias("_r")).select(
-        *keys, decoder_structs(F.col("_r")).alias("decoders"))
+        *keys, decoder_structs("_r").alias("decoders"))
 
 
 def decision_multiplier(ratio: Column, mode: str) -> Column:

@@ -79,7 +79,8 @@ def score_runs(probs: DataFrame, fit: DataFrame, keys=RUN, fit_keys=("dataset",
     runs = probs.select(*keys).distinct()
     counts = pin(runs.join(class_counts(fit, fit_keys), fit_keys).select(
         *keys, *[f"count_{c}" for c in CLASS_NAMES]))
-    policies = counts.select(*keys, decoders.decoder_structs(prior_ratio()).alias("decoders"))
+    policies = counts.select("*", prior_ratio().alias("_r")).select(
+        *keys, decoders.decoder_structs("_r").alias("decoders"))
     grid = pin(selection.adapter_grid(probs.where("role = 'val'"), policies, keys))
     chosen = pin(selection.select_adapter(grid, policies, keys))
     test = selection.apply_adapter(probs.where("role = 'test'"), chosen, keys)

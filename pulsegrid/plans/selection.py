@@ -1,11 +1,12 @@
 """Parameter-grid evaluation and best-candidate rules.
 
-Every grid is an array column evaluated per row into an array of predicted classes; the
-row is then exploded to (candidate, predicted class) integers and counted per
-(keys, candidate, y, pred), which combines map-side. Nothing is cross joined, and what a
-task sends is bounded by keys x candidates x 25 rows.
+A task evaluates every candidate on its rows in Arrow batches and keeps only counts per
+(run, candidate, y, predicted class). Rows are neither multiplied by the grid nor
+shuffled: what leaves a task is at most runs x candidates x 25 counts.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +34,77 @@ MULTIPLIERS = {
 DEFAULT_MULTIPLIER = (0.85, 2.5, 0.95, 2.0)
 
 
-def candidate_confusions(rows: DataFrame, keys, preds: str, y="y") -> DataFrame:
-    """Confusion cells per (keys, cand) from an array of predictions, one per candidate."""
-    flat = rows.select(*keys, F.col(y).alias("_y"), F.posexplode(preds).alias("cand", "_p"))
-    small = flat.groupBy(*keys, "cand", "_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+def candidate_confusions(rows: DataFrame, keys, inputs, predict, y="y") -> DataFrame:
+    """Confusion cells per (keys, cand); ``predict`` maps input arrays to (rows, candidates)."""
+    keys = list(keys)
+    data = rows.select(*keys, F.col(y).cast("int").alias("_y"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(inputs)])
+    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "cand int", "_y int", "_p int", "_n long"])
+    width = len(inputs)
+
+    def count(batches):
+        totals = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in groups:
+                preds = predict(*[np.stack(part[f"_x{i}"].to_numpy()) for i in range(width)])
+                n_cand = preds.shape[1]
+                code = np.arange(n_cand) * 25 + part["_y"].to_numpy()[:, None] * 5 + preds
+                counts = np.bincount(code.ravel(), minlength=n_cand * 25)
+                totals[key] = totals[key] + counts if key in totals else counts
+        for key, counts in totals.items():
+            at = np.flatnonzero(counts)
+            out = {k: [v] * len(at) for k, v in zip(keys, key)}
+            yield pd.DataFrame({**out, "cand": at // 25, "_y": at % 25 // 5, "_p": at % 5, "_n": counts[at]})
+
+    small = data.mapInPandas(count, schema)
     return widen_counts(small, [*keys, "cand"], "_y", "_p", "_n")
 
 
-def _decide(p, d):
-    """Decoded class of a row that is already normalised and above the clip floor.
+def _policy_arrays(decoders):
+    """Flat decoder numbers: six powers, then six times five multipliers."""
+    return F.concat(F.transform(decoders, lambda d: d["power"]), F.flatten(F.transform(decoders, lambda d: d["multiplier"])))
+
+
+def _decode_all(p, policies):
+    """Predictions of the six decoders for rows above the clip floor (any trailing layout).
 
-    Scaling a row does not move its largest entry, so the renormalisations are left out.
+    Scaling a row does not move its largest entry, so no renormalisation is needed.
     """
-    return A.argmax(F.zip_with(p, d["multiplier"], lambda x, m: F.pow(x, d["power"]) * m))
+    powers, mult = policies[0, :6], policies[0, 6:].reshape(6, 5)
+    return np.stack([(p ** w * m).argmax(axis=-1) for w, m in zip(powers, mult)], axis=-1)
+
+
+def _np_softmax(s):
+    e = np.exp(s - s.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _predict_adapter(backbone, evidence, policies):
+    lb, le = (np.log(np.clip(p, 1e-8, 1.0)) for p in (backbone, evidence))
+    return np.concatenate(
+        [_decode_all(_np_softmax((1.0 - a) * lb + a * le), policies) for a in ALPHAS], axis=1)
+
+
+def _predict_decoders(p, policies):
+    p = np.clip(p, 1e-12, None)
+    return _decode_all(p / p.sum(axis=1, keepdims=True), policies)
+
+
+def _predict_boundary(backbone, evidence, biases):
+    lb, le = (np.log(np.clip(p, 1e-8, 1.0)) for p in (backbone, evidence))
+    centred = le - le.mean(axis=1, keepdims=True)
+    preds = []
+    for a in BOUNDARY_ALPHAS:
+        for bias in biases[0].reshape(len(BOUNDARY_STRENGTHS), 5):
+            scores = (1.0 - a) * lb + a * le + bias
+            preds.append(scores.argmax(axis=1))
+            top = np.partition(scores, 3, axis=1)
+            margin = top[:, 4] - top[:, 3]
+            for tau in BOUNDARY_TAUS:
+                closeness = np.exp(-margin / tau)[:, None] * centred
+                preds += [(scores + eta * closeness).argmax(axis=1) for eta in BOUNDARY_ETAS]
+    return np.stack(preds, axis=1)
 
 
 def _with_side(rows, side, keys):
@@ -60,14 +119,8 @@ def adapter_grid(val: DataFrame, policies: DataFrame, keys=(), backbone="p_backb
     ``val`` holds both probability rows, ``policies`` the packed decoders of the fit rows.
     """
     keys = list(keys)
-    rows = _with_side(val, policies, keys)
-    rows = rows.withColumn("_lb", P.safe_log(F.col(backbone))).withColumn("_le", P.safe_log(F.col(evidence)))
-    fused = F.array(*[F.col(f"_f{i}") for i in range(len(ALPHAS))])
-    for i, a in enumerate(ALPHAS):
-        rows = rows.withColumn(f"_f{i}", P.softmax(P.fuse_logs(F.col("_lb"), F.col("_le"), a)))
-    preds = F.flatten(F.transform(
-        fused, lambda f: F.transform("decoders", lambda d: _decide(f, d))))
-    cells = candidate_confusions(rows.withColumn("_preds", preds), keys, "_preds", y)
+    rows = _with_side(val, policies, keys).withColumn("_pol", _policy_arrays("decoders"))
+    cells = candidate_confusions(rows, keys, [backbone, evidence, "_pol"], _predict_adapter, y)
     scored = metric_row(cells, [*keys, "cand"])
     scored = scored.withColumn("penalty", absent_share())
     named = _with_side(scored, policies, keys)
@@ -124,10 +177,9 @@ def apply_adapter(rows: DataFrame, selected: DataFrame, keys=(), backbone="p_bac
 def decoder_candidates(val: DataFrame, policies: DataFrame, keys=(), p="p", y="y") -> DataFrame:
     """The six decoders scored on validation rows."""
     keys = list(keys)
-    rows = _with_side(val, policies, keys)
-    preds = F.transform("decoders", lambda d: _decide(F.col("_q"), d))
-    rows = rows.withColumn("_q", P.normalise(F.col(p))).withColumn("_preds", preds)
-    scored = metric_row(candidate_confusions(rows, keys, "_preds", y), [*keys, "cand"])
+    rows = _with_side(val, policies, keys).withColumn("_pol", _policy_arrays("decoders"))
+    cells = candidate_confusions(rows, keys, [p, "_pol"], _predict_decoders, y)
+    scored = metric_row(cells, [*keys, "cand"])
     scored = scored.withColumn("penalty", absent_share())
     names = F.array(*[F.lit(n) for n in ("evidence_argmax", "clinical_default", "stable_prior",
                                          "s_recovery", "f_recovery", "mild_prior")])
@@ -164,53 +216,30 @@ def guarded_decoder(cands: DataFrame, keys=(), dataset=None) -> DataFrame:
         F.col("b.support_F").alias("val_F_count"), f_gain.alias("F1_F_gain"))
 
 
-def boundary_configs():
-    """The 150 (alpha, strength, tau, eta) settings in search order."""
-    out = []
-    for a in BOUNDARY_ALPHAS:
-        for s in BOUNDARY_STRENGTHS:
-            out.append((a, s, 0.0, 0.0))
-            out += [(a, s, t, e) for t in BOUNDARY_TAUS for e in BOUNDARY_ETAS]
-    return out
-
-
 def boundary_grid(val: DataFrame, fit: DataFrame, keys=(), backbone="p_backbone", evidence="p_evidence",
                   y="y") -> DataFrame:
-    """Score all 150 settings; best order is macro F1, accuracy, F1_S + F1_F.
+    """Score all 150 (alpha, strength, tau, eta) settings; tau = eta = 0 comes first in each ten.
 
     Per (alpha, strength) the fused scores, margin and centred evidence are computed once;
     the nine (tau, eta) settings only rescale the push along the evidence.
     """
     keys = list(keys)
     counts = class_counts(fit, keys, y)
-    biases = F.array(*[prior_bias(s) for s in BOUNDARY_STRENGTHS])
-    rows = _with_side(val, counts.select(*keys, biases.alias("_biases")), keys)
-    rows = rows.withColumn("_lb", P.safe_log(F.col(backbone))).withColumn("_le", P.safe_log(F.col(evidence)))
-    centre = A.mean(F.col("_le"))
-    rows = rows.withColumn("_ce", F.transform("_le", lambda e: e - centre))
-    alphas = F.array(*[F.lit(a) for a in BOUNDARY_ALPHAS])
-    fused = F.transform(alphas, lambda a: P.fuse_logs(F.col("_lb"), F.col("_le"), a))
-    rows = rows.withColumn("_fused", fused)
-    scores = F.flatten(F.transform(
-        "_fused", lambda f: F.transform("_biases", lambda b: F.zip_with(f, b, lambda x, y_: x + y_))))
-    rows = rows.withColumn("_scores", scores)
-    # The decision needs only sums per class, so every (tau, eta) is one zip over five values.
-    settings = F.array(
-        F.struct(F.lit(1.0).alias("tau"), F.lit(0.0).alias("eta")),
-        *[F.struct(F.lit(t).alias("tau"), F.lit(e).alias("eta")) for t in BOUNDARY_TAUS for e in BOUNDARY_ETAS])
-    rows = rows.withColumn(
-        "_sm", F.transform("_scores", lambda s: F.struct(s.alias("s"), F.sort_array(s, asc=False).alias("r"))))
-    preds = F.flatten(F.transform("_sm", lambda m: F.transform(
-        settings, lambda c: A.argmax(F.zip_with(
-            m["s"], F.col("_ce"),
-            lambda s, e: s + c["eta"] * F.exp(-(m["r"][0] - m["r"][1]) / c["tau"]) * e)))))
-    cells = candidate_confusions(rows.withColumn("_preds", preds), keys, "_preds", y)
-    table = boundary_configs()
-    cols = [F.array(*[F.lit(t[i]) for t in table]) for i in range(4)]
+    biases = F.flatten(F.array(*[prior_bias(s) for s in BOUNDARY_STRENGTHS]))
+    rows = _with_side(val, counts.select(*keys, biases.alias("_bias")), keys)
+    cells = candidate_confusions(rows, keys, [backbone, evidence, "_bias"], _predict_boundary, y)
     scored = metric_row(cells, [*keys, "cand"])
+    c, inner = F.col("cand"), F.col("cand") % 10 - 1
+
+    def pick(values, at):
+        return F.get(F.array(*[F.lit(v) for v in values]), F.floor(at).cast("int"))
+
     return scored.select(
-        *keys, "cand", *[F.get(c, F.col("cand")).alias(n) for c, n in
-                         zip(cols, ("alpha", "prior_strength", "boundary_tau", "boundary_eta"))],
+        *keys, "cand",
+        pick(BOUNDARY_ALPHAS, c / 50).alias("alpha"),
+        pick(BOUNDARY_STRENGTHS, c % 50 / 10).alias("prior_strength"),
+        F.when(inner < 0, 0.0).otherwise(pick(BOUNDARY_TAUS, inner / 3)).alias("boundary_tau"),
+        F.when(inner < 0, 0.0).otherwise(pick(BOUNDARY_ETAS, inner % 3)).alias("boundary_eta"),
         "macro_f1_4", "accuracy", "F1_S", "F1_F", (F.col("F1_S") + F.col("F1_F")).alias("tail"))
 
 
@@ -226,17 +255,23 @@ def multiplier_points(kind="wide"):
 
 def multiplier_grid(rows: DataFrame, keys=(), kind="wide", p="p", y="y") -> DataFrame:
     """Default point (cand 0) and every multiplier of the grid, with metrics and supports."""
-    points = [DEFAULT_MULTIPLIER, *multiplier_points(kind)]
-    table = F.array(*[
-        F.array(*[F.lit(float(v)) for v in (*pt, 1.0)]) for pt in points])
-    preds = F.transform(table, lambda m: A.argmax(F.zip_with(F.col(p), m, lambda x, w: x * w)))
-    cells = candidate_confusions(rows.withColumn("_preds", preds), list(keys), "_preds", y)
-    scored = metric_row(cells, [*keys, "cand"])
-    names = ("n_mul", "s_mul", "v_mul", "f_mul")
-    muls = [F.array(*[F.lit(float(pt[i])) for pt in points]) for i in range(4)]
+    keys = list(keys)
+    table = np.array([(*pt, 1.0) for pt in (DEFAULT_MULTIPLIER, *multiplier_points(kind))])
+
+    def predict(x):
+        return np.stack([(x * m).argmax(axis=1) for m in table], axis=1)
+
+    scored = metric_row(candidate_confusions(rows, keys, [p], predict, y), [*keys, "cand"])
+    axes, step, at = [], 1, F.col("cand") - 1
+    for values, default in reversed(list(zip(MULTIPLIERS[kind], DEFAULT_MULTIPLIER))):
+        spot = (F.floor(at / step) % len(values)).cast("int")
+        picked = F.get(F.array(*[F.lit(float(v)) for v in values]), F.greatest(spot, F.lit(0)))
+        axes.insert(0, F.when(F.col("cand") == 0, F.lit(float(default))).otherwise(picked))
+        step *= len(values)
     mode = F.when(F.col("cand") == 0, "default_step12_mult").otherwise("target_calibrated")
     return scored.select(
-        *keys, "cand", mode.alias("mode"), *[F.get(m, F.col("cand")).alias(n) for m, n in zip(muls, names)],
+        *keys, "cand", mode.alias("mode"),
+        *[m.alias(n) for m, n in zip(axes, ("n_mul", "s_mul", "v_mul", "f_mul"))],
         *[c for c in scored.columns if c not in (*keys, "cand")])
 
 
