@@ -16,7 +16,6 @@ def query(name, sql=None):
 
 
 def load_all():
-    import importlib
-    for m in ("events", "vectors"): importlib.import_module("pulsegrid.catalog." + m)
+    from pulsegrid.catalog import detail, events, jobs, vectors  # noqa: F401
 
     return QUERIES, SQL

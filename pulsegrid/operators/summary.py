@@ -81,6 +81,13 @@ def cost_rollup(df: DataFrame) -> DataFrame:
     )
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on keys where null meets null; one copy of the keys stays."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def outlier_flags(df: DataFrame, keys, metric="macro_f1_4", seed="seed", min_keep=3,
                   max_rows=MAX_GROUP_ROWS) -> DataFrame:
     """Add quartiles, fences, ``kept`` and ``reason`` by the 1.5 x IQR rule per group.
@@ -89,22 +96,17 @@ def outlier_flags(df: DataFrame, keys, metric="macro_f1_4", seed="seed", min_kee
     (smaller seed first). Only groups that small need a row number.
     """
     q = grouped_quantiles(df, keys, metric, [0.25, 0.5, 0.75], max_rows=max_rows)
-    q = q.select(
-        *keys, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(2)).alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    q = q.withColumn("lower", F.col("q1") - 1.5 * F.col("iqr")).withColumn(
-        "upper", F.col("q3") + 1.5 * F.col("iqr"))
-    on = [df[k].eqNullSafe(q[k]) for k in keys]
-    rows = df.join(q, on).select(*[df[c] for c in df.columns],
-                                 *[q[c] for c in ("q1", "median", "q3", "iqr", "lower", "upper")])
+    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
+    fences = q.select(
+        *keys, q1.alias("q1"), F.get("q", F.lit(1)).alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"),
+        (q1 - 1.5 * (q3 - q1)).alias("lower"), (q3 + 1.5 * (q3 - q1)).alias("upper"))
+    rows = _null_safe_join(df, fences, keys)
     rows = rows.withColumn("_out", (F.col(metric) < F.col("lower")) | (F.col(metric) > F.col("upper")))
     stats = rows.groupBy(*keys).agg(
         F.countDistinct(seed).alias("n_seeds_before"),
         F.sum((~F.col("_out")).cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_n"),
     )
-    on = [rows[k].eqNullSafe(stats[k]) for k in keys]
-    rows = rows.join(stats, on).select(*[rows[c] for c in rows.columns], "n_seeds_before", "_kept", "_n")
+    rows = _null_safe_join(rows, stats, keys)
     guard = F.col("_kept") < min_keep
     w = Window.partitionBy(*keys).orderBy(F.abs(F.col(metric) - F.col("median")), seed)
     plain = rows.where(~guard).withColumn("kept", ~F.col("_out"))

@@ -42,18 +42,25 @@ def assigned_roles(view: DataFrame, seed: int, protocol="record") -> DataFrame:
     return train.select(*test.columns).unionByName(test).drop("part")
 
 
-def evidence_probabilities(assigned: DataFrame, seed: int, kind="clinical_proto", base="x", **encoder) -> DataFrame:
-    """Evidence features (prototypes from fit rows), one forest on fit, scores for val and test."""
-    rows = feature_set(evidence_features(assigned, base=base), kind)
+def evidence_rows(assigned: DataFrame, kind="clinical_proto", base="x") -> DataFrame:
+    """Rows with the evidence vector as ``features``; prototypes come from the fit rows."""
+    return feature_set(evidence_features(assigned, base=base), kind)
+
+
+def forest_probabilities(rows: DataFrame, seed: int, **encoder) -> DataFrame:
+    """One class-weighted forest on the fit rows, scores for val and test rows."""
     settings = {**models.ENCODER, **encoder}
-    fit = rows.where("role = 'fit'")
     model = models.fit_forest(
-        fit, seed, weights=settings["weights"], trees=settings["trees"], subset=settings["subset"],
-        min_leaf=settings["min_leaf"], depth=settings.get("depth", 12))
+        rows.where("role = 'fit'"), seed, weights=settings["weights"], trees=settings["trees"],
+        subset=settings["subset"], min_leaf=settings["min_leaf"], depth=settings.get("depth", 12))
     scored = models.predict(model, rows.where("role <> 'fit'"), name="p_evidence")
     return scored.select("dataset", "role", "beat_id", "y", "p_evidence").withColumn("seed", F.lit(seed))
 
 
+def evidence_probabilities(assigned: DataFrame, seed: int, kind="clinical_proto", base="x", **encoder) -> DataFrame:
+    return forest_probabilities(pin(evidence_rows(assigned, kind, base)), seed, **encoder)
+
+
 def stored_evidence(assigned, dataset, seed, path, profile="legacy_cost", force=False, **kw) -> DataFrame:
     """Evidence probabilities kept by (dataset, seed, profile); built once, shared by all methods."""
     def build():
@@ -147,9 +154,9 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
 
 def cost_sweep(assigned, backbone, seed, method, profiles=decoders.COST_PROFILES, base="x", **encoder) -> DataFrame:
     """Adapter scores of one run under every class-cost profile of the evidence forest."""
-    parts = []
+    parts, rows = [], pin(evidence_rows(assigned, base=base))
     for profile in profiles:
-        ev = evidence_probabilities(assigned, seed, base=base, **{**encoder, "weights": profile})
+        ev = forest_probabilities(rows, seed, **{**encoder, "weights": profile})
         parts.append(pin(ev.join(backbone.select("beat_id", "p_backbone"), "beat_id").withColumn(
             "class_cost_profile", F.lit(profile)).withColumn("method", F.lit(method))))
     probs = reduce(lambda a, b: a.unionByName(b), parts)
@@ -185,22 +192,26 @@ SWEEP = [
 def config_sweep(assigned: DataFrame, seed: int, configs=SWEEP, base="x", **encoder) -> DataFrame:
     """Argmax and decoded test metrics of every named configuration, train prior only."""
     counts = class_counts(assigned.where("role = 'fit'"), ["dataset"])
-    parts = []
+    parts, features, scored = [], {}, {}
     for name, kind, weights, mode, power in configs:
-        ev = evidence_probabilities(assigned, seed, kind, base, weights=weights, **encoder)
+        if kind not in features:
+            features[kind] = pin(evidence_rows(assigned, kind, base))
+        if (kind, weights) not in scored:
+            scored[kind, weights] = pin(forest_probabilities(features[kind], seed, weights=weights, **encoder))
+        ev = scored[kind, weights]
         mult = counts.select("dataset", decoders.decision_multiplier(prior_ratio(), mode).alias("m"))
         rows = ev.where("role = 'test'").join(F.broadcast(mult), "dataset")
-        parts.append(pin(rows.select(
+        parts.append(rows.select(
             "dataset", F.lit(seed).alias("seed"), F.lit(name).alias("config_name"), "y",
-            A.argmax(F.col("p_evidence")).alias("argmax"), P.decode(F.col("p_evidence"), power, F.col("m")).alias("decoded"))))
+            A.argmax(F.col("p_evidence")).alias("argmax"), P.decode(F.col("p_evidence"), power, F.col("m")).alias("decoded")))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     keys = ["dataset", "seed", "config_name"]
     staged = rows.select(*keys, "y", F.explode(F.array(
         F.struct(F.lit("argmax").alias("stage"), F.col("argmax").alias("pred")),
         F.struct(F.lit("decoded").alias("stage"), F.col("decoded").alias("pred")))).alias("s")).select(*keys, "y", "s.*")
-    scored = metric_row(confusion_counts(staged, [*keys, "stage"]), [*keys, "stage"])
+    table = metric_row(confusion_counts(staged, [*keys, "stage"]), [*keys, "stage"])
     changed = rows.groupBy(*keys).agg(F.sum((F.col("argmax") != F.col("decoded")).cast("long")).alias("changed_samples"))
-    return scored.join(changed, keys)
+    return table.join(changed, keys)
 
 
 def external_validation(train: DataFrame, test: DataFrame, seeds, name, grid="wide",
