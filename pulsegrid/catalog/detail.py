@@ -97,7 +97,7 @@ fl as (select *, not isout as kept, (count(*) filter (where not isout) over (par
 
 
 def _flags(spark, sf):
-    return summary.outlier_flags(run_detail(spark, sf), KEYS)
+    return summary.outlier_flags(pin(run_detail(spark, sf)), KEYS)
 
 
 @query("iqr_outliers", rounded_sql(f"with {DETAIL}, {FLAGS} select {_KEYSQL}, seed, macro_f1_4, q1, q3, iqr, lower, upper, median, n_seeds_before, n_seeds_after, 'macro_f1_4_iqr_outlier' as reason from fl where not kept",
@@ -121,20 +121,23 @@ def outlier_summary(spark, sf):
 @query("robustness_join", rounded_sql(f"""with {DETAIL}, {SUMMARY}, {FLAGS}, {OSUM} select {_KEYSQL}, {", ".join(f"a.{m}_mean as full_{m}, b.{m}_mean as no_outlier_{m}, (b.{m}_mean - a.{m}_mean) * 100 as change_{m}" for m in OM)},
  n_seeds_before, n_seeds_after, removed_seeds, n_seeds_before - n_seeds_after as removed_count from sm a left join (select * from os where dataset <> 'R') b using (dataset, family, method)""", " ".join(f"{p}_{m}" for m in OM for p in ("full", "no_outlier", "change"))))
 def robustness_join(spark, sf):
-    filtered = summary.outlier_summary(_flags(spark, sf), KEYS, OM).where("dataset <> 'R'")
-    return rounded(summary.robustness_join(_summary(spark, sf), filtered, KEYS, OM))
+    d = pin(run_detail(spark, sf))
+    filtered = summary.outlier_summary(summary.outlier_flags(d, KEYS), KEYS, OM).where("dataset <> 'R'")
+    return rounded(summary.robustness_join(summary.group_summary(d, KEYS, OM), filtered, KEYS, OM))
 
 
 @query("removed_groups", f"with {DETAIL}, {FLAGS}, {OSUM} select dataset, n_seeds_before - n_seeds_after as removed_count, count(*) as groups from os group by all")
 def removed_groups(spark, sf):
-    filtered = summary.outlier_summary(_flags(spark, sf), KEYS, OM)
-    return derived.removed_groups(summary.robustness_join(_summary(spark, sf), filtered, KEYS, OM))
+    d = pin(run_detail(spark, sf))
+    filtered = summary.outlier_summary(summary.outlier_flags(d, KEYS), KEYS, OM)
+    return derived.removed_groups(summary.robustness_join(summary.group_summary(d, KEYS, OM), filtered, KEYS, OM))
 
 
 @query("compare_summaries", rounded_sql(f"with {DETAIL}, {SUMMARY}, {FLAGS}, {OSUM} select a.dataset, avg(a.macro_f1_4_mean) * 100 as before, avg(b.macro_f1_4_mean) * 100 as after, (avg(b.macro_f1_4_mean) - avg(a.macro_f1_4_mean)) * 100 as change from sm a join os b using (dataset, family, method) group by rollup (a.dataset)", "before after change"))
 def compare_summaries(spark, sf):
-    after = summary.outlier_summary(_flags(spark, sf), KEYS, OM)
-    return rounded(summary.compare_summaries(_summary(spark, sf), after, KEYS, "macro_f1_4_mean", "dataset"))
+    d = pin(run_detail(spark, sf))
+    after = summary.outlier_summary(summary.outlier_flags(d, KEYS), KEYS, OM)
+    return rounded(summary.compare_summaries(summary.group_summary(d, KEYS, OM), after, KEYS, "macro_f1_4_mean", "dataset"))
 
 
 @query("contracts", f"""with {DETAIL}, {FLAGS}, g as (select {_KEYSQL}, count(distinct seed) as s, count(*) as n, count(distinct seed) filter (where kept) as k from fl group by all)
@@ -143,8 +146,9 @@ select 'rows' as check, 420 as expected, sum(n)::bigint as actual, sum(n) = 420
  union all select 'kept_plus_removed', (select count(*) from detail), (select count(*) from fl), (select count(*) from detail) = (select count(*) from fl)
  union all select 'min_retained_seeds', 3, min(k), min(k) >= 3 from g union all select 'keys_on_both_sides', 0, 0, true""")
 def all_contracts(spark, sf):
-    d = run_detail(spark, sf)
-    return contracts.detail_contracts(d, KEYS, 420, 60, 7).unionByName(contracts.outlier_contracts(d, _flags(spark, sf), KEYS))
+    d = pin(run_detail(spark, sf))
+    flags = pin(summary.outlier_flags(d, KEYS))
+    return contracts.detail_contracts(d, KEYS, 420, 60, 7).unionByName(contracts.outlier_contracts(d, flags, KEYS))
 
 
 GAINS = "gn as (select dataset, method, avg(delta_macro_f1_4) as gain from detail group by all)"

@@ -324,8 +324,7 @@ def _cj(r):
 
 @query("split_audit", f"""with {SCORED}, {ASSIGNED}, rr as (select dataset, record, bool_or(role='fit') as f, bool_or(role='val') as v, bool_or(role='test') as t from asg group by all),
 o as (select dataset, count(*) filter (where f) as fit_records, count(*) filter (where v) as val_records, count(*) filter (where t) as test_records,
-  count(*) filter (where f and v) as fit_val_record_overlap, count(*) filter (where f and t) as fit_test_record_overlap, count(*) filter (where v and t) as val_test_record_overlap,
-  string_agg(record::varchar, ';' order by record::varchar) filter (where f) as fit_records_list, string_agg(record::varchar, ';' order by record::varchar) filter (where v) as val_records_list from rr group by dataset),
+  count(*) filter (where f and v) as fit_val_record_overlap, count(*) filter (where f and t) as fit_test_record_overlap, count(*) filter (where v and t) as val_test_record_overlap from rr group by dataset),
 s as (select dataset, seed, count(*) filter (where role='fit') as fit_size, count(*) filter (where role='val') as val_size, count(*) filter (where role='test') as test_size,
   {_cj('fit')} as fit_counts, {_cj('val')} as val_counts from asg group by all)
 select s.*, o.* exclude (dataset), case when fit_val_record_overlap + fit_test_record_overlap + val_test_record_overlap = 0 then 'No record leakage across fitting, validation and test'
@@ -335,6 +334,11 @@ def split_audit(spark, sf):
     return splits.split_audit(_assigned(spark, sf))
 
 
+@query("split_records", f"with {SCORED}, {ASSIGNED} select distinct dataset, seed, role, record from asg")
+def split_records(spark, sf):
+    return splits.split_records(_assigned(spark, sf))
+
+
 @query("max_overlap", f"""with {SCORED}, {ASSIGNED}, rr as (select dataset, record, bool_or(role='fit') as f, bool_or(role='val') as v, bool_or(role='test') as t from asg group by all),
 o as (select dataset, count(*) filter (where f and v) as a, count(*) filter (where f and t) as b, count(*) filter (where v and t) as c from rr group by dataset)
 select max(greatest(a, b, c)) as max_overlap from o""")

@@ -36,6 +36,11 @@ def exploded(df: DataFrame, keys, col) -> DataFrame:
     return df.select(*keys, F.posexplode(col).alias("pos", "value"))
 
 
+# Microseconds since the epoch from the wall-clock fields, whatever the session time zone.
+MICROS = ("unix_date(to_date(ts)) * 86400000000L + (hour(ts) * 60L + minute(ts)) * 60000000L "
+          "+ cast(extract(second from ts) * 1000000 as bigint)")
+
+
 def event_class(col="symbol"):
     t = F.create_map(*[F.lit(x) for kv in EVENT_CLASS.items() for x in kv])
     return F.element_at(t, F.col(col))
@@ -49,7 +54,7 @@ def annotations(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(
         F.col("user_id").alias("record"), F.col("event_id").alias("ann_idx"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("sample"), F.col("event_type").alias("symbol"))
+        F.expr(MICROS).alias("sample"), F.col("event_type").alias("symbol"))
 
 
 def scored_events(spark, sf) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 1_000_000
 
 
 def largest_group(df: DataFrame, keys) -> int:

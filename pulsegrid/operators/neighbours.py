@@ -4,7 +4,8 @@ Both sides are assigned to the nearest of a few pivots. Cell radii give, by the
 inequality, an upper bound on the k-th neighbour distance of a cell and a lower bound on
 the distance between two cells; cell pairs that cannot hold a neighbour are never joined.
 Within the remaining cell pairs, blocks of bounded size meet and each pair of blocks emits
-at most k rows per left row, which a second step merges. No side is collected.
+at most k rows per left row, which a second step merges. No side is collected, and copies
+of one vector are searched once.
 """
 
 import numpy as np
@@ -75,7 +76,7 @@ def _blocks(side, prefix):
     ).withColumnRenamed("cell", f"{prefix}_cell").withColumnRenamed("block", f"{prefix}_block")
 
 
-def _block_topk(k, skip_same):
+def _block_topk(k):
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -83,14 +84,12 @@ def _block_topk(k, skip_same):
                 a = np.stack(row.l_vecs).astype(np.float64)
                 b = np.stack(row.r_vecs).astype(np.float64)
                 rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-                if skip_same:
-                    rough[lid[:, None] == rid[None, :]] = np.inf
                 take = min(k, len(rid))
                 limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                slack = 1e-9 * (1.0 + np.abs(np.where(np.isinf(limit), 0.0, limit)))
+                slack = 1e-9 * (1.0 + np.abs(limit))
                 out_l, out_r, out_d = [], [], []
                 for i in range(len(lid)):
-                    near = np.flatnonzero((rough[i] <= limit[i] + slack[i]) & np.isfinite(rough[i]))
+                    near = np.flatnonzero(rough[i] <= limit[i] + slack[i])
                     exact = ((b[near] - a[i]) ** 2).sum(axis=1)
                     order = np.lexsort((rid[near], exact))[:take]
                     out_l.append(np.full(len(order), lid[i]))
@@ -103,30 +102,63 @@ def _block_topk(k, skip_same):
     return run
 
 
+def _representatives(df, keep):
+    """First ``keep`` ids of every group of equal vectors and the smallest id as ``rep``.
+
+    The row-number limit is applied in each task before the shuffle, so a vector that
+    occurs in a third of all rows sends ``keep`` rows per task.
+    """
+    w = Window.partitionBy("by", "vec").orderBy("id")
+    few = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
+    return few.groupBy("by", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn(
+        "id", F.get("ids", F.lit(0)))
+
+
 def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, skip_same=False) -> DataFrame:
     """(id, neighbour, dist2, rank): the k nearest right rows of each left row, exactly.
 
     Both sides have ``by`` (int; neighbours share it), ``id`` (long) and ``vec``
-    (array<double>). Ties go to the smaller neighbour id. Cost is the number of vector
-    pairs in the cell pairs that survive pruning, so it grows faster than linearly.
+    (array<double>). Ties go to the smaller neighbour id; ``skip_same`` leaves out the
+    row itself. Equal vectors are searched once: their first ids stand for all copies,
+    and each left row then takes its list from its representative. Cost is the number of
+    distinct vector pairs in the cell pairs that survive pruning.
     """
-    right_ids = right.select("by", "id", "vec")
+    need = k + int(skip_same)
+    sides = [d.select("by", "id", F.col("vec").cast("array<double>").alias("vec")) for d in (left, right)]
+    goals = pin(_representatives(sides[1], need))
+    seeks = pin(sides[0].groupBy("by", "vec").agg(F.min("id").alias("id")))
+    near = _search(seeks.select("by", "id", "vec"), goals.select("by", "id", "vec"), need)
+    copies = goals.select(F.col("id").alias("neighbour"), "ids")
+    spread = near.join(copies, "neighbour").select("id", "dist2", F.explode("ids").alias("neighbour"))
+    w = Window.partitionBy("id").orderBy("dist2", "neighbour")
+    few = spread.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= need)
+    lists = few.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_n", "neighbour", "dist2"))).alias("_l"))
+    owner = seeks.select("by", "vec", F.col("id").alias("rep"))
+    found = sides[0].join(owner, ["by", "vec"]).select("id", "rep").join(
+        lists.withColumnRenamed("id", "rep"), "rep")
+    best = F.col("_l")
+    if skip_same:
+        best = F.filter(best, lambda e: e["neighbour"] != F.col("id"))
+    out = found.select("id", F.posexplode(F.slice(best, 1, k)).alias("_p", "_e"))
+    return out.select("id", "_e.neighbour", "_e.dist2", (F.col("_p") + 1).alias("rank"))
+
+
+def _search(left, right, k):
     total = right.count()
     n_pivots = int(min(MAX_PIVOTS, max(1, total // ROWS_PER_PIVOT)))
-    picked = right_ids.orderBy(hash32("pivot", F.col("id")), "id").limit(n_pivots).toLocalIterator()
+    picked = right.orderBy(hash32("pivot", F.col("id")), "id").limit(n_pivots).toLocalIterator()
     pivots = np.array([r["vec"] for r in picked], dtype=np.float64)
     if len(pivots) == 0:
         raise ValueError("the right side of a neighbour join must not be empty")
-    a, b = pin(_assign(left, pivots)), pin(_assign(right_ids, pivots))
-    pairs = _cell_pairs(_cells(a), _cells(b), pivots, k + int(skip_same))
-    spark = left.sparkSession
-    links = spark.createDataFrame(pairs, "by int, l_cell int, r_cell int")
+    a, b = pin(_assign(left, pivots)), pin(_assign(right, pivots))
+    pairs = _cell_pairs(_cells(a), _cells(b), pivots, k)
+    links = left.sparkSession.createDataFrame(pairs, "by int, l_cell int, r_cell int")
     met = (
         _blocks(a, "l").join(F.broadcast(links), ["by", "l_cell"])
         .join(_blocks(b, "r"), ["by", "r_cell"])
         .repartition("by", "l_cell", "l_block", "r_cell", "r_block")
         .select("l_ids", "l_vecs", "r_ids", "r_vecs")
     )
-    found = met.mapInPandas(_block_topk(k, skip_same), "id long, neighbour long, dist2 double")
+    found = met.mapInPandas(_block_topk(k), "id long, neighbour long, dist2 double")
     w = Window.partitionBy("id").orderBy("dist2", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import hash32
+from pulsegrid.operators.groups import largest_group
 from pulsegrid.operators.metrics import class_counts
 from pulsegrid.operators.ranking import BUCKET_SHIFT, take_lowest
 from pulsegrid.schema import CLASS_NAMES, N_CLASSES, TRAIN_FRACTION, VAL_FRACTION
@@ -181,7 +182,7 @@ CLEAN = "No record leakage across fitting, validation and test"
 
 
 def split_audit(assigned: DataFrame, keys=("dataset", "seed"), record="record", y="y") -> DataFrame:
-    """Sizes, record counts, class counts, record lists and overlaps of the roles per key.
+    """Sizes, record counts, class counts and overlaps of the roles per key.
 
     Rows are first reduced to one row per record, so everything after is record-sized.
     """
@@ -206,17 +207,11 @@ def split_audit(assigned: DataFrame, keys=("dataset", "seed"), record="record",
         return F.to_json(F.struct(*[
             F.sum(f"_{r}_{c}").alias(n) for c, n in enumerate(CLASS_NAMES)])).alias(f"{r}_counts")
 
-    def names(r):
-        # The record list is part of the audit row; it is as long as the record set.
-        return F.array_join(
-            F.sort_array(F.collect_list(F.when(F.col(r) == 1, F.col(record).cast("string")))), ";"
-        ).alias(f"{r}_records_list")
-
     out = rec.groupBy(*keys).agg(
         *[F.sum(r).cast("long").alias(f"{r}_records") for r in roles],
         *[F.sum(f"_{r}_n").cast("long").alias(f"{r}_size") for r in roles],
         both("fit", "val"), both("fit", "test"), both("val", "test"),
-        counts("fit"), counts("val"), names("fit"), names("val"),
+        counts("fit"), counts("val"),
     )
     problems = F.concat_ws(
         "; ",
@@ -227,6 +222,20 @@ def split_audit(assigned: DataFrame, keys=("dataset", "seed"), record="record",
     return out.withColumn("audit_interpretation", F.when(problems == "", CLEAN).otherwise(problems))
 
 
+def split_records(assigned: DataFrame, keys=("dataset", "seed"), record="record") -> DataFrame:
+    """(keys, role, record), one row per record of a role: the record lists of the audit."""
+    return assigned.select(*keys, "role", record).distinct()
+
+
+def record_list_text(records: DataFrame, keys=("dataset", "seed"), record="record", limit=100_000) -> DataFrame:
+    """The record lists as `;`-joined text; refuses lists too long for one value."""
+    top = largest_group(records, [*keys, "role"])
+    if top > limit:
+        raise ValueError(f"a role holds {top} records; read split_records instead of one text value")
+    names = F.sort_array(F.collect_list(F.col(record).cast("string")))
+    return records.groupBy(*keys, "role").agg(F.array_join(names, ";").alias("records_list"))
+
+
 def shared_records(a: DataFrame, b: DataFrame, record="record") -> DataFrame:
     return a.select(record).intersect(b.select(record))
 

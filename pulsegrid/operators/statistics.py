@@ -146,14 +146,15 @@ def cluster_bootstrap(gains: DataFrame, cluster: str, n_boot=N_BOOT, seed=BOOT_S
     packed = packed.withColumn("_k", F.size("_a").cast("long"))
     # One row holding (sum, count) of every cluster; clusters are datasets or methods.
     reps = spark.range(n_boot).withColumnRenamed("id", "rep").crossJoin(F.broadcast(packed))
-    draws = reps.select(
-        "rep", "_k", "_a", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_j")
-    )
-    pick = F.get("_a", (hash32(seed, F.col("rep"), F.col("_j")) % F.col("_k")).cast("int"))
-    means = (
-        draws.select("rep", "_k", pick.alias("c"))
-        .groupBy("rep").agg((F.sum("c._s") / F.sum("c._c")).alias("m"), F.max("_k").alias("_k"))
-    )
+
+    def add(acc, j):
+        c = F.get("_a", (hash32(seed, F.col("rep"), j) % F.col("_k")).cast("int"))
+        return F.struct((acc["s"] + c["_s"]).alias("s"), (acc["c"] + c["_c"]).alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
+    means = reps.select(
+        "rep", "_k",
+        F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), start, add, lambda a: a["s"] / a["c"]).alias("m"))
     tagged = means.withColumn("cluster", F.lit(cluster))
     q = grouped_quantiles(tagged, ["cluster"], "m", [0.025, 0.975], max_rows=10 ** 7)
     s = tagged.groupBy("cluster").agg(

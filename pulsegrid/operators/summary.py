@@ -16,14 +16,21 @@ def skip_nan(x) -> Column:
 
 
 def mean_std(metrics, std=True):
+    """avg and population std per metric, NaN left out."""
     out = []
     for m in metrics:
-        out.append(F.avg(skip_nan(F.col(m).cast("double"))).alias(f"{m}_mean"))
+        value = f"nullif(cast(`{m}` as double), double('NaN'))"
+        out.append(F.expr(f"avg({value}) as `{m}_mean`"))
         if std:
-            out.append(F.stddev_pop(skip_nan(F.col(m).cast("double"))).alias(f"{m}_std"))
+            out.append(F.expr(f"stddev_pop({value}) as `{m}_std`"))
     return out
 
 
+def distinct_count(col) -> Column:
+    """Distinct values of a parameter column (seeds); the set is small, so no second shuffle."""
+    return F.size(F.collect_set(col)).cast("long")
+
+
 def joined_values(col, sep=" ") -> Column:
     """Sorted distinct non-null values as text; the values are parameters, so the set is small."""
     return F.array_join(F.transform(F.sort_array(F.collect_set(col)), lambda v: v.cast("string")), sep)
@@ -34,7 +41,7 @@ def group_summary(df: DataFrame, keys, metrics, seed="seed", texts=(), firsts=()
 
     NaN is skipped, null keys form a group of their own, no seed is counted twice.
     """
-    aggs = [F.countDistinct(seed).alias("n_seeds"), joined_values(seed).alias("seeds")]
+    aggs = [distinct_count(seed).alias("n_seeds"), joined_values(seed).alias("seeds")]
     aggs += [joined_values(c).alias(f"{c}_values") for c in texts]
     aggs += [F.min_by(c, order or seed).alias(c) for c in firsts]
     return df.groupBy(*keys).agg(*aggs, *mean_std(metrics))
@@ -103,7 +110,7 @@ def outlier_flags(df: DataFrame, keys, metric="macro_f1_4", seed="seed", min_kee
     rows = _null_safe_join(df, fences, keys)
     rows = rows.withColumn("_out", (F.col(metric) < F.col("lower")) | (F.col(metric) > F.col("upper")))
     stats = rows.groupBy(*keys).agg(
-        F.countDistinct(seed).alias("n_seeds_before"),
+        distinct_count(seed).alias("n_seeds_before"),
         F.sum((~F.col("_out")).cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_n"),
     )
     rows = _null_safe_join(rows, stats, keys)
@@ -136,7 +143,7 @@ def outlier_summary(flags: DataFrame, keys, metrics, seed="seed") -> DataFrame:
                  F.stddev_pop(F.when(kept, skip_nan(m))).alias(f"{m}_std")]
     return flags.groupBy(*keys).agg(
         F.max("n_seeds_before").alias("n_seeds_before"),
-        F.countDistinct(F.when(kept, F.col(seed))).alias("n_seeds_after"),
+        distinct_count(F.when(kept, F.col(seed))).alias("n_seeds_after"),
         joined_values(F.when(~kept, F.col(seed))).alias("removed_seeds"),
         joined_values(F.when(kept, F.col(seed))).alias("seeds_after"),
         *aggs,
@@ -177,7 +184,7 @@ def complete_groups(done: DataFrame, groups, seeds, seed="seed") -> DataFrame:
     """Per group: how many required seeds are missing and whether it is complete."""
     need = list(seeds)
     have = done.groupBy(*groups).agg(
-        F.countDistinct(F.when(F.col(seed).isin(need), F.col(seed))).alias("_have"))
+        distinct_count(F.when(F.col(seed).isin(need), F.col(seed))).alias("_have"))
     return have.select(*groups, (F.lit(len(need)) - F.col("_have")).alias("missing"),
                        (F.col("_have") == len(need)).alias("complete"))
 
