@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.groups import MAX_GROUP_ROWS, largest_group
+from pulsegrid.session import pin
 
 ACCURACY = 100_000
 
@@ -11,17 +12,32 @@ ACCURACY = 100_000
 def grouped_quantiles(df: DataFrame, keys, value, probs, name="q", max_rows=MAX_GROUP_ROWS):
     """One row per group: row count ``n`` of non-null values and array ``name``.
 
-    Small groups use the built-in exact aggregate. If any group is over ``max_rows``, a
-    bounded sketch brackets each wanted rank, values in the brackets are counted, and the
-    ranks are read from those counts; the sketch error is far inside the bracket.
+    Small groups use the built-in exact aggregate. For groups over ``max_rows`` a bounded
+    sketch brackets each wanted rank, values in the brackets are counted, and the ranks
+    are read from those counts; the sketch error is far inside the bracket.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     if largest_group(rows, keys) <= max_rows:
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name),
-        )
-    margin = 5.0 / ACCURACY
+        return _exact(rows, keys, probs, name)
+    if not keys:
+        return _bracketed(rows, keys, probs, name, max_rows)
+    hot = pin(rows.groupBy(*keys).count().where(F.col("count") > max_rows).drop("count"))
+    cold = rows.join(hot, keys, "left_anti")
+    return _exact(cold, keys, probs, name).unionByName(
+        _bracketed(rows.join(hot, keys, "left_semi"), keys, probs, name, max_rows))
+
+
+def _exact(rows, keys, probs, name):
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name),
+    )
+
+
+def _bracketed(rows, keys, probs, name, max_rows):
+    # At least three ranks on either side, as every group here has over max_rows rows.
+    margin = max(5.0 / ACCURACY, 3.0 / max_rows)
     marks = sorted({max(p - margin, 0.0) for p in probs} | {min(p + margin, 1.0) for p in probs})
     spots = {m: i for i, m in enumerate(marks)}
     brackets = rows.groupBy(*keys).agg(
@@ -38,7 +54,8 @@ def grouped_quantiles(df: DataFrame, keys, value, probs, name="q", max_rows=MAX_
         )
         for i, p in enumerate(probs)
     ])
-    located = rows.join(brackets.select(*keys, "n", spans.alias("_spans")), list(keys))
+    side = brackets.select(*keys, "n", spans.alias("_spans"))
+    located = rows.join(side, keys) if keys else rows.crossJoin(F.broadcast(side))
     part = (
         located.select(*keys, "_v", F.explode("_spans").alias("s"))
         .where(F.col("_v") <= F.col("s.hi"))
@@ -64,7 +81,8 @@ def grouped_quantiles(df: DataFrame, keys, value, probs, name="q", max_rows=MAX_
     wide = sound.groupBy(*keys).agg(
         *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"_q{i}") for i in range(len(probs))]
     )
-    out = wide.join(brackets.select(*keys, "n"), list(keys))
+    sizes = brackets.select(*keys, "n")
+    out = wide.join(sizes, keys) if keys else wide.crossJoin(F.broadcast(sizes))
     return out.select(*keys, "n", F.array(*[F.col(f"_q{i}") for i in range(len(probs))]).alias(name))
 
 
