@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.groups import MAX_GROUP_ROWS
 from pulsegrid.operators.ordered import OWN, with_halo
 from pulsegrid.operators.quantiles import grouped_quantiles
+from pulsegrid.session import pin
 
 EPS = 1e-8
 REACH = 5
@@ -37,7 +38,8 @@ def interval_context(ann: DataFrame, fs, key="record", sample="sample", idx="ann
         whole = Window.partitionBy(key)
         own = own.withColumn("_global", F.median("_d").over(whole))
     else:
-        med = grouped_quantiles(own, [key], "_d", [0.5], max_rows=max_rows)
+        steps = pin(own.select(key, "_d"))  # two narrow columns; the quantile passes read them again
+        med = grouped_quantiles(steps, [key], "_d", [0.5], max_rows=max_rows)
         own = own.join(med.select(key, F.get("q", F.lit(0)).alias("_global")), [key], "left")
     glob = F.coalesce("_global", F.lit(1.0))
     return own.select(

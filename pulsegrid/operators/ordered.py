@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.groups import MAX_GROUP_ROWS, largest_group
+from pulsegrid.session import pin, small_side
 
 SLICE = "_slice"
 OWN = "_own"
@@ -26,7 +27,7 @@ def sliced(df: DataFrame, keys, order, max_rows=MAX_GROUP_ROWS):
     if top <= max_rows:
         return df.withColumn(SLICE, F.lit(0)), list(keys), False
     n_slices = min(math.ceil(top / max_rows), 4096)
-    hot = df.groupBy(*keys).count().where(F.col("count") > max_rows).drop("count")
+    hot = small_side(pin(df.groupBy(*keys).count().where(F.col("count") > max_rows).drop("count")))
     points = [i / n_slices for i in range(1, n_slices)]
     cuts = (
         df.join(hot, keys, "left_semi")
@@ -34,9 +35,9 @@ def sliced(df: DataFrame, keys, order, max_rows=MAX_GROUP_ROWS):
         .agg(F.percentile_approx(order, points, max(10_000, 50 * n_slices)).alias("_cuts"))
         .withColumn("_cuts", F.array_distinct("_cuts"))
     )
-    # Hot keys number at most rows / max_rows; the optimizer sizes this join, and the
-    # adaptive skew split covers the case where it is not small enough to broadcast.
-    out = df.join(cuts, keys, "left").withColumn(
+    # Hot keys number at most rows / max_rows. The table is counted and broadcast if small;
+    # beyond that it is a shuffle join whose hot partitions the adaptive skew split divides.
+    out = df.join(small_side(pin(cuts), 50_000), keys, "left").withColumn(
         SLICE,
         F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0)),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.groups import MAX_GROUP_ROWS, largest_group
-from pulsegrid.session import pin
+from pulsegrid.session import pin, small_side
 
 ACCURACY = 100_000
 
@@ -22,7 +22,7 @@ def grouped_quantiles(df: DataFrame, keys, value, probs, name="q", max_rows=MAX_
         return _exact(rows, keys, probs, name)
     if not keys:
         return _bracketed(rows, keys, probs, name, max_rows)
-    hot = pin(rows.groupBy(*keys).count().where(F.col("count") > max_rows).drop("count"))
+    hot = small_side(pin(rows.groupBy(*keys).count().where(F.col("count") > max_rows).drop("count")))
     cold = rows.join(hot, keys, "left_anti")
     return _exact(cold, keys, probs, name).unionByName(
         _bracketed(rows.join(hot, keys, "left_semi"), keys, probs, name, max_rows))
@@ -40,11 +40,11 @@ def _bracketed(rows, keys, probs, name, max_rows):
     margin = max(5.0 / ACCURACY, 3.0 / max_rows)
     marks = sorted({max(p - margin, 0.0) for p in probs} | {min(p + margin, 1.0) for p in probs})
     spots = {m: i for i, m in enumerate(marks)}
-    brackets = rows.groupBy(*keys).agg(
+    brackets = pin(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
-    )
+    ))
     spans = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
@@ -55,7 +55,7 @@ def _bracketed(rows, keys, probs, name, max_rows):
         for i, p in enumerate(probs)
     ])
     side = brackets.select(*keys, "n", spans.alias("_spans"))
-    located = rows.join(side, keys) if keys else rows.crossJoin(F.broadcast(side))
+    located = rows.join(small_side(side), keys) if keys else rows.crossJoin(F.broadcast(side))
     part = (
         located.select(*keys, "_v", F.explode("_spans").alias("s"))
         .where(F.col("_v") <= F.col("s.hi"))

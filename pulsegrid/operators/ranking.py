@@ -5,20 +5,26 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import hash32
 
-BUCKET_SHIFT = 20  # 4096 buckets of the 32-bit hash
+HASH_BITS = 32
+BUCKET_BITS = 16
 
 
-def take_lowest(df: DataFrame, keys, quotas: DataFrame, seed, ids, flag="selected") -> DataFrame:
+def hash_bucket(h: Column, bits=BUCKET_BITS) -> Column:
+    """Leading ``bits`` of a 32-bit hash."""
+    return F.shiftright(h, HASH_BITS - bits).cast("int")
+
+
+def take_lowest(df: DataFrame, keys, quotas: DataFrame, seed, ids, flag="selected", bits=BUCKET_BITS) -> DataFrame:
     """Flag, per key, the ``quota`` rows with the smallest (hash, id).
 
     A row number over the whole key would put the key in one task. Instead the hash is
-    cut into 4096 buckets, bucket counts tell in which bucket the quota ends, and only
+    cut into 2**bits buckets, bucket counts tell in which bucket the quota ends, and only
     rows of that one bucket are numbered. All other rows are decided by a comparison and
     never shuffle. ``quotas`` has one row per key (classes, candidates: a parameter list).
     """
     ids = [ids] if isinstance(ids, str) else list(ids)
     tied = df.withColumn("_h", hash32(seed, *[F.col(c) for c in ids]))
-    tied = tied.withColumn("_b", F.shiftright("_h", BUCKET_SHIFT).cast("int"))
+    tied = tied.withColumn("_b", hash_bucket(F.col("_h"), bits))
     along = Window.partitionBy(*keys).orderBy("_b")
     counts = tied.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     edge = (
@@ -32,7 +38,7 @@ def take_lowest(df: DataFrame, keys, quotas: DataFrame, seed, ids, flag="selecte
         .select(
             *keys,
             F.when(F.col("quota") <= 0, F.lit(-1)).otherwise(
-                F.coalesce("_edge", F.lit(1 << (32 - BUCKET_SHIFT)))
+                F.coalesce("_edge", F.lit(1 << bits))
             ).alias("_edge"),
             (F.col("quota") - F.coalesce("_before", F.lit(0))).alias("_need"),
         )

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.hashing import hash32
 from pulsegrid.operators.groups import largest_group
 from pulsegrid.operators.metrics import class_counts
-from pulsegrid.operators.ranking import BUCKET_SHIFT, take_lowest
+from pulsegrid.operators.ranking import hash_bucket, take_lowest
 from pulsegrid.schema import CLASS_NAMES, N_CLASSES, TRAIN_FRACTION, VAL_FRACTION
 from pulsegrid.session import pin
 
 MIN_SUPPORT = 30
 GUARD_ROWS = 10
 FIRST_BATCH = 64
+CANDIDATE_BITS = 10  # candidates rank records, which are far fewer than rows
 
 COUNTS = [f"count_{c}" for c in CLASS_NAMES]
 
@@ -45,7 +46,7 @@ def _drawn_counts(per_record, record, quota, seed, lo, hi):
     spark = per_record.sparkSession
     cands = spark.range(lo, hi).withColumnRenamed("id", "cand")
     rows = per_record.withColumn("cand", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi - 1).cast("long"))))
-    drawn = take_lowest(rows, ["cand"], cands.withColumn("quota", F.lit(quota)), seed, ["cand", record])
+    drawn = take_lowest(rows, ["cand"], cands.withColumn("quota", F.lit(quota)), seed, ["cand", record], bits=CANDIDATE_BITS)
     return drawn.where("selected").groupBy("cand").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -53,7 +54,7 @@ def _draw(per_record, record, quota, seed, cand):
     spark = per_record.sparkSession
     one = spark.range(1).select(F.lit(cand).cast("long").alias("cand"), F.lit(quota).alias("quota"))
     rows = per_record.withColumn("cand", F.lit(cand).cast("long"))
-    return take_lowest(rows, ["cand"], one, seed, ["cand", record]).select(record, "selected")
+    return take_lowest(rows, ["cand"], one, seed, ["cand", record], bits=CANDIDATE_BITS).select(record, "selected")
 
 
 def _totals(per_record):
@@ -247,7 +248,7 @@ def max_overlap(audit: DataFrame, columns) -> DataFrame:
 def hash_rank(df: DataFrame, keys, seed, ids, name="rank"):
     """0-based rank per key in seeded hash order, without sorting a key in one task."""
     tied = df.withColumn("_h", hash32(seed, *[F.col(c) for c in ids])).withColumn(
-        "_b", F.shiftright("_h", BUCKET_SHIFT).cast("int"))
+        "_b", hash_bucket(F.col("_h")))
     along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tied.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
