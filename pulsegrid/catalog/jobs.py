@@ -5,7 +5,17 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog import query
 from pulsegrid.catalog.events import cells_sql, metrics_sql
 from pulsegrid.catalog.roles import beats, probs, rounded, rounded_sql, softmax_sql
-from pulsegrid.catalog.vectors import ADAPTER, RUN, argmax_sql, assigned_beats, fuse_sql
+from pulsegrid.catalog.vectors import (
+    ADAPTER,
+    PAIRED,
+    PQ_COLUMNS,
+    QUALITY,
+    ROLLUP,
+    RUN,
+    argmax_sql,
+    assigned_beats,
+    fuse_sql,
+)
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators import summary
 from pulsegrid.plans import decoders, models, runs, selection
@@ -99,7 +109,9 @@ def external_validation(spark, sf):
     return rounded(out.select("scenario", "seed", "cand", "mode", "macro_f1_4", "accuracy", "is_best"))
 
 
-@query("calibration_audit")
+@query("calibration_audit", rounded_sql(f"""with {ADAPTER}, {CHOSEN}, {TESTED},
+st as (select dataset, method, seed, y, 'raw' as source, p_backbone as p from ts union all select dataset, method, seed, y, 'adapted', z from ts),
+{QUALITY}, {PAIRED}, {ROLLUP}""", PQ_COLUMNS))
 def calibration_audit(spark, sf):
     """Adapter scores of the test rows, paired quality and its roll-up."""
     p = probs(spark, sf)

@@ -560,8 +560,7 @@ def _stacked(spark, sf):
         F.struct(F.lit("adapted").alias("source"), P.power_calibrate(F.col("p_evidence"), 0.9).alias("p")))).alias("s")).select(*CAL_KEYS, "y", "s.*")
 
 
-CAL = f"""{PROBS}, st as (select dataset, method, seed, y, 'raw' as source, p_backbone as p from probs union all select dataset, method, seed, y, 'adapted', {power_sql('p_evidence', '0.9::double')} from probs),
-sn as (select * exclude (p), {norm_sql('p')} as q from st),
+QUALITY = f"""sn as (select * exclude (p), {norm_sql('p')} as q from st),
 sc as (select *, list_max(q) as conf, ({argmax_sql('q')} = y)::int::double as hit, list_sum(list_transform(range(5), lambda i: pow(q[i + 1] - (case when i = y then 1 else 0 end), 2))) as br,
   -ln(least(greatest(q[y + 1], 1e-12::double), 1.0::double)) as ls from sn),
 bn0 as (select *, floor(conf * 15) as g from sc),
@@ -569,6 +568,8 @@ bn1 as (select *, case when conf < g * (1.0::double / 15) then g - 1 else g end
 bn as (select *, (least(greatest(case when conf >= (l + 1) * (1.0::double / 15) then l + 1 else l end, 0), 14) + 1)::int as bin from bn1),
 bb as (select dataset, method, seed, source, bin, count(*) as n, sum(hit) as hits, sum(conf) as conf, sum(br) as brier, sum(ls) as loss from bn group by all),
 qq as (select dataset, method, seed, source, sum(n)::bigint as n, sum(brier) / sum(n) as brier, sum(abs(hits - conf)) / sum(n) as ece, sum(loss) / sum(n) as nll, sum(hits) / sum(n) as accuracy from bb group by all)"""
+CAL = f"""{PROBS}, st as (select dataset, method, seed, y, 'raw' as source, p_backbone as p from probs union all select dataset, method, seed, y, 'adapted', {power_sql('p_evidence', '0.9::double')} from probs),
+{QUALITY}"""
 QN = ["brier", "ece", "nll", "accuracy"]
 
 
@@ -627,9 +628,13 @@ def calibration_gap(spark, sf):
 _MS = ", ".join(f"avg({m}) as {m}_mean, stddev_pop({m}) as {m}_std" for m in PQ)
 
 
-@query("calibration_rollup", rounded_sql(f"""with {CAL}, {PAIRED}, ro as (select dataset, method, grouping(dataset, method) as g, string_agg(distinct seed::varchar, ' ' order by seed::varchar desc) as sd, count(distinct seed) as ds, count(*) as rw, {_MS} from pq group by grouping sets ((dataset, method), (method), ()))
+ROLLUP = f"""ro as (select dataset, method, grouping(dataset, method) as g, string_agg(distinct seed::varchar, ' ' order by seed::varchar desc) as sd, count(distinct seed) as ds, count(*) as rw, {_MS} from pq group by grouping sets ((dataset, method), (method), ()))
 select case when g = 0 then dataset else 'Overall' end as dataset, case when g = 3 then 'All representatives' else method end as method, case when g = 0 then ds else rw end as n_seeds, case when g = 0 then sd else 'all' end as seeds,
- {", ".join(f"{m}_mean, {m}_std" for m in PQ)} from ro""", " ".join(f"{m}_{s}" for m in PQ for s in ("mean", "std"))))
+ {", ".join(f"{m}_mean, {m}_std" for m in PQ)} from ro"""
+PQ_COLUMNS = " ".join(f"{m}_{s}" for m in PQ for s in ("mean", "std"))
+
+
+@query("calibration_rollup", rounded_sql(f"with {CAL}, {PAIRED}, {ROLLUP}", PQ_COLUMNS))
 def calibration_rollup(spark, sf):
     rows = C.paired_quality(C.binned_scores(_stacked(spark, sf), [*CAL_KEYS, "source"]), CAL_KEYS)
     return rounded(summary.calibration_rollup(rows, PQ))
@@ -653,7 +658,17 @@ def _vec(spark, sf):
         F.col("vec_id").alias("beat_id"), (F.col("label") % 5).alias("y"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query("smote")
+@query("smote", rounded_sql(f"""with e as (select vec_id as id, label % 5 as y, embedding::double[] as v from embeddings),
+cl as (select y, count(*) as n from e group by y), lim as (select max(n) as top, least(5, min(n) - 1) as k from cl),
+sm as (select y, n, top - n as need, sum(top - n) over (order by y) as edge from cl, lim where n < top),
+rk as (select id, e.y, v, row_number() over (partition by e.y order by {hash_sql(str(SEED), 'id')}, id) - 1 as rk from e),
+sl as (select s, y, n from (select range as s from range((select max(edge)::bigint from sm))) r join sm on s < edge and s >= edge - need),
+ds as (select a.id, b.id as nb, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) as d from e a join e b on a.y = b.y and a.id <> b.id),
+nn as (select id, nb, row_number() over (partition by id order by d, nb) as r from ds),
+pk as (select s, sl.y, rk.id, rk.v, {hash_sql(str(SEED), 's', repr('near'))} % (select k from lim) + 1 as r, {hash_sql(str(SEED), 's', repr('u'))} / 4294967296.0::double as u
+  from sl join rk on rk.y = sl.y and rk.rk = {hash_sql(str(SEED), 's', repr('base'))} % sl.n)
+select id, y, false as synthetic, list_sum(v) as total from e union all
+select -s - 1, pk.y, true, list_sum(list_transform(range(1, 65), lambda i: pk.v[i] + u * (b.v[i] - pk.v[i]))) from pk join nn on nn.id = pk.id and nn.r = pk.r join e b on b.id = nn.nb""", "total"))
 def smote(spark, sf):
     out = rebalance.interpolate_minority(_vec(spark, sf), SEED)
     return rounded(out.select("id", "y", "synthetic", A.total(F.col("vec")).alias("total")))
@@ -673,7 +688,21 @@ def smote_cleaned(spark, sf):
     return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("augment")
+def _draw(*parts):
+    return hash_sql(str(SEED), "0", "beat_id", *parts)
+
+
+def _noisy_sql(lead):
+    u1 = f"(({_draw(repr(lead), 'i - 1', repr('a'))}) + 0.5::double) / 4294967296.0::double"
+    u2 = f"({_draw(repr(lead), 'i - 1', repr('b'))}) / 4294967296.0::double"
+    noise = f"sqrt(-2.0::double * ln({u1})) * cos(6.283185307179586::double * {u2})"
+    return f"list_transform(range(1, 33), lambda i: case when m and i > st and i <= st + w then 0.0::double else {lead}[i] + 0.01::double * {noise} end)"
+
+
+@query("augment", rounded_sql(f"""with {BEATS}, a as (select *, {_draw(repr('m'))} / 4294967296.0::double < 0.25 as m, 8 + {_draw(repr('w'))} % 17 as w from beats),
+b as (select *, {_draw(repr('s'))} % (greatest(32 - w, 0) + 1) as st from a),
+c as (select beat_id, {_noisy_sql('b0')} as x, {_noisy_sql('b1')} as z from b)
+select beat_id, list_sum(x) as s0, list_sum(z) as s1, len(list_filter(x, lambda v: v = 0))::int as zeroed from c""", "s0 s1"))
 def augment(spark, sf):
     b = beats(spark, sf)
     out = rebalance.jitter_mask(b, SEED, 0)
