@@ -658,7 +658,7 @@ def _vec(spark, sf):
         F.col("vec_id").alias("beat_id"), (F.col("label") % 5).alias("y"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query("smote", rounded_sql(f"""with e as (select vec_id as id, label % 5 as y, embedding::double[] as v from embeddings),
+SMOTE = f"""e as (select vec_id as id, label % 5 as y, embedding::double[] as v from embeddings),
 cl as (select y, count(*) as n from e group by y), lim as (select max(n) as top, least(5, min(n) - 1) as k from cl),
 sm as (select y, n, top - n as need, sum(top - n) over (order by y) as edge from cl, lim where n < top),
 rk as (select id, e.y, v, row_number() over (partition by e.y order by {hash_sql(str(SEED), 'id')}, id) - 1 as rk from e),
@@ -666,9 +666,12 @@ sl as (select s, y, n from (select range as s from range((select max(edge)::bigi
 ds as (select a.id, b.id as nb, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) as d from e a join e b on a.y = b.y and a.id <> b.id),
 nn as (select id, nb, row_number() over (partition by id order by d, nb) as r from ds),
 pk as (select s, sl.y, rk.id, rk.v, {hash_sql(str(SEED), 's', repr('near'))} % (select k from lim) + 1 as r, {hash_sql(str(SEED), 's', repr('u'))} / 4294967296.0::double as u
-  from sl join rk on rk.y = sl.y and rk.rk = {hash_sql(str(SEED), 's', repr('base'))} % sl.n)
-select id, y, false as synthetic, list_sum(v) as total from e union all
-select -s - 1, pk.y, true, list_sum(list_transform(range(1, 65), lambda i: pk.v[i] + u * (b.v[i] - pk.v[i]))) from pk join nn on nn.id = pk.id and nn.r = pk.r join e b on b.id = nn.nb""", "total"))
+  from sl join rk on rk.y = sl.y and rk.rk = {hash_sql(str(SEED), 's', repr('base'))} % sl.n),
+res as (select id, y, false as synthetic, v from e union all
+  select -s - 1, pk.y, true, list_transform(range(1, 65), lambda i: pk.v[i] + u * (b.v[i] - pk.v[i])) from pk join nn on nn.id = pk.id and nn.r = pk.r join e b on b.id = nn.nb)"""
+
+
+@query("smote", rounded_sql(f"with {SMOTE} select id, y, synthetic, list_sum(v) as total from res", "total"))
 def smote(spark, sf):
     out = rebalance.interpolate_minority(_vec(spark, sf), SEED)
     return rounded(out.select("id", "y", "synthetic", A.total(F.col("vec")).alias("total")))
@@ -682,7 +685,11 @@ def tomek_links(spark, sf):
     return rebalance.link_pairs(_vec(spark, sf), "y", "beat_id")
 
 
-@query("smote_cleaned")
+@query("smote_cleaned", f"""with {SMOTE},
+dd as (select a.id, b.id as nb, a.y, b.y as yb, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) as d from res a join res b on a.id <> b.id),
+n1 as (select id, arg_min(nb, (d, nb)) as nb, arg_min(yb, (d, nb)) as yb, any_value(y) as y from dd group by id),
+tl as (select a.id from n1 a join n1 b on a.nb = b.id and b.nb = a.id where a.y <> a.yb)
+select y, synthetic, count(*) as n from res where id not in (select id from tl) group by all""")
 def smote_cleaned(spark, sf):
     out = rebalance.interpolate_and_clean(_vec(spark, sf), SEED)
     return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))

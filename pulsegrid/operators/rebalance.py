@@ -10,6 +10,10 @@ from pulsegrid.schema import N_CLASSES
 from pulsegrid.session import pin
 
 
+PIECE = 10_000
+SMALL_CLASS_ROWS = 20_000
+
+
 def _class_sizes(df, y):
     rows = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("n")).take(N_CLASSES + 1)
     return {int(r["_y"]): int(r["n"]) for r in rows}
@@ -35,8 +39,15 @@ def inverse_frequency(df: DataFrame, seed, y="y", row_id="beat_id") -> DataFrame
     copies = slots.groupBy("_y", "_rank").agg(F.count(F.lit(1)).alias("copies"))
     keyed = hash_rank(df.withColumn("_y", F.col(y).cast("int")), ["_y"], seed, [row_id], "_rank")
     drawn = keyed.join(copies, ["_y", "_rank"])
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(
-        "_y", "_rank", "copies")
+    last = F.ceil(F.col("copies") / PIECE) - 1
+    drawn = drawn.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if sum(sizes.values()) / len(sizes) / min(sizes.values()) > PIECE / 2:
+        # A class of a few rows gets very many copies of each; no task writes them all.
+        drawn = drawn.repartition("_y", "_rank", "_piece")
+    first = F.col("_piece") * PIECE + 1
+    return drawn.withColumn(
+        "copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + PIECE - 1)))
+    ).drop("_y", "_rank", "copies", "_piece")
 
 
 def interpolate_minority(df: DataFrame, seed, y="y", row_id="beat_id", vec="vec", k_max=5) -> DataFrame:
@@ -72,11 +83,18 @@ def interpolate_minority(df: DataFrame, seed, y="y", row_id="beat_id", vec="vec"
         .withColumn("rank", (hash32(seed, F.col("slot"), "near") % k + 1).cast("int"))
         .withColumn("u", uniform(seed, F.col("slot"), "u"))
     )
-    # Slots spread evenly over ranks, so neither join has a hot key.
-    placed = slots.join(ranked.withColumnRenamed("vec", "a"), ["by", "_rank"])
-    linked = placed.join(near.select("id", "rank", "neighbour"), ["id", "rank"])
+    # Few minority rows under many slots are broadcast. Otherwise slots spread over many ranks
+    # and the joins shuffle; the adaptive skew split covers a tiny class beside a large one.
+    few = minor.count() <= SMALL_CLASS_ROWS
+
+    def side(df):
+        return F.broadcast(df) if few else df
+
+    near = pin(near.select("id", "rank", "neighbour"))
+    placed = slots.join(side(ranked.withColumnRenamed("vec", "a")), ["by", "_rank"])
+    linked = placed.join(side(near), ["id", "rank"])
     ends = minor.select(F.col("id").alias("neighbour"), F.col("vec").alias("b"))
-    made = linked.join(ends, "neighbour").select(
+    made = linked.join(side(ends), "neighbour").select(
         (-F.col("slot") - 1).alias("id"), "by",
         F.zip_with("a", "b", lambda p, q: p + F.col("u") * (q - p)).alias("vec"),
         F.lit(True).alias("synthetic"),

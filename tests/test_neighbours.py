@@ -114,3 +114,12 @@ def test_vote_shares(spark):
     assert len(out) == 5 and all(sum(r["p"]) == pytest.approx(1.0) for r in out)
     assert {round(v * 7) for r in out for v in r["p"]} <= set(range(8))
     assert df.select(F.max("y")).first()[0] == 1
+
+
+def test_copies_of_a_tiny_class_are_split(spark, monkeypatch):
+    monkeypatch.setattr(rebalance, "PIECE", 20)
+    df, _ = labelled(spark, {0: 600, 1: 1})
+    out = rebalance.inverse_frequency(df, 3)
+    sizes = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
+    assert sum(sizes.values()) == 601 and 250 < sizes[1] < 350
+    assert out.where("y = 1").select("copy").distinct().count() == sizes[1]
