@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, quality_rules, sharding
+from pulsegrid.llm import mixing, quality_rules, sharding, simhash
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
@@ -30,3 +30,9 @@ def op7(spark, sf):
     return quality_rules.apply_policy(led, "v1").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "failed_bits")
+
+
+@query("op9_simhash_vptree")
+def op9(spark, sf):
+    """Fingerprints of all documents and the components of those at most three bits apart."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
