@@ -1,11 +1,20 @@
 """The numbered queries: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing, quality_rules, sharding, simhash
+from pulsegrid.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_linear_token_counts")
+def op2(spark, sf):
+    """Greedy word-piece lengths of all documents."""
+    return token_counts.count_tokens(table(spark, sf, "documents"), VOCABULARY)
+
 
 @query("op3_temperature_mix", S.MIX)
 def op3(spark, sf):
@@ -36,3 +45,9 @@ def op7(spark, sf):
 def op9(spark, sf):
     """Fingerprints of all documents and the components of those at most three bits apart."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op10_segment_tree_bpe")
+def op10(spark, sf):
+    """All documents encoded and decoded with the byte-level vocabulary."""
+    return bpe.encode(table(spark, sf, "documents"), VOCABULARY)
