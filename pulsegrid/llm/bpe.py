@@ -65,51 +65,63 @@ class Merges:
 
 
 def _merge_together(m: Merges, pieces: list, width: int) -> list:
-    """Ids of pieces of at most ``width`` bytes (a power of two): all trees in one array."""
+    """Ids of pieces of at most ``width`` bytes (a power of two): all trees in one flat array."""
     n = len(pieces)
-    raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+    raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8)
     length = np.array([len(p) for p in pieces])
     sym = m.first[raw]
     place = np.arange(width)
-    nxt = np.broadcast_to(place + 1, (n, width)).copy()
-    prv = np.broadcast_to(place - 1, (n, width)).copy()
+    slot = np.arange(n * width).reshape(n, width)
+    # neighbours as flat slots; the slot after the last symbol of a piece is -1
+    nxt = np.where(place + 1 < length[:, None], slot + 1, -1).ravel()
+    prv = np.where(place > 0, slot - 1, -1).ravel()
     tree = np.full((n, 2 * width), _NONE, np.int64)
-    pairs = m.rank(sym[:, :-1], sym[:, 1:])
-    leaf = np.where(place[None, :-1] + 1 < length[:, None], pairs, _NONE)
-    tree[:, width:-1] = np.where(leaf < _NONE, leaf * width + place[:-1], _NONE)
-    for at in range(width - 1, 0, -1):
-        np.minimum(tree[:, 2 * at], tree[:, 2 * at + 1], out=tree[:, at])
-    alive = np.ones((n, width), bool) & (place < length[:, None])
-
-    def put(rows, pos, value):
+    pairs = m.rank(sym[:-1], sym[1:])
+    leaf = np.where((nxt[:-1] >= 0) & (pairs < _NONE), pairs * width + np.tile(place, n)[:-1], _NONE)
+    tree[:, width:] = np.append(leaf, _NONE).reshape(n, width)
+    half = width
+    while half > 1:
+        level = tree[:, half:2 * half]
+        half //= 2
+        tree[:, half:2 * half] = np.minimum(level[:, ::2], level[:, 1::2])
+    tree = tree.ravel()
+    alive = (place < length[:, None]).ravel()
+
+    def put(base, pos, value):
+        node = base + base + pos + width  # trees start at twice the slots' start
+        off = base + base
+        tree[node] = value
         node = pos + width
-        tree[rows, node] = value
-        while node[0] > 1:  # all nodes are on one level
+        for _ in range(width.bit_length() - 1):
+            other = tree[off + (node ^ 1)]
+            value = np.minimum(value, other)
             node = node >> 1
-            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-
-    rows = np.flatnonzero(tree[:, 1] < _NONE)
-    while len(rows):
-        rank, pos = np.divmod(tree[rows, 1], width)
-        gone = nxt[rows, pos]
-        after = nxt[rows, gone]
-        sym[rows, pos] = m.merged[rank]
-        alive[rows, gone] = False
-        nxt[rows, pos] = after
-        inner = after < length[rows]
-        prv[rows[inner], after[inner]] = pos[inner]
-        put(rows, gone, _NONE)
-        right = m.rank(sym[rows, pos], sym[rows, np.minimum(after, width - 1)])
-        put(rows, pos, np.where(inner & (right < _NONE), right * width + pos, _NONE))
-        before = prv[rows, pos]
+            tree[off + node] = value
+
+    base = np.flatnonzero(tree[1::2 * width] < _NONE) * width
+    while len(base):
+        rank, pos = np.divmod(tree[2 * base + 1], width)
+        at = base + pos
+        gone = nxt[at]
+        after = nxt[gone]
+        sym[at] = m.merged[rank]
+        alive[gone] = False
+        nxt[at] = after
+        inner = after >= 0
+        prv[after[inner]] = at[inner]
+        put(base, gone - base, np.full(len(base), _NONE))
+        right = m.rank(sym[at], sym[after])
+        put(base, pos, np.where(inner & (right < _NONE), right * width + pos, _NONE))
+        before = prv[at]
         has = before >= 0
         if has.any():
-            r, b, p = rows[has], before[has], pos[has]
-            left = m.rank(sym[r, b], sym[r, p])
-            put(r, b, np.where(left < _NONE, left * width + b, _NONE))
-        rows = rows[tree[rows, 1] < _NONE]
-    counts = alive.sum(1)
-    return [x.tolist() for x in np.split(sym[alive], np.cumsum(counts)[:-1])]
+            own, old = base[has], before[has]
+            left = m.rank(sym[old], sym[at[has]])
+            put(own, old - own, np.where(left < _NONE, left * width + old - own, _NONE))
+        base = base[tree[2 * base + 1] < _NONE]
+    ends = np.cumsum(alive.reshape(n, width).sum(1)).tolist()
+    ids = sym[alive].tolist()
+    return [ids[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def _merge_one(m: Merges, piece: bytes) -> list:
@@ -173,16 +185,39 @@ def merge_pieces(m: Merges, pieces: list) -> list:
     return out
 
 
+class _Runs(dict):
+    """Bytes of runs of ids, worked out at first sight."""
+
+    def __init__(self, bytes_of):
+        self.bytes_of = bytes_of
+
+    def __missing__(self, run):
+        self[run] = out = b"".join(map(self.bytes_of.__getitem__, run.split(","))) if run else b""
+        return out
+
+
 class Encoder:
-    """Text to decimal ids joined by commas, and back; remembers the pieces of its task."""
+    """Text to runs of decimal ids joined by commas, and back.
+
+    A text is cut at its spaces: a chunk that begins and ends with other than white space falls
+    into the same pieces wherever it stands, so the ids of a chunk (and their bytes) are
+    remembered. Texts with doubled or outer white space, or with an added token, are cut into
+    pieces as a whole.
+    """
 
     def __init__(self, m: Merges):
-        self.m, self.known = m, {}
-        self.find = regex.compile(PIECES).findall
+        self.m, self.find = m, regex.compile(PIECES).findall
+        self.outer = regex.compile(r"\A\s|\s\Z|\A\Z").search
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")").split if m.special else None
         self.bytes_of = {str(i): b for i, b in m.token_bytes.items()}
+        self.forget()
 
-    def _pieces(self, text):
+    def forget(self):
+        """Remembered: ids of pieces, ids of chunks after a space (None: not safe), bytes of id runs."""
+        self.pieces, self.chunks = {s: str(i) for s, i in self.m.special.items()}, {}
+        self.runs = _Runs(self.bytes_of)
+
+    def _whole(self, text):
         if self.split is None or not any(s in text for s in self.m.special):
             return self.find(text)
         out = []
@@ -191,18 +226,50 @@ class Encoder:
         return out
 
     def encode(self, texts: list) -> list:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, cut = self.known, [self._pieces(t) for t in texts]
-        for s, i in self.m.special.items():
-            known[s] = str(i)
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for p, ids in zip(new, merge_pieces(self.m, [p.encode() for p in new])):
-            known[p] = ",".join(map(str, ids))
-        return [",".join(map(known.__getitem__, pieces)) for pieces in cut]
+        """For each text a list of id runs; joined by commas they are its ids."""
+        if len(self.chunks) + len(self.pieces) > REMEMBERED:
+            self.forget()
+        pieces, chunks = self.pieces, self.chunks
+        cut = [t.split(" ") for t in texts]
+        seen = set()
+        for c in cut:
+            seen.update(c[1:])
+        new = {c: None if self.outer(c) else self.find(" " + c) for c in seen.difference(chunks)}
+        whole = {}
+        for i, c in enumerate(cut):
+            if any(s in texts[i] for s in self.m.special) or "" in c:
+                whole[i] = self._whole(texts[i])
+            elif c[0] and self.outer(c[0]):
+                whole[i] = self._whole(texts[i])
+        heads = [self.find(c[0]) if i not in whole else [] for i, c in enumerate(cut)]
+        fresh = set()
+        for found in (new.values(), whole.values(), heads):
+            for p in found:
+                if p:
+                    fresh.update(p)
+        fresh = list(fresh.difference(pieces))
+        for p, ids in zip(fresh, merge_pieces(self.m, [p.encode() for p in fresh])):
+            pieces[p] = ",".join(map(str, ids))
+        get = pieces.__getitem__
+        for c, found in new.items():
+            chunks[c] = None if found is None else ",".join(map(get, found))
+        out = []
+        for i, c in enumerate(cut):
+            if i not in whole:
+                run = list(map(chunks.__getitem__, c[1:]))
+                if None in run:
+                    whole[i] = self._whole(texts[i])
+                    lost = [p for p in set(whole[i]) if p not in pieces]
+                    for p, ids in zip(lost, merge_pieces(self.m, [p.encode() for p in lost])):
+                        pieces[p] = ",".join(map(str, ids))
+            out.append(list(map(get, whole[i] if i in whole else heads[i])) + ([] if i in whole else run))
+        return out
 
-    def decode(self, ids: str) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+    def decode(self, runs: list) -> str:
+        """Text of id runs: the bytes of their ids in order, as UTF-8."""
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        return b"".join(map(self.runs.__getitem__, runs)).decode("utf-8", "replace")
 
 
 def _text_batches(column):
@@ -233,15 +300,17 @@ def with_ids(docs: DataFrame, path: str, text="text", ids=False) -> DataFrame:
                         "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if ids else [])])
 
     def run(batches):
-        enc = Encoder(shared.value)
+        tables = shared.value  # kept by the worker from task to task, and with it what it remembers
+        enc = tables.encoder = getattr(tables, "encoder", None) or Encoder(tables)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             n, digest, decoded, listed = [], [], [], []
             for texts in _text_batches(b.column(b.num_columns - 1)):
-                for t in enc.encode(texts):
+                for runs in enc.encode(texts):
+                    t = ",".join(runs)
                     n.append(t.count(",") + 1 if t else 0)
                     digest.append(sha(t))
-                    decoded.append(sha(enc.decode(t)))
+                    decoded.append(sha(enc.decode(runs)))
                     if ids:
                         listed.append(np.array(t.split(",") if t else [], np.int32))
             cols = [b.column(i) for i in range(len(kept))] + [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
