@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts
+from pulsegrid.llm import ann, bpe, html_content, mixing, pii, quality_rules, sharding, simhash, token_counts
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
@@ -32,6 +32,18 @@ def op4(spark, sf):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op5_pii_transducers")
+def op5(spark, sf):
+    """Personal data in all documents, plain and disguised."""
+    return pii.detect(table(spark, sf, "documents"))
+
+
+@query("op6_max_scoring_region")
+def op6(spark, sf):
+    """Main text of all pages."""
+    return html_content.extract(table(spark, sf, "pages"))
+
+
 @query("op7_rule_ledger", S.QUALITY)
 def op7(spark, sf):
     """Ledger of all documents with the verdict of policy v1."""
@@ -41,6 +53,13 @@ def op7(spark, sf):
         "n_lines", "failed_bits")
 
 
+@query("op8_learned_partitions")
+def op8(spark, sf):
+    """Twenty nearest rows of every twentieth vector, by inner product."""
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op9_simhash_vptree")
 def op9(spark, sf):
     """Fingerprints of all documents and the components of those at most three bits apart."""
