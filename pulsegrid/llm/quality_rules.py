@@ -90,6 +90,17 @@ def apply_policy(led: DataFrame, version: str = "v1") -> DataFrame:
     })
 
 
+def kept_documents(docs: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with their own columns.
+
+    The filter also reads a row number, so that the optimiser does not push it below the
+    measurements and with that copy their expressions into it many times over.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text"))
+    led = apply_policy(with_ledger(whole), version).withColumn("_row", F.monotonically_increasing_id())
+    return led.where("kept and _row >= 0").select("_doc.*")
+
+
 def ablations(led: DataFrame, policies: dict = None) -> DataFrame:
     """Per policy and rule: documents rejected, failing the rule, and rejected by it alone.
 

@@ -1,15 +1,22 @@
 """The numbered queries: each applies one operator to its whole table."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ann, bpe, html_content, mixing, pii, quality_rules, sharding, simhash, token_counts
+from pulsegrid.llm import ann, bpe, html_content, mixing, pii, quality_rules, repeats, sharding, simhash, token_counts
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_bucket_refinement")
+def op1(spark, sf):
+    """Bytes of all documents that lie in a 100-byte string seen earlier."""
+    return repeats.remove_repeats(table(spark, sf, "documents"), 100)
+
+
 @query("op2_linear_token_counts")
 def op2(spark, sf):
     """Greedy word-piece lengths of all documents."""
@@ -70,3 +77,9 @@ def op9(spark, sf):
 def op10(spark, sf):
     """All documents encoded and decoded with the byte-level vocabulary."""
     return bpe.encode(table(spark, sf, "documents"), VOCABULARY)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    """All stages of the corpus pipeline over documents."""
+    return corpus_pipeline.run(spark, sf)

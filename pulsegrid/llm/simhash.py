@@ -75,6 +75,18 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", shingle=SHINGLE,
         run, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, text="text", shingle=SHINGLE, seed=SEED) -> DataFrame:
+    """``docs`` with the fingerprint of its text as 16 hex digits in ``_fp``."""
+    at, names = docs.columns.index(text), [*docs.columns, "_fp"]
+
+    def run(batches):
+        for b in batches:
+            fps = [_majority(h, [len(h)])[0] for h in (_hashes(t.as_py(), shingle, seed) for t in b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f"{int(v):016x}" for v in fps], pa.string())], names)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _fp string")
+
+
 def _distance(a, b):
     return np.bitwise_count(a ^ b).astype(np.int16)
 
