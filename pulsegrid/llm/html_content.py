@@ -43,12 +43,13 @@ BLOCK = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd article section main table thead tbody tfoot tr caption blockquote pre hr "
     "address figure figcaption details summary fieldset legend center body html".split())
 SPACE = frozenset("br td th wbr img input".split())
+WHOLE = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
-_WORDISH = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
+_PARTS, _ABOUT = re.compile("[-_]+").split, frozenset("has no with without is js".split())
 
 
 def _keys(name, attrs):
@@ -57,9 +58,9 @@ def _keys(name, attrs):
     if attrs and "=" in attrs:
         for m in _NAMES.finditer(attrs):
             for w in (m[1] or m[2] or m[3] or "").lower().split():
-                keys.append("." + w)
-                parts = _WORDISH.findall(w.replace("_", " "))
-                keys += ["." + p for p in parts if p != w]
+                parts = _PARTS(w)
+                # main-menu and ad-slot say what they are, has-sidebar does not
+                keys += ["." + k for k in dict.fromkeys((w, parts[0], parts[-1]) if parts[0] not in _ABOUT else (w,))]
     return keys
 
 
@@ -97,6 +98,8 @@ def events(page: str):
 
 
 def _outside(keys, learned):
+    if keys[0] in WHOLE:
+        return False
     return keys[0] in OUTSIDE or any(k[1:] in BOILERPLATE or k in learned for k in keys[1:])
 
 

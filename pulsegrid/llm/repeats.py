@@ -202,13 +202,13 @@ def remove_repeats(docs: DataFrame, length=100, doc_id="doc_id", text="text", ho
     body = f"coalesce(`{text}`, '')"
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.expr(f"coalesce(cast(`{doc_id}` as bigint), {-2 ** 63 + 1}L - 1L)").alias("d"),
                         F.expr(f"cast({body} as binary)").alias("t"))
-    narrow = pin(keyed.select("d", F.xxhash64("t").alias("x"), F.expr("unhex(md5(t))").alias("m"), F.octet_length("t").alias("n")).distinct())
+    narrow = pin(keyed.select("d", F.xxhash64("t").alias("x"), F.expr("unhex(md5(t))").alias("m"), F.octet_length("t").alias("n")))
     unique = narrow.groupBy("d").count().where("count > 1").limit(1).count() == 0
-    # the text's hash is part of the key only where an id is used for different texts
+    # the text's hash is part of the key, and rows are told apart, only where an id is used again
     keyed = keyed.withColumn("x", F.lit(0).cast("long") if unique else F.xxhash64("t"))
     if unique:
         narrow = narrow.withColumn("x", F.lit(0).cast("long"))
-    whole = narrow.where(f"n >= {length}")
+    whole = narrow.where(f"n >= {length}").distinct()
     first = whole.groupBy("m").agg(F.min(F.struct("d", "x")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     later = pin(whole.join(first, "m").where(F.struct("d", "x") != F.col("f")).select("d", "x"))
 
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, length=100, doc_id="doc_id", text="text", ho
     marks, path = _written(keyed.select("d", "x", "t").mapInArrow(find, "h long, d long, x long, pos int, lo short, hi short"))
     shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     held = marks.join(shared, "h").join(later, ["d", "x"], "left_anti").groupBy("d", "x").agg(
-        F.collect_list(F.struct("h", "pos", "lo", "hi", F.expr(f"c > {hot_rows}").alias("hot"))).alias("a"))
+        (F.collect_list if unique else F.collect_set)(F.struct("h", "pos", "lo", "hi", F.expr(f"c > {hot_rows}").alias("hot"))).alias("a"))
     held, held_path = _written(held)
     _drop(spark, path)
     any_hot = held.where("exists(a, v -> v.hot)").limit(1).count() > 0
