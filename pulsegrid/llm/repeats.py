@@ -26,6 +26,7 @@ string; texts shorter than ``length`` lose nothing. Extra columns are ignored. N
 rows. Long texts are cut into pieces of PIECE windows that overlap by ``length``.
 """
 
+import gc
 import hashlib
 import uuid
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.session import ensure_checkpoint_dir, pin
 
-GRAM, PIECE, HOT_ROWS, CHUNK_ROWS = 32, 1 << 22, 20_000, 30_000
+GRAM, PIECE, HOT_ROWS, CHUNK_ROWS = 32, 1 << 22, 50_000, 30_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -156,12 +157,12 @@ def _by_bucket(batches, length):
         yield _refined(pa.Table.from_batches(held), length)
 
 
-def _hot_ranges(spans: DataFrame, length: int) -> DataFrame:
-    """Ranges in oversized buckets: equal spans collapse in an aggregate, then single windows do."""
+def _hot_ranges(spans: DataFrame, length: int):
+    """(ranges, path of a table they read) in oversized buckets: equal spans collapse in an aggregate, then single windows do."""
     me = F.struct("d", "x", "pos")
     keyed = spans.withColumn("k", F.md5("span"))
     first = keyed.groupBy("h", "lo", "k").agg(F.min(me).alias("f"))
-    both = pin(keyed.join(first, ["h", "lo", "k"]).withColumn("is_first", me == F.col("f")).drop("f", "k"))
+    both, path = _written(keyed.join(first, ["h", "lo", "k"]).withColumn("is_first", me == F.col("f")).drop("f", "k"))
     copies = both.where("not is_first").selectExpr("d", "x", "pos - lo as s", f"pos - hi + {length} as e")
 
     def windows(batches):
@@ -176,7 +177,7 @@ def _hot_ranges(spans: DataFrame, length: int) -> DataFrame:
     start = F.struct("d", "x", "s")
     low = each.groupBy("w").agg(F.min(start).alias("f"))
     later = each.join(low, "w").where(start != F.col("f")).selectExpr("d", "x", "s", f"s + {length} as e")
-    return copies.union(later)
+    return copies.union(later), path
 
 
 def _written(df: DataFrame):
@@ -192,6 +193,12 @@ def _drop(spark, path):
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _release(spark):
+    """Lets Spark's cleaner drop the shuffle files of finished steps, whose frames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_repeats(docs: DataFrame, length=100, doc_id="doc_id", text="text", hot_rows=HOT_ROWS, keep_text=False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` bytes if asked for).
 
@@ -227,10 +234,14 @@ def remove_repeats(docs: DataFrame, length=100, doc_id="doc_id", text="text", ho
 
     marks, path = _written(keyed.select("d", "x", "t").mapInArrow(find, "h long, d long, x long, pos int, lo short, hi short"))
     shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = marks.join(shared, "h").join(later, ["d", "x"], "left_anti").groupBy("d", "x").agg(
+    held = marks.join(shared, "h").groupBy("d", "x").agg(
         (F.collect_list if unique else F.collect_set)(F.struct("h", "pos", "lo", "hi", F.expr(f"c > {hot_rows}").alias("hot"))).alias("a"))
     held, held_path = _written(held)
     _drop(spark, path)
+    del marks, shared
+    _release(spark)
+    # only now: before the grouping, the optimiser would pull this join below the one on the buckets
+    held = held.join(later, ["d", "x"], "left_anti")
     any_hot = held.where("exists(a, v -> v.hot)").limit(1).count() > 0
 
     def fetch(batches):
@@ -253,17 +264,23 @@ def remove_repeats(docs: DataFrame, length=100, doc_id="doc_id", text="text", ho
         keyed.select("d", "x", "t")
     spans = spans.join(held, ["d", "x"]).select("d", "x", "t", "a").mapInArrow(
         fetch, "h long, d long, x long, pos int, lo short, hi short, hot boolean, span binary")
-    span_path = None
+    written = [held_path]
     if any_hot:
-        spans, span_path = _written(spans)
+        spans, path = _written(spans)
+        written.append(path)
     cold = spans.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "d", "x", "pos").mapInArrow(
         lambda batches: _by_bucket(batches, length), "d long, x long, s long, e long")
-    found = cold.union(_hot_ranges(spans.where("hot").drop("hot"), length)) if any_hot else cold
+    found = cold
+    if any_hot:
+        hot, path = _hot_ranges(spans.where("hot").drop("hot"), length)
+        found = cold.union(hot)
+        written.append(path)
     verdict = pin(found.groupBy("d", "x").agg(F.collect_list(F.struct("s", "e")).alias("r"), F.lit(False).alias("all")).union(
         later.select("d", "x", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"), F.lit(True))))
-    for used in filter(None, (held_path, span_path)):
-        _drop(spark, used)
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of the steps above
+    for path in written:
+        _drop(spark, path)
+    del spans, cold, found, held
+    _release(spark)
 
     def cut(batches):
         for b in batches:
