@@ -40,9 +40,16 @@ def _staged(name):
     return text.replace("from m_)", f"from {name}_m_)").replace("from mf_)", f"from {name}_mf_)")
 
 
+def _counts_json(role):
+    cells = ", ',".join(f"\"{c}\":', count(*) filter (where role = '{role}' and y = {i})" for i, c in enumerate("NSVFQ"))
+    return "concat('{" + cells + ", '}')"
+
+
 @query("score_runs", rounded_sql(f"""with {ADAPTER}, {CHOSEN}, {TESTED}, {_staged('raw')}, {_staged('adapted')}
-select a.dataset, a.family, a.method, a.seed, pol.alpha as selected_alpha, pol.decoder as selected_decoder, a.macro_f1_4, a.accuracy, a.F1_S, r.macro_f1_4 as raw_macro_f1_4, a.macro_f1_4 - r.macro_f1_4 as delta_macro_f1_4, (cnt.n0 + cnt.n1 + cnt.n2 + cnt.n3 + cnt.n4)::bigint as train_size
- from adapted_mrow a join raw_mrow r using (dataset, family, method, seed) join pol using (dataset, family, method, seed) join cnt on cnt.dataset = a.dataset and cnt.seed = a.seed""",
+select a.dataset, a.family, a.method, a.seed, pol.alpha as selected_alpha, pol.decoder as selected_decoder, a.macro_f1_4, a.accuracy, a.F1_S, r.macro_f1_4 as raw_macro_f1_4, a.macro_f1_4 - r.macro_f1_4 as delta_macro_f1_4, (cnt.n0 + cnt.n1 + cnt.n2 + cnt.n3 + cnt.n4)::bigint as train_size, pc.val_size, pc.test_size, pc.val_counts, pc.test_counts
+ from adapted_mrow a join raw_mrow r using (dataset, family, method, seed) join pol using (dataset, family, method, seed) join cnt on cnt.dataset = a.dataset and cnt.seed = a.seed
+ join (select dataset, family, method, seed, count(*) filter (where role = 'val') as val_size, count(*) filter (where role = 'test') as test_size,
+  {_counts_json('val')} as val_counts, {_counts_json('test')} as test_counts from probs group by all) pc using (dataset, family, method, seed)""",
     "macro_f1_4 accuracy F1_S raw_macro_f1_4 delta_macro_f1_4"))
 def score_runs(spark, sf):
     """Adapter choice on validation rows, decoding of the test rows and one detail row per run."""
@@ -50,7 +57,7 @@ def score_runs(spark, sf):
     fit = p.where("role = 'fit' and method = 'logistic_raw'").select("dataset", "seed", "y")
     out = runs.score_runs(p, fit)
     return rounded(out.select(*RUN, "selected_alpha", "selected_decoder", "macro_f1_4", "accuracy", "F1_S",
-                              "raw_macro_f1_4", "delta_macro_f1_4", "train_size"))
+                              "raw_macro_f1_4", "delta_macro_f1_4", "train_size", "val_size", "test_size", "val_counts", "test_counts"))
 
 
 def _base(df):

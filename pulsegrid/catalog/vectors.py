@@ -181,13 +181,13 @@ def stacked_leads(spark, sf):
 @query("trend_seasonal", rounded_sql("""with e as (select vec_id, embedding::double[] as x from embeddings),
 p as (select vec_id, x, list_concat(list_resize([]::double[], 12, x[1]), x, list_resize([]::double[], 12, x[64])) as pad from e),
 t as (select vec_id, x, list_transform(range(1, 65), lambda i: list_sum(pad[i: i + 24]) / 25) as trend, list_transform(range(32), lambda i: (x[2 * i + 1] + x[2 * i + 2]) / 2) as half from p)
-select vec_id, unnest(range(32))::int as pos, unnest(trend[1:32]) as trend, unnest(list_transform(range(1, 33), lambda i: x[i] - trend[i])) as seasonal, unnest(half) as pooled from t""",
+select vec_id, unnest(range(64))::int as pos, unnest(trend) as trend, unnest(list_transform(range(1, 65), lambda i: x[i] - trend[i])) as seasonal, unnest(list_resize(half, 64, null)) as pooled from t""",
     "trend seasonal pooled"))
 def trend_seasonal(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     e = e.withColumn("t", A.moving_average(F.col("x"), 25)).withColumn("half", A.average_pool(F.col("x"), 2))
-    rows = e.select("vec_id", F.posexplode(F.arrays_zip(
-        F.slice("t", 1, 32).alias("t"), F.slice("x", 1, 32).alias("x"), F.col("half"))).alias("pos", "z"))
+    # the pooled series is half as long: null beyond its end
+    rows = e.select("vec_id", F.posexplode(F.arrays_zip(F.col("t"), F.col("x"), F.col("half"))).alias("pos", "z"))
     return rounded(rows.select("vec_id", "pos", F.col("z.t").alias("trend"), (F.col("z.x") - F.col("z.t")).alias("seasonal"), F.col("z.half").alias("pooled")))
 
 

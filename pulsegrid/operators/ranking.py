@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import hash32
+from pulsegrid.session import pin, small_side
 
 HASH_BITS = 32
 BUCKET_BITS = 16
@@ -20,16 +21,23 @@ def take_lowest(df: DataFrame, keys, quotas: DataFrame, seed, ids, flag="selecte
     A row number over the whole key would put the key in one task. Instead the hash is
     cut into 2**bits buckets, bucket counts tell in which bucket the quota ends, and only
     rows of that one bucket are numbered. All other rows are decided by a comparison and
-    never shuffle. ``quotas`` has one row per key (classes, candidates: a parameter list).
+    never shuffle. ``quotas`` has one row per key; a key without one selects nothing, and a
+    null key is a key like any other, so every row comes back flagged.
     """
     ids = [ids] if isinstance(ids, str) else list(ids)
+    held = [f"_q{i}" for i in range(len(keys))]
+
+    def meet(left, right, how):
+        """Join on the keys where null meets null; ``right`` is small and its size is checked."""
+        named = right.select(*[F.col(k).alias(h) for k, h in zip(keys, held)], *[c for c in right.columns if c not in keys])
+        return left.join(small_side(named), [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held)], how).drop(*held)
+
     tied = df.withColumn("_h", hash32(seed, *[F.col(c) for c in ids]))
     tied = tied.withColumn("_b", hash_bucket(F.col("_h"), bits))
     along = Window.partitionBy(*keys).orderBy("_b")
     counts = tied.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     edge = (
-        counts.withColumn("_cum", F.sum("_n").over(along))
-        .join(F.broadcast(quotas.select(*keys, "quota")), list(keys))
+        meet(counts.withColumn("_cum", F.sum("_n").over(along)), quotas.select(*keys, "quota"), "inner")
         .groupBy(*keys, "quota")
         .agg(
             F.min(F.when(F.col("_cum") >= F.col("quota"), F.col("_b"))).alias("_edge"),
@@ -43,7 +51,7 @@ def take_lowest(df: DataFrame, keys, quotas: DataFrame, seed, ids, flag="selecte
             (F.col("quota") - F.coalesce("_before", F.lit(0))).alias("_need"),
         )
     )
-    decided = tied.join(F.broadcast(edge), list(keys))
+    decided = meet(tied, pin(edge), "left").withColumn("_edge", F.coalesce("_edge", F.lit(-1)))
     w = Window.partitionBy(*keys).orderBy("_h", *ids)
     clear = decided.where(F.col("_b") != F.col("_edge")).withColumn(flag, F.col("_b") < F.col("_edge"))
     at_edge = decided.where(F.col("_b") == F.col("_edge")).withColumn(

@@ -15,8 +15,14 @@ SMALL_CLASS_ROWS = 20_000
 
 
 def _class_sizes(df, y):
-    rows = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("n")).take(N_CLASSES + 1)
-    return {int(r["_y"]): int(r["n"]) for r in rows}
+    """Rows of each class; rows without a class, or with one outside the class list, are an error."""
+    n = F.count(F.lit(1))
+    known = F.col(y).between(0, N_CLASSES - 1)
+    row = df.agg(*[F.sum(F.when(F.col(y) == c, 1).otherwise(0)).alias(f"n{c}") for c in range(N_CLASSES)],
+                 n.alias("rows"), F.sum(known.cast("int")).alias("known")).first()
+    if row["rows"] and row["rows"] != row["known"]:
+        raise ValueError(f"{row['rows'] - (row['known'] or 0)} rows have no class among 0 to {N_CLASSES - 1}")
+    return {c: int(row[f"n{c}"]) for c in range(N_CLASSES) if row[f"n{c}"]}
 
 
 def _lookup(sizes, col):

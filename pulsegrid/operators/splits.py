@@ -133,17 +133,14 @@ def stratified_split(beats: DataFrame, seed, y="y", row_id="beat_id", fraction=V
     three rows), max(1, round(fraction*n)) rows of the whole set are drawn instead.
     """
     counts = beats.groupBy(F.col(y).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["_s"]: r["n"] for r in counts.take(N_CLASSES + 1)}
-    spark = beats.sparkSession
-    if sizes and max(sizes.values()) <= 2:
-        total = sum(sizes.values())
-        quotas = [(0, max(1, round(total * fraction)))]
-        keyed = beats.withColumn("_s", F.lit(0))
-    else:
-        quotas = [(s, 0 if n <= 2 else min(max(1, round(n * fraction)), n - 1)) for s, n in sizes.items()]
-        keyed = beats.withColumn("_s", F.col(y).cast("int"))
-    table = spark.createDataFrame(quotas, "_s int, quota long")
-    return _by_quota(keyed, table, "_s", seed, row_id).drop("_s")
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if largest is not None and largest <= 2:
+        quotas = beats.sparkSession.createDataFrame([(0, max(1, round(total * fraction)))], "_s int, quota long")
+        return _by_quota(beats.withColumn("_s", F.lit(0)), quotas, "_s", seed, row_id).drop("_s")
+    n = F.col("n")
+    quota = F.when(n <= 2, F.lit(0)).otherwise(F.least(F.greatest(_half_even(n, fraction), F.lit(1)), n - 1))
+    quotas = counts.select("_s", quota.cast("long").alias("quota"))
+    return _by_quota(beats.withColumn("_s", F.col(y)), quotas, "_s", seed, row_id).drop("_s")
 
 
 def stratified_split_all(beats: DataFrame, seed, y="y", row_id="beat_id", fraction=VAL_FRACTION) -> DataFrame:
@@ -157,12 +154,12 @@ def stratified_split_all(beats: DataFrame, seed, y="y", row_id="beat_id", fracti
 
 
 def majority_cap(beats: DataFrame, seed, cap=50_000, y="y", row_id="beat_id") -> DataFrame:
-    """Sample class 0 down to ``cap`` rows without replacement; other classes stay whole."""
+    """Sample class 0 down to ``cap`` rows without replacement; all other rows stay, null classes too."""
     spark = beats.sparkSession
     quotas = spark.range(1).select(F.lit(0).alias("_s"), F.lit(cap).cast("long").alias("quota"))
     major = beats.where(F.col(y) == 0).withColumn("_s", F.lit(0))
     kept = take_lowest(major, ["_s"], quotas, seed, row_id).where("selected").drop("_s", "selected")
-    return beats.where(F.col(y) != 0).unionByName(kept)
+    return beats.where(~F.col(y).eqNullSafe(F.lit(0))).unionByName(kept)
 
 
 def fit_val_split(beats: DataFrame, seed, protocol="record", record="record", y="y", row_id="beat_id"):

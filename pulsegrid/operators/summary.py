@@ -88,11 +88,11 @@ def cost_rollup(df: DataFrame) -> DataFrame:
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Inner join on keys where null meets null; one copy of the keys stays."""
+def _null_safe_join(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Join on keys where null meets null; one copy of the keys stays."""
     named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return left.join(named, on).drop(*[f"_k_{k}" for k in keys])
+    return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def outlier_flags(df: DataFrame, keys, metric="macro_f1_4", seed="seed", min_keep=3,
@@ -100,22 +100,25 @@ def outlier_flags(df: DataFrame, keys, metric="macro_f1_4", seed="seed", min_kee
     """Add quartiles, fences, ``kept`` and ``reason`` by the 1.5 x IQR rule per group.
 
     If fewer than ``min_keep`` rows survive, the rows nearest the median stay instead
-    (smaller seed first). Only groups that small need a row number.
+    (smaller seed first). Only groups that small need a row number. A missing metric is outside
+    no fence, so such rows are kept, and a group without any metric has no fences.
     """
-    q = grouped_quantiles(df, keys, metric, [0.25, 0.5, 0.75], max_rows=max_rows)
+    known = df.withColumn(metric, F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric)))
+    q = grouped_quantiles(known, keys, metric, [0.25, 0.5, 0.75], max_rows=max_rows)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
     fences = q.select(
         *keys, q1.alias("q1"), F.get("q", F.lit(1)).alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         (q1 - 1.5 * (q3 - q1)).alias("lower"), (q3 + 1.5 * (q3 - q1)).alias("upper"))
-    rows = _null_safe_join(df, fences, keys)
-    rows = rows.withColumn("_out", (F.col(metric) < F.col("lower")) | (F.col(metric) > F.col("upper")))
+    rows = _null_safe_join(df, fences, keys, "left")
+    beyond = (F.col(metric) < F.col("lower")) | (F.col(metric) > F.col("upper"))
+    rows = rows.withColumn("_out", F.coalesce(beyond & ~F.isnan(F.col(metric).cast("double")), F.lit(False)))
     stats = rows.groupBy(*keys).agg(
         distinct_count(seed).alias("n_seeds_before"),
         F.sum((~F.col("_out")).cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_n"),
     )
     rows = _null_safe_join(rows, stats, keys)
     guard = F.col("_kept") < min_keep
-    w = Window.partitionBy(*keys).orderBy(F.abs(F.col(metric) - F.col("median")), seed)
+    w = Window.partitionBy(*keys).orderBy(F.abs(F.col(metric) - F.col("median")).asc_nulls_last(), seed)
     plain = rows.where(~guard).withColumn("kept", ~F.col("_out"))
     # A guarded group kept fewer than min_keep of its rows, so at most a handful are numbered
     # unless its fences exclude nearly everything, which the quartiles rule out.

@@ -5,6 +5,8 @@ everything after the probabilities (adapter search, scoring, summaries) is one j
 all runs, keyed by the run columns.
 """
 
+import hashlib
+import json
 import time
 from functools import reduce
 
@@ -61,16 +63,44 @@ def evidence_probabilities(assigned: DataFrame, seed: int, kind="clinical_proto"
     return forest_probabilities(pin(evidence_rows(assigned, kind, base)), seed, **encoder)
 
 
-def stored_evidence(assigned, dataset, seed, path, profile="legacy_cost", force=False, **kw) -> DataFrame:
-    """Evidence probabilities kept by (dataset, seed, profile); built once, shared by all methods."""
+EVIDENCE_KEY = ("dataset", "seed", "profile", "protocol_id", "settings")
+
+
+def stored_evidence(assigned, dataset, seed, path, profile="legacy_cost", force=False, protocol="record", **kw) -> DataFrame:
+    """Evidence probabilities, built once and shared by all methods.
+
+    Kept by dataset, seed, cost profile, split protocol and a digest of every other setting
+    (feature kind, base column, encoder), so that no run meets evidence of other rows.
+    """
+    settings = hashlib.md5(json.dumps(kw, sort_keys=True, default=str).encode()).hexdigest()
+
     def build():
         start = time.time()
         out = evidence_probabilities(assigned, seed, weights=profile, **kw)
-        return out.withColumn("profile", F.lit(profile)).withColumn(
-            "build_time", F.lit(time.time() - start))
-    where = (F.col("dataset") == dataset) & (F.col("seed") == seed) & (F.col("profile") == profile)
+        return tables.tagged(out, protocol).drop("run_tag").withColumns({
+            "profile": F.lit(profile), "settings": F.lit(settings), "build_time": F.lit(time.time() - start)})
+
+    key = dict(zip(EVIDENCE_KEY, (dataset, seed, profile, protocol, settings)))
+    where = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in key.items()])
+    return tables.load_or_build(assigned.sparkSession, path, build, EVIDENCE_KEY, where, force)
+
+
+def stored_probabilities(build, spark, path, dataset, method, seed, protocol="record", force=False) -> DataFrame:
+    """Val and test probabilities of one run with labels, kept by (dataset, method, seed, protocol)."""
+    key = {"dataset": dataset, "method": method, "seed": seed, "protocol_id": protocol}
+    where = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in key.items()])
     return tables.load_or_build(
-        assigned.sparkSession, path, build, ("dataset", "seed", "profile"), where, force)
+        spark, path, lambda: build().withColumns({c: F.lit(v) for c, v in key.items()}), tuple(key), where, force)
+
+
+def met_probabilities(backbone: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Backbone and evidence of the same rows by (dataset, seed, role, beat_id); an unmatched row is an error."""
+    key = ["dataset", "seed", "role", "beat_id"]
+    met = pin(backbone.select(*key, "p_backbone").join(evidence.withColumn("_e", F.lit(True)), key, "full"))
+    lost = met.where("_e is null or p_backbone is null").count()
+    if lost:
+        raise ValueError(f"{lost} rows have only one of backbone and evidence probabilities")
+    return met.drop("_e")
 
 
 RUN = ["dataset", "family", "method", "seed"]
@@ -107,11 +137,18 @@ def score_runs(probs: DataFrame, fit: DataFrame, keys=RUN, fit_keys=("dataset",
     top = selection.top_candidates(grid, keys).select(*keys, F.to_json("candidates").alias("validation_table"))
     texts = counts.select(*keys, total.alias("train_size"), F.to_json(counts_map()).alias("train_counts"))
     out = detail
-    for side in (policy, top, texts):
+    for side in (policy, top, texts, *[_part_counts(probs, part, keys) for part in ("val", "test")]):
         out = out.join(side, keys)
     return out
 
 
+def _part_counts(probs, part, keys):
+    """``{part}_size`` and ``{part}_counts`` of each run."""
+    total = sum((F.col(f"count_{c}") for c in CLASS_NAMES[1:]), F.col("count_N"))
+    return class_counts(probs.where(F.col("role") == part), keys).select(
+        *keys, total.alias(f"{part}_size"), F.to_json(counts_map()).alias(f"{part}_counts"))
+
+
 def run_confusions(tested: DataFrame, keys=RUN) -> DataFrame:
     """Long confusion rows per run and stage from columns ``raw_pred`` and ``pred``."""
     both = tested.select(*keys, "y", F.explode(F.array(
@@ -122,7 +159,7 @@ def run_confusions(tested: DataFrame, keys=RUN) -> DataFrame:
 
 def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, store=None, done=None,
              size=1.0, encoder=None, base="x") -> DataFrame:
-    """Detail rows of datasets x methods x seeds that are not in ``done`` yet."""
+    """Detail rows of datasets x methods x seeds that are not in ``done`` yet; none if all are."""
     encoder = encoder or {}
     spark = beats.sparkSession
     todo = spark.createDataFrame(
@@ -137,7 +174,10 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
         fixed = (lists or {}).get(dataset)
         roles = pin(assigned_roles(scenario(beats, dataset, seed, fixed), seed, protocol))
         if store:
-            evidence = stored_evidence(roles, dataset, seed, store, base=base, **encoder).drop("profile", "build_time")
+            profile = {"profile": encoder["weights"]} if "weights" in encoder else {}
+            rest = {k: v for k, v in encoder.items() if k != "weights"}
+            evidence = stored_evidence(roles, dataset, seed, store, protocol=protocol, base=base, **profile, **rest).drop(
+                "profile", "protocol_id", "settings", "build_time")
         else:
             evidence = pin(evidence_probabilities(roles, seed, base=base, **encoder))
         raw = roles.withColumn("features", F.concat(F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>")))
@@ -145,9 +185,13 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
         for name in sorted(names):
             backbone = models.fit_predict(
                 name, raw.where("role = 'fit'"), raw.where("role <> 'fit'"), seed, width, size=size, out="p_backbone")
-            met = backbone.select("beat_id", "p_backbone").join(evidence, "beat_id")
-            probs.append(pin(met.withColumn("family", F.lit("raw_machine_learning")).withColumn("method", F.lit(name))))
+            met = met_probabilities(backbone.withColumn("seed", F.lit(seed)), evidence)
+            probs.append(met.withColumn("family", F.lit("raw_machine_learning")).withColumn("method", F.lit(name)))
         fits.append(roles.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y"))
+    if not probs:
+        none = spark.createDataFrame([], "dataset string, seed int, role string, beat_id long, y int, family string, method string, "
+                                         "p_backbone array<double>, p_evidence array<double>")
+        return score_runs(none, none.select("dataset", "seed", "y")).withColumn("protocol", F.lit(protocol))
     union = reduce(lambda a, b: a.unionByName(b), probs)
     return score_runs(union, reduce(lambda a, b: a.unionByName(b), fits)).withColumn("protocol", F.lit(protocol))
 
