@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import query
 from pulsegrid.catalog.roles import (
+    DATASETS,
     EVENT_CLASS,
     SCORED,
     annotations,
@@ -297,10 +298,10 @@ def majority_cap(spark, sf):
     return splits.majority_cap(scored_events(spark, sf), SEED, 1000).select("beat_id", "y")
 
 
-@query("training_pool", f"with {SCORED} select y, dataset, count(*) as n from scored where dataset <> 'MIT-BIH' group by all")
+@query("training_pool", f"with {SCORED} select y, dataset, count(*) as n from scored group by all")
 def training_pool(spark, sf):
     ev = scored_events(spark, sf)
-    pool = splits.training_pool(ev.where("dataset = 'INCART'"), ev.where("dataset = 'SVDB'"))
+    pool = splits.training_pool(*[ev.where(F.col("dataset") == d) for d in DATASETS])
     return pool.groupBy("y", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 

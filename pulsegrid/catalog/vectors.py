@@ -527,25 +527,23 @@ def _points_sql(kind):
 
 def _multi_sql(kind):
     return f"""{PROBS}, {_points_sql(kind)}, mp as (select dataset, method, seed, y, cand, n_mul, s_mul, v_mul, f_mul,
-   [p_evidence[1] * n_mul, p_evidence[2] * s_mul, p_evidence[3] * v_mul, p_evidence[4] * f_mul, p_evidence[5]] as z from probs, pt where role = 'test' and method = 'logistic_raw'),
+   [p_evidence[1] * n_mul, p_evidence[2] * s_mul, p_evidence[3] * v_mul, p_evidence[4] * f_mul, p_evidence[5]] as z from probs, pt where role = 'test'),
  pp as (select *, {argmax_sql('z')} as pred from mp),
- {metrics_sql('dataset, seed, cand, n_mul, s_mul, v_mul, f_mul', grid_cells('dataset, seed, cand, n_mul, s_mul, v_mul, f_mul', 'pp'))}"""
+ {metrics_sql('dataset, method, seed, cand, n_mul, s_mul, v_mul, f_mul', grid_cells('dataset, method, seed, cand, n_mul, s_mul, v_mul, f_mul', 'pp'))}"""
 
 
-@query("multiplier_grid", rounded_sql(f"with {_multi_sql('wide')} select dataset, seed, cand, n_mul, s_mul, v_mul, f_mul, macro_f1_4, accuracy, Se_S, support_F from mrow", "macro_f1_4 accuracy Se_S"))
+@query("multiplier_grid", rounded_sql(f"with {_multi_sql('wide')} select dataset, method, seed, cand, n_mul, s_mul, v_mul, f_mul, macro_f1_4, accuracy, Se_S, support_F from mrow", "macro_f1_4 accuracy Se_S"))
 def multiplier_grid(spark, sf):
-    rows = probs(spark, sf).where("role = 'test' and method = 'logistic_raw'")
-    g = selection.multiplier_grid(rows, ["dataset", "seed"], "wide", "p_evidence")
-    return rounded(g.select("dataset", "seed", "cand", "n_mul", "s_mul", "v_mul", "f_mul", "macro_f1_4", "accuracy", "Se_S", "support_F"))
+    g = selection.multiplier_grid(probs(spark, sf).where("role = 'test'"), RK, "wide", "p_evidence")
+    return rounded(g.select(*RK, "cand", "n_mul", "s_mul", "v_mul", "f_mul", "macro_f1_4", "accuracy", "Se_S", "support_F"))
 
 
-@query("kept_multipliers", rounded_sql(f"""with {_multi_sql('s_focus')}, r as (select *, row_number() over (partition by dataset, seed order by round(macro_f1_3_nsv, 10) desc, round(accuracy, 10) desc, cand) as rk from mrow)
-select dataset, seed, cand, macro_f1_3_nsv, accuracy, rk = 1 as is_best from r where cand = 0 or macro_f1_3_nsv >= 0.5 or rk = 1""", "macro_f1_3_nsv accuracy"))
+@query("kept_multipliers", rounded_sql(f"""with {_multi_sql('s_focus')}, r as (select *, row_number() over (partition by dataset, method, seed order by round(macro_f1_3_nsv, 10) desc, round(accuracy, 10) desc, cand) as rk from mrow)
+select dataset, method, seed, cand, macro_f1_3_nsv, accuracy, rk = 1 as is_best from r where cand = 0 or macro_f1_3_nsv >= 0.5 or rk = 1""", "macro_f1_3_nsv accuracy"))
 def kept_multipliers(spark, sf):
-    rows = probs(spark, sf).where("role = 'test' and method = 'logistic_raw'")
-    g = selection.multiplier_grid(rows, ["dataset", "seed"], "s_focus", "p_evidence")
-    k = selection.kept_multipliers(g, ["dataset", "seed"], "macro_f1_3_nsv", 0.5)
-    return rounded(k.select("dataset", "seed", "cand", "macro_f1_3_nsv", "accuracy", "is_best"))
+    g = selection.multiplier_grid(probs(spark, sf).where("role = 'test'"), RK, "s_focus", "p_evidence")
+    k = selection.kept_multipliers(g, RK, "macro_f1_3_nsv", 0.5)
+    return rounded(k.select(*RK, "cand", "macro_f1_3_nsv", "accuracy", "is_best"))
 
 
 # ---- calibration ---------------------------------------------------------------------------

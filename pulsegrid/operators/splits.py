@@ -10,7 +10,7 @@ from pulsegrid.operators.groups import largest_group
 from pulsegrid.operators.metrics import class_counts
 from pulsegrid.operators.ranking import hash_bucket, take_lowest
 from pulsegrid.schema import CLASS_NAMES, N_CLASSES, TRAIN_FRACTION, VAL_FRACTION
-from pulsegrid.session import pin
+from pulsegrid.session import pin, small_side
 
 MIN_SUPPORT = 30
 GUARD_ROWS = 10
@@ -22,7 +22,7 @@ COUNTS = [f"count_{c}" for c in CLASS_NAMES]
 
 def fixed_lists(beats: DataFrame, lists: DataFrame, record="record") -> DataFrame:
     """Keep listed records and take ``role`` from the list table (one row per record)."""
-    return beats.join(F.broadcast(lists.select(F.col("record").alias(record), "role")), record)
+    return beats.join(small_side(lists.select(F.col("record").alias(record), "role")), record)
 
 
 def record_counts(beats: DataFrame, record="record", y="y") -> DataFrame:

@@ -22,7 +22,7 @@ from pulsegrid.operators.prototypes import evidence_features, feature_set
 from pulsegrid.operators.reshape import paired_deltas
 from pulsegrid.plans import decoders, models, selection
 from pulsegrid.schema import CLASS_NAMES, METRICS
-from pulsegrid.session import pin
+from pulsegrid.session import pin, small_side
 from pulsegrid.sources import tables
 
 
@@ -30,7 +30,7 @@ def scenario(beats: DataFrame, dataset: str, seed: int, lists=None, cap=50_000)
     """Rows of one dataset with ``part`` train/test; listed records, or a seeded record split."""
     rows = beats.where(F.col("dataset") == dataset)
     if lists is not None:
-        return rows.join(F.broadcast(lists.withColumnRenamed("role", "part")), "record")
+        return rows.join(small_side(lists.withColumnRenamed("role", "part")), "record")
     parts = splits.train_test_records(rows, seed).withColumnRenamed("role", "part")
     tagged = rows.join(parts, "record")
     train = splits.majority_cap(tagged.where("part = 'train'"), seed, cap)

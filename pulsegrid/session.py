@@ -46,8 +46,10 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows=200_000):
-    """Broadcast hint for a pinned side after counting it; plain side beyond ``max_rows``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def small_side(df: DataFrame, max_rows=200_000, max_bytes=64 << 20):
+    """Broadcast hint for a side after measuring its rows and, as JSON, its bytes; else the plain side."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, width = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    if rows <= max_rows and (width or 0) <= max_bytes:
         return F.broadcast(df)
     return df

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.schema import ANNOTATIONS, SIGNALS, SYMBOL_CLASS, TEST_RECORDS, TRAIN_RECORDS
+from pulsegrid.session import small_side
 
 # Lead names by preference.
 FIRST_LEADS = ["MLII", "II", "ECG1", "V5", "I"]
@@ -72,7 +73,7 @@ def record_lists(spark: SparkSession) -> DataFrame:
 
 
 def in_list(df: DataFrame, lists: DataFrame, record="record") -> DataFrame:
-    return df.join(F.broadcast(lists.select(F.col("record").alias(record))), record, "left_semi")
+    return df.join(small_side(lists.select(F.col("record").alias(record))), record, "left_semi")
 
 
 def qualified(database, record):

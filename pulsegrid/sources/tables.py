@@ -81,9 +81,10 @@ def write_csv(df: DataFrame, path: str, mode="overwrite"):
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_analysis(df: DataFrame, folder: str, stem: str):
-    """One-file CSV of a small analysis table."""
-    write_csv(df.coalesce(1), f"{folder}/{stem}_source_data")
+def write_analysis(df: DataFrame, folder: str, stem: str, one_file_rows=100_000):
+    """CSV of an analysis table: one file up to ``one_file_rows`` rows, beyond that one per partition."""
+    one = df.limit(one_file_rows + 1).count() <= one_file_rows
+    write_csv(df.coalesce(1) if one else df, f"{folder}/{stem}_source_data")
 
 
 def confusion_documents(conf: DataFrame, keys) -> DataFrame:
