@@ -8,6 +8,7 @@ from pulsegrid.catalog.roles import beats, probs, rounded, rounded_sql, softmax_
 from pulsegrid.catalog.vectors import (
     ADAPTER,
     PAIRED,
+    PROBS,
     PQ_COLUMNS,
     QUALITY,
     ROLLUP,
@@ -84,6 +85,16 @@ def baseline_models(spark, sf):
     return rounded(out)
 
 
+@query("baseline_scores", rounded_sql(f"""with {PROBS}, rp as (select *, {argmax_sql('p_backbone')} as pred from probs where role = 'test'),
+{metrics_sql('dataset, method, seed', cells_sql('dataset, method, seed', 'rp', 'pred'))}
+select dataset, method as model, seed, macro_f1_4, accuracy, F1_S, F1_V, F1_F from mrow""", "macro_f1_4 accuracy F1_S F1_V F1_F"))
+def baseline_scores(spark, sf):
+    """Metric rows of the raw baselines per dataset, model and seed, from their stored probabilities."""
+    rows = probs(spark, sf).where("role = 'test'").select(
+        "dataset", F.col("method").alias("model"), "seed", "y", A.argmax(F.col("p_backbone")).alias("pred"))
+    return rounded(runs.prediction_metrics(rows).select("dataset", "model", "seed", "macro_f1_4", "accuracy", "F1_S", "F1_V", "F1_F"))
+
+
 @query("full_run")
 def full_run(spark, sf):
     """Run grid minus finished runs: splits, prototypes, forest, backbones, adapter, detail rows."""

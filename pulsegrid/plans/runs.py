@@ -22,7 +22,7 @@ from pulsegrid.operators.prototypes import evidence_features, feature_set
 from pulsegrid.operators.reshape import paired_deltas
 from pulsegrid.plans import decoders, models, selection
 from pulsegrid.schema import CLASS_NAMES, METRICS
-from pulsegrid.session import pin, small_side
+from pulsegrid.session import concurrently, pin, small_side
 from pulsegrid.sources import tables
 
 
@@ -169,8 +169,9 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
     left = {}
     for r in todo.collect():  # the run grid itself: datasets x methods x seeds
         left.setdefault((r["dataset"], r["seed"]), []).append(r["method"])
-    probs, fits = [], []
-    for (dataset, seed), names in sorted(left.items()):
+
+    def one(item):
+        (dataset, seed), names = item
         fixed = (lists or {}).get(dataset)
         roles = pin(assigned_roles(scenario(beats, dataset, seed, fixed), seed, protocol))
         if store:
@@ -182,12 +183,16 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
             evidence = pin(evidence_probabilities(roles, seed, base=base, **encoder))
         raw = roles.withColumn("features", F.concat(F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>")))
         width = len(raw.select("features").first()["features"])
+        probs = []
         for name in sorted(names):
             backbone = models.fit_predict(
                 name, raw.where("role = 'fit'"), raw.where("role <> 'fit'"), seed, width, size=size, out="p_backbone")
             met = met_probabilities(backbone.withColumn("seed", F.lit(seed)), evidence)
             probs.append(met.withColumn("family", F.lit("raw_machine_learning")).withColumn("method", F.lit(name)))
-        fits.append(roles.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y"))
+        return probs, roles.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y")
+
+    done_runs = concurrently(spark, one, sorted(left.items()))
+    probs, fits = [p for ps, _ in done_runs for p in ps], [f for _, f in done_runs]
     if not probs:
         none = spark.createDataFrame([], "dataset string, seed int, role string, beat_id long, y int, family string, method string, "
                                          "p_backbone array<double>, p_evidence array<double>")
@@ -198,11 +203,14 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
 
 def cost_sweep(assigned, backbone, seed, method, profiles=decoders.COST_PROFILES, base="x", **encoder) -> DataFrame:
     """Adapter scores of one run under every class-cost profile of the evidence forest."""
-    parts, rows = [], pin(evidence_rows(assigned, base=base))
-    for profile in profiles:
+    rows = pin(evidence_rows(assigned, base=base))
+
+    def one(profile):
         ev = forest_probabilities(rows, seed, **{**encoder, "weights": profile})
-        parts.append(pin(ev.join(backbone.select("beat_id", "p_backbone"), "beat_id").withColumn(
-            "class_cost_profile", F.lit(profile)).withColumn("method", F.lit(method))))
+        return pin(ev.join(backbone.select("beat_id", "p_backbone"), "beat_id").withColumn(
+            "class_cost_profile", F.lit(profile)).withColumn("method", F.lit(method)))
+
+    parts = concurrently(assigned.sparkSession, one, profiles)
     probs = reduce(lambda a, b: a.unionByName(b), parts)
     fit = assigned.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y")
     keys = ["dataset", "method", "seed", "class_cost_profile"]
@@ -236,12 +244,11 @@ SWEEP = [
 def config_sweep(assigned: DataFrame, seed: int, configs=SWEEP, base="x", **encoder) -> DataFrame:
     """Argmax and decoded test metrics of every named configuration, train prior only."""
     counts = class_counts(assigned.where("role = 'fit'"), ["dataset"])
-    parts, features, scored = [], {}, {}
+    parts, features = [], {kind: pin(evidence_rows(assigned, kind, base)) for kind in sorted({c[1] for c in configs})}
+    fits = sorted({(kind, weights) for _, kind, weights, _, _ in configs})
+    scored = dict(zip(fits, concurrently(assigned.sparkSession, lambda f: pin(
+        forest_probabilities(features[f[0]], seed, weights=f[1], **encoder)), fits)))
     for name, kind, weights, mode, power in configs:
-        if kind not in features:
-            features[kind] = pin(evidence_rows(assigned, kind, base))
-        if (kind, weights) not in scored:
-            scored[kind, weights] = pin(forest_probabilities(features[kind], seed, weights=weights, **encoder))
         ev = scored[kind, weights]
         mult = counts.select("dataset", decoders.decision_multiplier(prior_ratio(), mode).alias("m"))
         rows = ev.where("role = 'test'").join(F.broadcast(mult), "dataset")
@@ -261,10 +268,43 @@ def config_sweep(assigned: DataFrame, seed: int, configs=SWEEP, base="x", **enco
 def external_validation(train: DataFrame, test: DataFrame, seeds, name, grid="wide",
                         metric="macro_f1_4", threshold=0.5, features="features", **encoder) -> DataFrame:
     """Forest on ``train``, multiplier grid on ``test``: default, kept and best rows per seed."""
-    parts = []
-    for seed in seeds:
+    def one(seed):
         model = models.fit_forest(train, seed, features=features, **encoder)
-        parts.append(pin(models.predict(model, test, features).select(F.lit(seed).alias("seed"), "y", "p")))
+        return pin(models.predict(model, test, features).select(F.lit(seed).alias("seed"), "y", "p"))
+
+    parts = concurrently(train.sparkSession, one, seeds)
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     kept = selection.kept_multipliers(selection.multiplier_grid(rows, ["seed"], grid), ["seed"], metric, threshold)
     return kept.withColumn("scenario", F.lit(name))
+
+
+def prediction_metrics(predicted: DataFrame, keys=("dataset", "model", "seed")) -> DataFrame:
+    """Metric row per key from columns ``y`` and ``pred``."""
+    return metric_row(confusion_counts(predicted, list(keys)), list(keys))
+
+
+def baseline_evaluation(train: DataFrame, targets: DataFrame, names, seeds, done=None, size=1.0, features="features") -> DataFrame:
+    """Raw baselines fitted on ``train`` and scored on every dataset of ``targets``.
+
+    One metric row per (dataset, model, seed); keys that ``done`` holds are not computed again,
+    and a model whose keys are all done is not fitted. ``summary.group_summary`` rolls them up.
+    """
+    keys = ["dataset", "model", "seed"]
+    spark = train.sparkSession
+    width = len(train.select(features).first()[features])
+    wanted = targets.select("dataset").distinct().join(
+        spark.createDataFrame([(n, s) for n in names for s in seeds], "model string, seed int"))
+    if done is not None:
+        wanted = wanted.join(done.select(*keys).distinct(), keys, "left_anti")
+    wanted = pin(wanted)
+    fits = sorted((r["model"], r["seed"]) for r in wanted.select("model", "seed").distinct().collect())  # names x seeds
+
+    def one(fit):
+        name, seed = fit
+        mine = wanted.where((F.col("model") == name) & (F.col("seed") == seed)).select("dataset")
+        p = models.fit_predict(name, train, targets.join(small_side(mine), "dataset", "left_semi"), seed, width, features, size=size)
+        return pin(p.select("dataset", F.lit(name).alias("model"), F.lit(seed).alias("seed"), "y", A.argmax(F.col("p")).alias("pred")))
+
+    parts = concurrently(spark, one, fits)
+    none = spark.createDataFrame([], "dataset string, model string, seed int, y int, pred int")
+    return prediction_metrics(reduce(lambda a, b: a.unionByName(b), parts) if parts else none, keys)

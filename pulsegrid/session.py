@@ -1,7 +1,9 @@
 """Session defaults and lineage control."""
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def small_side(df: DataFrame, max_rows=200_000, max_bytes=64 << 20):
     if rows <= max_rows and (width or 0) <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def concurrently(spark: SparkSession, fn, items, workers=4) -> list:
+    """``fn`` of every item in order, a few jobs at a time, so that small fits do not leave a cluster idle."""
+    items = list(items)
+    if len(items) < 2 or workers < 2:
+        return [fn(i) for i in items]
+    with ThreadPoolExecutor(min(workers, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))

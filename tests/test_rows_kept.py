@@ -97,3 +97,13 @@ def test_probability_store(spark, tmp_path):
             got = runs.stored_probabilities(build, spark, str(tmp_path / "p"), "A", "m", 1, protocol)
             assert got.count() == 1 and got.first()["protocol_id"] == protocol
     assert len(made) == 2
+
+
+def test_baselines_are_evaluated_once(spark):
+    rows = _beats(spark).withColumn("features", F.concat(F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>"))).cache()
+    targets = rows.withColumn("dataset", F.expr("if(beat_id % 2 = 0, 'B', 'C')"))
+    first = runs.baseline_evaluation(rows, targets, ["logistic"], [1, 2], size=0.02)
+    assert {(r.dataset, r.model, r.seed) for r in first.collect()} == {(d, "logistic", s) for d in "BC" for s in (1, 2)}
+    rest = runs.baseline_evaluation(rows, targets, ["logistic"], [1, 2], done=first.where("not (dataset = 'C' and seed = 2)"), size=0.02)
+    assert [(r.dataset, r.seed) for r in rest.collect()] == [("C", 2)]
+    assert runs.baseline_evaluation(rows, targets, ["logistic"], [1, 2], done=first).count() == 0
