@@ -73,7 +73,9 @@ def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``failed_bits``."""
     docs = docs.drop(*[c for c in [*MEASURES, "failed_bits"] if c != text])
     bits = " | ".join(f"if({sql}, {BIT[name]}L, 0L)" for name, sql in RULES.items())
-    return _measured(docs, text).withColumn("failed_bits", F.expr(bits))
+    # A filter on the ledger must not be pushed below the measurements: their expressions would be
+    # copied into it many times over. It stops at a projection that is not deterministic.
+    return _measured(docs, text).withColumn("failed_bits", F.expr(f"if(monotonically_increasing_id() < 0, null, {bits})"))
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,14 +93,9 @@ def apply_policy(led: DataFrame, version: str = "v1") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
-    """The documents that a policy keeps, with their own columns.
-
-    The filter also reads a row number, so that the optimiser does not push it below the
-    measurements and with that copy their expressions into it many times over.
-    """
+    """The documents that a policy keeps, with their own columns."""
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text"))
-    led = apply_policy(with_ledger(whole), version).withColumn("_row", F.monotonically_increasing_id())
-    return led.where("kept and _row >= 0").select("_doc.*")
+    return apply_policy(with_ledger(whole), version).where("kept").select("_doc.*")
 
 
 def ablations(led: DataFrame, policies: dict = None) -> DataFrame:
