@@ -140,7 +140,9 @@ def weights(pages: DataFrame, page_id="page_id", page="html", limit=LABELLED_PAG
                 ["key", "i", "o"])
 
     marked = pages.where(F.col(page).rlike("(?i)<(article|main)[\\s>]"))
-    sample = marked.orderBy(F.xxhash64(page_id), page_id).limit(limit).select(page)
+    # ids are chosen first, so that no task gathers pages of all others
+    chosen = marked.select(F.xxhash64(page_id).alias("_h"), page_id).orderBy("_h", page_id).limit(limit).select(page_id)
+    sample = marked.join(F.broadcast(chosen), page_id, "left_semi").select(page)
     rows = sample.repartition(8).mapInArrow(run, "key string, i long, o long").groupBy("key").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
     tags = {r["key"]: TAG * r["o"] / (r["i"] + r["o"]) for r in rows if not r["key"].startswith(".")}
     learned = {r["key"] for r in rows if r["key"].startswith(".") and r["i"] == 0 and r["o"] >= LEARNED_USES}
