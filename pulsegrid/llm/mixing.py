@@ -6,9 +6,10 @@ the budget. It is realised by whole epochs over the source plus one partial epoc
 in blocks by a hash, blocks and the documents inside them are permuted anew for every epoch, and
 the partial epoch takes the longest prefix of that order whose tokens fit the rest of the quota.
 
-Only totals per (source, block) are shuffled. The table of blocks joins back to the documents
-with their decision, so texts never move; only the block in which a prefix ends is looked at row
-by row. A source that holds any part of all rows is spread over its blocks.
+Only totals per (source, block) are shuffled. Where a prefix ends is found in three steps: the
+slice of the permutation (at most 2 ** SLICE_BITS for a source), the block in the slice, and the
+document in the block, so no window grows with a source. One row per source then decides for
+every document by comparing draws, so texts never move.
 
 Defined results: a null source is a source of its own. Null and empty texts count no tokens;
 they come along with whole epochs, and with a partial epoch where they precede its end. A source
@@ -26,6 +27,8 @@ from pulsegrid.session import pin, small_side
 GRID, WAYS = 1 << 20, 32
 #: Documents of a block, on average.
 BLOCK_ROWS = 512
+#: Bits of a draw, and of it those that number the slices of a permutation.
+DRAW_BITS, SLICE_BITS = 60, 12
 WORDS = r"[^ \\t-\\r]+"
 MIX = ["_s", "tokens", "epoch", "block", "block_rank", "draw"]
 
@@ -104,6 +107,12 @@ def source_quotas(shares: DataFrame, k: int, budget_factor=1.0, block_rows=BLOCK
         "quota % source_tokens as rest", f"(docs + {block_rows - 1}) div {block_rows} as n_blocks")
 
 
+def _crossing(rows: DataFrame, keys, order) -> DataFrame:
+    """The row of each key whose running sum of ``t`` first exceeds ``rest``; ``left`` is what remains before it."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("left", F.col("rest") + F.col("t") - F.sum("t").over(w)).where("left >= 0 and left < t")
+
+
 def mix(docs: DataFrame, target_entropy=None, max_repeat=None, budget_factor=1.0, source="source",
         text="text", doc_id="doc_id", seed=0, block_rows=BLOCK_ROWS) -> DataFrame:
     """The documents as often as the mix takes them, with epoch and place in the permutation.
@@ -117,31 +126,31 @@ def mix(docs: DataFrame, target_entropy=None, max_repeat=None, budget_factor=1.0
     narrow = pin(led.select("_s", "tokens", "_u"))
     shares = source_shares(narrow)
     quotas = pin(source_quotas(shares, exponent(shares, target_entropy, max_repeat, budget_factor), budget_factor, block_rows))
-    sources = small_side(quotas.select("_s", "n_blocks", "epochs", "rest"))
+    sources = small_side(quotas.selectExpr("_s", "n_blocks as _blocks", "epochs as _epochs", "rest as _rest"))
+    row = _draw(f"'{seed}'", "'row'", "cast(_epochs as string)", "cast(_u as string)")
 
     def blocked(rows):
-        return rows.join(sources, "_s").withColumn("block", F.expr("_u % n_blocks"))
-
-    # one row per block of block_rows documents
-    blocks = blocked(narrow).groupBy("_s", "block", "epochs", "rest").agg(F.sum("tokens").alias("bt")).withColumn(
-        "bd", F.expr(_draw(f"'{seed}'", "cast(epochs as string)", "_s", "cast(block as string)")))
-    order = Window.partitionBy("_s").orderBy("bd", "block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = pin(blocks.withColumn("upto", F.sum("bt").over(order)).selectExpr(
-        "_s", "block", "rest", "upto - bt as before", "upto <= rest as whole", "upto > rest and upto - bt <= rest as edge"))
-    edges = small_side(blocks.where("edge").select("_s", "block", "before", "rest"))
-    within = Window.partitionBy("_s", "block").orderBy("d", "_u").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = blocked(narrow).join(edges.drop("rest"), ["_s", "block"]).withColumn("d", F.expr(_draw(f"'{seed}'", "'row'", "cast(epochs as string)", "cast(_u as string)")))
-    # peers share a row of the running sum, so the cut never falls between them
-    run = cuts.groupBy("_s", "block", "before", "rest", "d", "_u").agg(F.sum("tokens").alias("t"))
-    run = run.withColumn("upto", F.sum("t").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = run.where("before + upto <= rest").groupBy("_s", "block").agg(F.max(F.struct("d", "_u")).alias("cut"))
-    decided = small_side(pin(blocks.where("whole or edge").select("_s", "block", "whole").join(cut, ["_s", "block"], "left")))
-    dealt = blocked(led).join(decided, ["_s", "block"], "left").withColumn(
-        "_d", F.expr(_draw(f"'{seed}'", "'row'", "cast(epochs as string)", "cast(_u as string)")))
-    extra = "if(coalesce(whole, false) or coalesce(named_struct('d', _d, '_u', _u) <= cut, false), 1, 0)"
-    out = dealt.withColumn("_n", F.expr(f"cast(epochs + {extra} as int)")).where("_n > 0")
+        return rows.join(sources, "_s").withColumn("block", F.expr("_u % _blocks")).withColumn(
+            "_bd", F.expr(_draw(f"'{seed}'", "cast(_epochs as string)", "_s", "cast(block as string)")))
+
+    # one row per block of block_rows documents; the permutation of the partial epoch is cut into slices
+    blocks = pin(blocked(narrow).groupBy("_s", "block", "_bd", F.col("_rest").alias("rest")).agg(F.sum("tokens").alias("t"))
+                 .withColumn("slice", F.expr(f"shiftright(_bd, {DRAW_BITS - SLICE_BITS})")))
+    slices = _crossing(blocks.groupBy("_s", "slice", "rest").agg(F.sum("t").alias("t")), ["_s"], ["slice"])
+    inside = blocks.drop("rest").join(slices.selectExpr("_s", "slice", "left as rest"), ["_s", "slice"])
+    edges = pin(_crossing(inside, ["_s"], ["_bd", "block"]).selectExpr("_s", "_bd as edge_bd", "block as edge", "left"))
+    last = narrow.join(small_side(edges.join(quotas.selectExpr("_s", "n_blocks as _blocks", "epochs as _epochs"), "_s")), "_s").where("_u % _blocks = edge")
+    # rows equal in all that orders them share a running sum, so the cut never falls between them
+    last = last.withColumn("d", F.expr(row)).groupBy("_s", "left", "d", "_u").agg(F.sum("tokens").alias("t"))
+    within = Window.partitionBy("_s").orderBy("d", "_u").rowsBetween(Window.unboundedPreceding, 0)
+    cut = last.withColumn("upto", F.sum("t").over(within)).where("upto <= left").groupBy("_s").agg(F.max(F.struct("d", "_u")).alias("cut"))
+    ends = small_side(pin(edges.join(cut, "_s", "left").selectExpr("_s", "edge_bd as _edge_bd", "edge as _edge", "cut as _cut")))
+    dealt = blocked(led).join(ends, "_s", "left").withColumn("_d", F.expr(row))
+    extra = ("if(named_struct('d', _bd, 'b', block) < named_struct('d', _edge_bd, 'b', _edge) "
+             "or (block = _edge and coalesce(named_struct('d', _d, '_u', _u) <= _cut, false)), 1, 0)")
+    out = dealt.withColumn("_n", F.expr(f"cast(_epochs + {extra} as int)")).where("_n > 0")
     out = out.withColumn("epoch", F.explode(F.expr("sequence(0, _n - 1)")))
     return out.withColumns({
         "block_rank": F.expr(_draw(f"'{seed}'", "cast(epoch as string)", "_s", "cast(block as string)")),
         "draw": F.expr(_draw(f"'{seed}'", "'row'", "cast(epoch as string)", "cast(_u as string)")),
-    }).drop("_s", "_u", "_d", "_n", "whole", "cut", "n_blocks", "epochs", "rest")
+    }).drop("_s", "_u", "_d", "_n", "_bd", "_edge_bd", "_edge", "_cut", "_blocks", "_epochs", "_rest")

@@ -16,7 +16,7 @@ ROWS = [
     (None, None, None, None, None), (7, "x" * 150_000, "en", "a", 150_000), (8, "é" * 300, "fr", "c", 300), (9, "one word", "en", "c", 8),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["block", "tokens", "fp", "kept", "n_words", "d", "x", "h", "shard", "n_tokens", "size", "k", "epoch", "failed_bits"]
+EXTRA = ["block", "tokens", "fp", "kept", "n_words", "d", "x", "h", "shard", "n_tokens", "size", "k", "epoch", "failed_bits", "rest", "left", "edge", "cut", "epochs", "n_blocks"]
 
 
 @pytest.fixture(scope="module")
