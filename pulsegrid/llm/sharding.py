@@ -23,6 +23,8 @@ from pulsegrid.session import pin
 GROUP_PARTS = 20
 #: Wanted rows of a range, sampled rows for each range, and the overfull factor.
 RANGE_ROWS, SAMPLE_PER_RANGE, OVERFULL = 50_000, 20, 2.0
+#: About as many ranges at most, so that neither splitters nor the sample grow with the table; the sort of a range spills.
+MAX_RANGES = 2_048
 
 
 def _range_of(splitters) -> F.Column:
@@ -84,7 +86,7 @@ def shard_by_size(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", te
         F.expr(f"md5({full})").alias("k"), F.col(doc_id).cast("long").alias("doc_id"),
         F.expr(f"octet_length({full}) + 1L").alias("size"), F.expr(f"crc32({full})").alias("text_crc32")))
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    dealt = _ranges(rows, n, max(total, 1), range_rows)
+    dealt = _ranges(rows, n, max(total, 1), max(range_rows, n // MAX_RANGES))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range: a few for every million records
     offsets = dealt.groupBy("r").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("c")).select(
