@@ -1,7 +1,8 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
 A page is read once into blocks. Elements that are never content (by name, or by a class or id
-that labelled pages only have outside their article) are passed over with all they hold. What is
+that labelled pages only have outside their article, never inside or around it) are passed over
+with all they hold; an element around the article of a labelled page never is. What is
 left is a sequence of words, which score positive, and tags, which score negative by a weight
 learned from labelled pages: the share of the tag's uses that lies outside the article. One
 linear scan (the largest sum of a contiguous run) gives the content region; the words of its
@@ -13,7 +14,9 @@ region of a page is always found by its scores, also where it has such an elemen
 
 Defined results: null and empty pages have empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by a line feed, empty blocks vanish.
-An unclosed comment, script or element reaches to the end of the page. Equal scores keep the
+An unclosed comment or script reaches to the end of the page, an unclosed element to the end tag
+of an element around it. A page whose words all lie in passed-over elements is read again by
+element names alone. Equal scores keep the
 earliest and then the longest region. Repeated rows give repeated results, null keys stay null,
 extra columns are ignored. No rows give no rows.
 """
@@ -49,6 +52,8 @@ _TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+'
 _LOOSE = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+#: Elements with this name or around it hold blocks; an end tag of another name does not reach past them.
+_OUTER = BLOCK | OUTSIDE | frozenset("td th".split())
 _PARTS, _ABOUT = re.compile("[-_]+").split, frozenset("has no with without is js".split())
 
 
@@ -59,8 +64,8 @@ def _keys(name, attrs):
         for m in _NAMES.finditer(attrs):
             for w in (m[1] or m[2] or m[3] or "").lower().split():
                 parts = _PARTS(w)
-                # main-menu and ad-slot say what they are, has-sidebar does not
-                keys += ["." + k for k in dict.fromkeys((w, parts[0], parts[-1]) if parts[0] not in _ABOUT else (w,))]
+                # main-menu and ad-slot say what they are, has-sidebar and content-with-sidebar do not
+                keys += ["." + k for k in dict.fromkeys((w, parts[0], parts[-1]) if _ABOUT.isdisjoint(parts) else (w,))]
     return keys
 
 
@@ -97,28 +102,81 @@ def events(page: str):
             yield "open", name, _keys(name, m[2]), m[2].rstrip().endswith("/")
 
 
+class Open:
+    """The open elements of a page as (name, event number), outermost first."""
+
+    def __init__(self):
+        self.stack, self.at, self.outer = [], {}, []
+
+    def _cut(self, i):
+        while len(self.stack) > i:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            if name in _OUTER:
+                self.outer.pop()
+
+    def open(self, name, number):
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in _OUTER:
+            self.outer.append(len(self.stack))
+        self.stack.append((name, number))
+
+    def close(self, name, skipped=-1):
+        """End the innermost element of this name and what it holds; only a block's end tag, or that
+        of the element at ``skipped``, ends blocks."""
+        at = self.at.get(name)
+        if at and name not in ("html", "body") and (name in _OUTER or at[-1] == skipped or not self.outer or self.outer[-1] < at[-1]):
+            self._cut(at[-1])
+
+
 def _outside(keys, learned):
     if keys[0] in WHOLE:
         return False
     return keys[0] in OUTSIDE or any(k[1:] in BOILERPLATE or k in learned for k in keys[1:])
 
 
-def tag_uses(page: str):
-    """Key to (uses inside, uses outside) of a page that marks one article, else nothing."""
+def _root(page):
+    """The name of the one element that marks the article, or None."""
     low = page.lower()
-    root = next((r for r in ("article", "main") if len(re.findall(rf"<{r}[\s>]", low)) == 1), None)
-    if root is None:
+    return next((r for r in ("article", "main") if len(re.findall(rf"<{r}[\s>]", low)) == 1), None)
+
+
+def _around(page, root):
+    """Event numbers of the elements around the article, or None if it never opens."""
+    tree = Open()
+    for n, e in enumerate(events(page)):
+        if e[0] == "close":
+            tree.close(e[1])
+        elif e[0] == "open":
+            if e[1] == root:
+                return {k for _, k in tree.stack}
+            if e[1] not in VOID and not e[3]:
+                tree.open(e[1], n)
+    return None
+
+
+def tag_uses(page: str):
+    """Key to (uses inside, outside and around the article) of a page that marks one article, else nothing."""
+    root = _root(page)
+    around = None if root is None else _around(page, root)
+    if around is None:
         return {}
-    uses, inside = {}, False
-    for e in events(page):
+    uses, tree, held = {}, Open(), None
+    for n, e in enumerate(events(page)):
         if e[0] == "close":
-            inside &= e[1] != root
+            tree.close(e[1])
         elif e[0] == "open":
             if e[1] == root:
-                inside = True
-                continue
-            for k in set(e[2]):
-                uses.setdefault(k, [0, 0])[0 if inside else 1] += 1
+                held = len(tree.stack)
+            else:
+                # the article ends with its own end tag or with that of an element around it
+                inside = held is not None and len(tree.stack) > held
+                for k in set(e[2]):
+                    uses.setdefault(k, [0, 0, 0])[2 if n in around else 0 if inside else 1] += 1
+            if e[1] not in VOID and not e[3]:
+                tree.open(e[1], n)
+        if held is not None and len(tree.stack) <= held:
+            held = math.inf
     return uses
 
 
@@ -131,27 +189,27 @@ def weights(pages: DataFrame, page_id="page_id", page="html", limit=LABELLED_PAG
         for b in batches:
             total = {}
             for t in b.column(0):
-                for k, (i, o) in tag_uses(t.as_py() or "").items():
-                    was = total.setdefault(k, [0, 0])
-                    was[0] += i
-                    was[1] += o
+                for k, n in tag_uses(t.as_py() or "").items():
+                    total[k] = [a + b for a, b in zip(total.get(k, (0, 0, 0)), n)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())],
-                ["key", "i", "o"])
+                [pa.array(list(total), pa.string()), *(pa.array([v[j] for v in total.values()], pa.int64()) for j in range(3))],
+                ["key", "i", "o", "h"])
 
     marked = pages.where(F.col(page).rlike("(?i)<(article|main)[\\s>]"))
     # ids are chosen first, so that no task gathers pages of all others
     chosen = marked.select(F.xxhash64(page_id).alias("_h"), page_id).orderBy("_h", page_id).limit(limit).select(page_id)
     sample = marked.join(F.broadcast(chosen), page_id, "left_semi").select(page)
-    rows = sample.repartition(8).mapInArrow(run, "key string, i long, o long").groupBy("key").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
-    tags = {r["key"]: TAG * r["o"] / (r["i"] + r["o"]) for r in rows if not r["key"].startswith(".")}
-    learned = {r["key"] for r in rows if r["key"].startswith(".") and r["i"] == 0 and r["o"] >= LEARNED_USES}
+    rows = sample.repartition(8).mapInArrow(run, "key string, i long, o long, h long").groupBy("key").agg(*[F.sum(c).alias(c) for c in "ioh"]).collect()
+    tags = {r["key"]: TAG * r["o"] / (r["i"] + r["o"]) for r in rows if not r["key"].startswith(".") and r["i"] + r["o"]}
+    learned = {r["key"] for r in rows if r["key"].startswith(".") and r["i"] == r["h"] == 0 and r["o"] >= LEARNED_USES}
     return tags, learned
 
 
-def _blocks(page, tags, learned):
+def _blocks(page, tags, learned, outside=_outside):
     """Blocks of what is not boilerplate: (text, score of the tags since the last block, words)."""
-    out, run, cost, skip, depth = [], [], 0.0, None, 0
+    out, run, cost, skip, tree = [], [], 0.0, None, Open()
+    root = _root(page)
+    around = _around(page, root) or () if root else ()
 
     def flush():
         nonlocal run, cost
@@ -161,21 +219,26 @@ def _blocks(page, tags, learned):
             cost = 0.0
         run = []
 
-    for e in events(page):
+    for n, e in enumerate(events(page)):
         if e[0] == "text":
             if skip is None:
                 run.append(e[1])
             continue
-        name = e[1]
+        name, holds = e[1], e[0] == "open" and e[1] not in VOID and not e[3]
+        if e[0] == "close":
+            skipped = None if skip is None else tree.stack[skip][0]
+            tree.close(name, -1 if skip is None else skip)
+            if skip is not None and len(tree.stack) <= skip:
+                skip = None
+                if name == skipped:
+                    continue
+        elif holds:
+            tree.open(name, n)
         if skip is not None:
-            if name == skip and not (e[0] == "open" and e[3]):
-                depth += 1 if e[0] == "open" else -1
-                if not depth:
-                    skip = None
             continue
-        if e[0] == "open" and name not in VOID and not e[3] and _outside(e[2], learned):
+        if holds and n not in around and outside(e[2], learned):
             flush()
-            skip, depth = name, 1
+            skip = len(tree.stack) - 1
             continue
         if name in BLOCK:
             flush()
@@ -186,9 +249,13 @@ def _blocks(page, tags, learned):
     return out
 
 
+def _outside_by_name(keys, learned):
+    return keys[0] in OUTSIDE and keys[0] != "form"
+
+
 def main_text(page: str, tags: dict, learned: set) -> str:
     """Text of the best contiguous run of blocks; the first tag cost of a run lies before it."""
-    blocks = _blocks(page, tags, learned)
+    blocks = _blocks(page, tags, learned) or _blocks(page, tags, learned, _outside_by_name)
     best, best_at, total, start = -math.inf, (0, 0), 0.0, 0
     for i, (_, cost, words) in enumerate(blocks):
         if i == start or total + cost <= 0:
