@@ -15,7 +15,7 @@ region of a page is always found by its scores, also where it has such an elemen
 Defined results: null and empty pages have empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by a line feed, empty blocks vanish.
 An unclosed comment or script reaches to the end of the page, an unclosed element to the end tag
-of an element around it. A page whose words all lie in passed-over elements is read again by
+of an element around it; p, li, dt, dd, td, th, tr, option and head end where HTML ends them without a tag. A page whose words all lie in passed-over elements is read again by
 element names alone. Equal scores keep the
 earliest and then the longest region. Repeated rows give repeated results, null keys stay null,
 extra columns are ignored. No rows give no rows.
@@ -54,6 +54,21 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 #: Elements with this name or around it hold blocks; an end tag of another name does not reach past them.
 _OUTER = BLOCK | OUTSIDE | frozenset("td th".split())
+# End tags that may be left out. Start tag to (elements it ends, elements whose inside it does not reach out of).
+_CELLS, _GROUPS, _PARAGRAPH = ("td", "th"), ("tbody", "thead", "tfoot"), (("p",), ("table", "td", "th", "caption", "button"))
+_LISTS = ("ul", "ol", "menu", "dl", "table", "td", "th", "blockquote", "section", "article", "main", "aside", "nav", "form", "figure", "details")
+_ENDS = {n: [_PARAGRAPH] for n in (
+    "address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li main menu nav ol p pre section summary table ul").split()}
+_ENDS["li"] = [_PARAGRAPH, (("li",), _LISTS)]
+_ENDS |= {n: [_PARAGRAPH, (("dd", "dt"), _LISTS)] for n in ("dd", "dt")}
+_ENDS |= {n: [(_CELLS, ("table",))] for n in _CELLS}
+_ENDS["tr"] = [(("tr", "caption", *_CELLS), ("table",))]
+_ENDS |= {n: [(("tr", "caption", *_CELLS, *_GROUPS), ("table",))] for n in _GROUPS}
+_ENDS |= {"option": [(("option",), ("datalist",))], "optgroup": [(("option", "optgroup"), ("datalist",))]}
+# an end tag of these stays within the innermost of the others
+_WITHIN = {"li": ("ul", "ol", "menu"), "p": _PARAGRAPH[1], "dd": ("dl",), "dt": ("dl",)} | dict.fromkeys(("tr", *_CELLS, *_GROUPS), ("table",))
+_IN_HEAD = frozenset("html head meta link base".split())
 _PARTS, _ABOUT = re.compile("[-_]+").split, frozenset("has no with without is js".split())
 
 
@@ -115,6 +130,19 @@ class Open:
             if name in _OUTER:
                 self.outer.pop()
 
+    def _last(self, names):
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def start(self, name):
+        """End the elements whose end tags may be left out before this start tag."""
+        if self.at.get("head") and name not in _IN_HEAD:
+            self._cut(self.at["head"][-1])
+        for ended, within in _ENDS.get(name, ()):
+            low = self._last(within)
+            at = [self.at[n][-1] for n in ended if self.at.get(n) and self.at[n][-1] > low]
+            if at:
+                self._cut(min(at))
+
     def open(self, name, number):
         self.at.setdefault(name, []).append(len(self.stack))
         if name in _OUTER:
@@ -125,7 +153,9 @@ class Open:
         """End the innermost element of this name and what it holds; only a block's end tag, or that
         of the element at ``skipped``, ends blocks."""
         at = self.at.get(name)
-        if at and name not in ("html", "body") and (name in _OUTER or at[-1] == skipped or not self.outer or self.outer[-1] < at[-1]):
+        if not at or name in ("html", "body") or at[-1] < self._last(_WITHIN.get(name, ())):
+            return
+        if name in _OUTER or at[-1] == skipped or not self.outer or self.outer[-1] < at[-1]:
             self._cut(at[-1])
 
 
@@ -148,6 +178,7 @@ def _around(page, root):
         if e[0] == "close":
             tree.close(e[1])
         elif e[0] == "open":
+            tree.start(e[1])
             if e[1] == root:
                 return {k for _, k in tree.stack}
             if e[1] not in VOID and not e[3]:
@@ -166,6 +197,9 @@ def tag_uses(page: str):
         if e[0] == "close":
             tree.close(e[1])
         elif e[0] == "open":
+            tree.start(e[1])
+            if held is not None and len(tree.stack) <= held:
+                held = math.inf
             if e[1] == root:
                 held = len(tree.stack)
             else:
@@ -232,8 +266,12 @@ def _blocks(page, tags, learned, outside=_outside):
                 skip = None
                 if name == skipped:
                     continue
-        elif holds:
-            tree.open(name, n)
+        else:
+            tree.start(name)
+            if skip is not None and len(tree.stack) <= skip:
+                skip = None
+            if holds:
+                tree.open(name, n)
         if skip is not None:
             continue
         if holds and n not in around and outside(e[2], learned):

@@ -38,3 +38,30 @@ def test_classes_around_and_outside_are_not_learned(spark):
 
 def test_page_that_lies_in_passed_over_elements():
     assert html_content.main_text(f"<nav>Home</nav><div class='layout-sidebar'><p>{WORDS}</p></div>", {}, set()) == WORDS
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div><p class='ad'>Buy<p>first</p><p>second</p></div>", "first\nsecond"),
+    ("<p class=ad><b>Buy</b> now<div>first</div><p>second", "first\nsecond"),
+    ("<ul><li class='share'>x<li>item<li>other</ul><p>end</p>", "item\nother\nend"),
+    ("<ul><li>item<li class='share'>x<ul><li>y<li>z</ul></ul><p>end</p>", "item\nend"),
+    ("<div><ul><li class='share'>x</ul><p>end</p></div>", "end"),
+    ("<dl><dt class=ad>x<dd>one<dt>two<dd class=ad>y</dl><p>end", "one\ntwo\nend"),
+    ("<table><tr><td class=ad>x<td>one<tr class=ad><td>y<table><tr><td>z</table><tr><td>two</table><p>end", "one\ntwo\nend"),
+    ("<table><thead class=ad><tr><th>h<tbody><tr><td>one</table>", "one"),
+    ("<section><div class='ad'>x<p>y</section><p>end</p>", "end"),
+    ("<div class='ad'><div>x</div><p>y</p></div><p>end</p>", "end"),
+    ("<head><meta charset=utf-8><body><p>end</p></body>", "end"),
+    ("<div class=ad>a<span>b</div><span class=ad>c<div>d</span><p>end</p>", "end")])
+def test_end_tags_left_out(page, want):
+    assert html_content.main_text(page, {}, set()) == want
+
+
+def test_article_after_unclosed_blocks_has_no_ancestors_among_them():
+    uses = html_content.tag_uses("<div class=a><ul><li class=b>x<li class=b>y</ul><p class=c>z<div class=d><article><p>t</div><p class=e>u")
+    assert [uses[k] for k in (".a", ".b", ".c", ".d", ".e")] == [[0, 0, 1], [0, 2, 0], [0, 1, 0], [0, 0, 1], [0, 1, 0]]
+
+
+def test_deep_pages_stay_linear():
+    page = "<i><div class=ad>" + "<b><div>" * 60_000 + "</i></b>" * 60_000
+    assert html_content.main_text(page, {}, set()) == ""
