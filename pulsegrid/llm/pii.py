@@ -2,7 +2,7 @@
 
 Plain identifiers are found in the text itself (the base spans). Then a chain of transducers
 rewrites the text: look-alike characters to ASCII, spelled digits to digits, "(at)", "[dot]" and
-their spoken forms to ``@`` and ``.``. Each rewritten character carries the source range it came
+their spoken forms to ``@`` and ``.``, single spelled digits beside a ``.`` to digits. Each rewritten character carries the source range it came
 from, so what the same detectors find in the rewritten text maps back to source offsets. A span
 found this way is added if it covers a rewritten character and no base span of its kind reaches out of it or equals it.
 
@@ -120,12 +120,16 @@ _HIGH = re.compile("[\U00010000-\U0010ffff]").search
 _WORD_DIGIT = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
 _SPELLED = "|".join(f"[{w[0].upper()}{w[0]}]{w[1:]}|{w.upper()}" for w in _WORD_DIGIT)
 # a digit word that stands alone and goes on: what every spelled run has
-_SPOKEN = re.compile(rf"(?:[^A-Za-z0-9](?=[zotfsenZOTFSEN])|\A)(?:{_SPELLED})[ -]|[0-9][ -](?:{_SPELLED})").search
+_SPOKEN = re.compile(rf"(?:[^A-Za-z0-9](?=[zotfsenZOTFSEN])|\A)(?:{_SPELLED})[ -]|[0-9][ -]++(?:{_SPELLED})").search
 _RUN = re.compile(rf"(?:\b(?:[Pp]lus|PLUS)[ -]+|\+ ?)?(?<![A-Za-z0-9])(?:{_SPELLED}|[0-9]++)(?:[ -]++(?:{_SPELLED}|[0-9]++))++(?![A-Za-z])")
 _AT = re.compile(r"\s{0,2}[(\[{<]\s{0,2}(?:at|At|AT|@)\s{0,2}[)\]}>]\s{0,2}"
                  r"| (?:at|AT) (?=[A-Za-z0-9-]{1,63}(?:\s{0,2}[(\[{<]\s{0,2}(?:dot|Dot|DOT)| (?:dot|DOT) ))")
 _DOT = re.compile(r"\s{0,2}[(\[{<]\s{0,2}(?:dot|Dot|DOT|\.)\s{0,2}[)\]}>]\s{0,2}| (?:dot|DOT) (?=[A-Za-z0-9])")
-_HINTS = ("dot", "Dot", "DOT", "(at", "[at", "{at", "<at", "(At", "[At", "(AT", "[AT", "{AT", "(@", "[@", "( at", "[ at", "(.)", "[.]")
+# a single digit word beside a dot, as it stands or as it is left by the others
+_LONE = re.compile(rf"(?<![A-Za-z0-9])(?:{_SPELLED})(?=\.[A-Za-z0-9])|(?<=[A-Za-z0-9]\.)(?:{_SPELLED})(?![A-Za-z0-9])")
+# quick looks: the bracketed forms of _AT and _DOT (the spoken ones have a "dot"), and what _LONE needs
+_BRACKET = re.compile(r"[(\[{<]\s{0,2}(?:at|At|AT|@|dot|Dot|DOT|\.)\s{0,2}[)\]}>]").search
+_BY_DOT = re.compile(r"[oerxntOERXNT]\.[A-Za-z0-9]|[A-Za-z0-9]\.[zotfsenZOTFSEN]").search
 
 
 def _digits(m):
@@ -163,10 +167,15 @@ class Rewritten:
             self.changed = np.concatenate([*changed, self.changed[at:]])
 
 
+def _disguised(text: str) -> bool:
+    """True for every text without look-alike characters that the transducers change."""
+    return bool("dot" in text or "Dot" in text or "DOT" in text or _BRACKET(text) or _SPOKEN(text) or _BY_DOT(text) and _LONE.search(text))
+
+
 def hidden_spans(text: str, base: list) -> list:
     """Spans that only the rewritten text shows, in source offsets."""
     alike = not text.isascii() and (_ALIKE_LOW(text) or _HIGH(text))
-    if not (alike or any(h in text for h in _HINTS) or _SPOKEN(text)):
+    if not (alike or _disguised(text)):
         return []
     r = Rewritten(text)
     if alike:
@@ -174,6 +183,7 @@ def hidden_spans(text: str, base: list) -> list:
     r.apply(_RUN, _digits)
     r.apply(_AT, lambda m: "@")
     r.apply(_DOT, lambda m: ".")
+    r.apply(_LONE, lambda m: _WORD_DIGIT[m[0].lower()])
     out = []
     for kind, a, b in base_spans(r.text):
         s, e = int(r.start[a]), int(r.end[b - 1])
