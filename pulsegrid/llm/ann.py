@@ -4,8 +4,9 @@ The exact neighbour graph of a bounded sample of vectors is cut into balanced pa
 from k-means seeds and vertices then move to the part most of their neighbours are in, as long
 as it has room). A multinomial logistic classifier learns the part of a vector; every row is
 stored in the part it gives the highest probability, and a query is sent to its most probable
-parts, as many as the sample needed to find RECALL of its true neighbours. The candidates are
-scored exactly, block by block.
+parts, as many as sample rows kept out of the fit needed to find RECALL of their true neighbours,
+and further down until the parts hold k rows of other ids. The candidates are scored exactly,
+block by block. The sample is the rows of the smallest hashes, wherever they are stored.
 
 Rows of a part are dealt over blocks of at most BLOCK_ROWS on average, so a part that holds a
 third of all rows is many tasks; a block meets the queries routed to its part and returns at
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, BLOCK_ROWS, RECALL = 4_096, 8_192, 0.97
 #: Neighbours in the graph, and its parts at most.
 GRAPH_K, MAX_PARTS = 10, 64
+#: One sample row in so many is kept out of the fit and sets the number of parts a query visits.
+HELD_OUT = 4
 
 
 def usable(vectors: DataFrame, vec_id="vec_id", vector="embedding") -> DataFrame:
@@ -96,19 +99,21 @@ class Router:
     """Routes vectors of one length: part of a row, parts of a query."""
 
     def __init__(self, sample: np.ndarray, k: int, recall=RECALL):
+        kept_out = np.arange(len(sample)) % HELD_OUT == HELD_OUT - 1
+        sample, asked = (sample[~kept_out], sample[kept_out]) if len(sample) >= 128 else (sample, sample)
         x = _unit(sample)
         n = len(x)
         self.n_parts = max(1, min(MAX_PARTS, n // 64))
         part, _ = balanced_parts(x, self.n_parts) if self.n_parts > 1 else (np.zeros(n, int), None)
         self.w = fit_router(x, part, self.n_parts) if self.n_parts > 1 else np.zeros((sample.shape[1] + 1, 1))
         self.probes = self.n_parts
-        # the fewest probes that find the wanted share of the sample's own nearest rows
+        # the fewest probes that find the wanted share of the nearest rows among those kept out
         if self.n_parts > 1:
-            home, order = self.home(sample), self._ranked(sample)
+            home, order = self.home(asked), self._ranked(asked)
             place = np.argsort(order, axis=1)
-            scores = sample @ sample.T
+            scores = asked @ asked.T
             np.fill_diagonal(scores, -np.inf)
-            near = np.argpartition(-scores, min(k, n - 1) - 1, axis=1)[:, :k]
+            near = np.argpartition(-scores, min(k, len(asked) - 1) - 1, axis=1)[:, :min(k, len(asked) - 1)]
             need = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
             self.probes = int(need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)]) + 1
 
@@ -121,8 +126,13 @@ class Router:
     def home(self, v):
         return self._logits(v).argmax(1)
 
-    def routes(self, v):
-        return self._ranked(v)[:, :self.probes]
+    def routes(self, v, others, k):
+        """(query row, part) pairs: the most probable parts, until they hold k of ``others`` (rows by query and part)."""
+        order = self._ranked(v)
+        before = np.cumsum(np.take_along_axis(others, order, axis=1), axis=1) - np.take_along_axis(others, order, axis=1)
+        wanted = (np.arange(self.n_parts) < self.probes) | (before < k)
+        i, j = np.nonzero(wanted)
+        return i, order[i, j]
 
 
 def _matrix(column, dims):
@@ -130,13 +140,16 @@ def _matrix(column, dims):
 
 
 def fit(rows: DataFrame, k: int, n: int) -> tuple:
-    """(dims, Router) on at most SAMPLE_ROWS rows of the most frequent length, chosen by hash of the id."""
-    picked = rows.where(F.expr(f"pmod(xxhash64(id), 1048576) < {1048576 * 2.0 * SAMPLE_ROWS / max(n, 1)}")).limit(SAMPLE_ROWS).select("v").collect()
-    lengths = [len(r[0]) for r in picked]
+    """(dims, Router) on at most SAMPLE_ROWS rows of the most frequent length: those of the smallest hashes."""
+    spread = F.xxhash64("id", "v")
+    # about twice the rows needed, so that the choice of the smallest stays small; equal rows count once
+    near = rows.where(F.pmod(spread, F.lit(1048576)) < 1048576 * 2.0 * SAMPLE_ROWS / max(n, 1)).select("id", "v").distinct()
+    picked = near.orderBy(spread, "id", "v").limit(SAMPLE_ROWS).collect()
+    lengths = [len(r["v"]) for r in picked]
     if not lengths:
         return 0, None
     dims = max(sorted(set(lengths)), key=lengths.count)
-    return dims, Router(np.array([r[0] for r in picked if len(r[0]) == dims]), k)
+    return dims, Router(np.array([r["v"] for r in picked if len(r["v"]) == dims]), k)
 
 
 def _best(q_ids, q, ids, x, k):
@@ -170,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k=20, vec_id="vec_id", vecto
     dims, router = fit(rows, k, n)
     shared = spark.sparkContext.broadcast((dims, router))
 
-    def parts_of(b, all_routes):
+    def parts_of(b, sizes_of=None):
         """(row, part) pairs; rows of another length have a part of their own per length."""
         d, r = shared.value
         sizes = np.asarray(b.column(1).value_lengths())
@@ -179,28 +192,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k=20, vec_id="vec_id", vecto
         pairs_i, pairs_p = [other], [-sizes[other].astype(np.int64)]
         if len(same):
             m = _matrix(b.column(1).take(pa.array(same)), d)
-            p = r.routes(m) if all_routes else r.home(m)[:, None]
-            pairs_i.append(np.repeat(same, p.shape[1]))
-            pairs_p.append(p.ravel())
+            if sizes_of is None:
+                i, p = np.arange(len(same)), r.home(m)
+            else:
+                others = np.tile([sizes_of.get(part, 0) for part in range(r.n_parts)], (len(same), 1))
+                for row, own in enumerate(b.column(2).take(pa.array(same)).to_pylist()):
+                    for e in own or ():
+                        if e["part"] >= 0:
+                            others[row, e["part"]] -= e["n"]
+                i, p = r.routes(m, others, k)
+            pairs_i.append(same[i])
+            pairs_p.append(p)
         return np.concatenate(pairs_i), np.concatenate(pairs_p)
 
-    def dealt(all_routes):
+    def dealt(sizes_of=None):
         def run(batches):
             for b in batches:
-                i, p = parts_of(b, all_routes)
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *(c.take(pa.array(i)) for c in b.columns)],
+                i, p = parts_of(b, sizes_of)
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), *(c.take(pa.array(i)) for c in b.columns[:2])],
                                                  ["part", "id", "v"])
         return run
 
     schema = "part int, id long, v array<double>"
-    base = rows.mapInArrow(dealt(False), schema)
+    base = rows.mapInArrow(dealt(), schema)
     # blocks of a part by hash; rows that all share one part fill as many blocks as they need
     sizes = base.groupBy("part").count().collect()  # parts are bounded by MAX_PARTS and the lengths
     blocks = {r["part"]: max(1, math.ceil(r["count"] / block_rows)) for r in sizes}
+    # rows of a query's own id by part: at most MAX_PARTS and the lengths of an id
+    own = base.groupBy("id", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.collect_list(F.struct("part", "n")).alias("own"))
+    asked = asked.join(own, "id", "left").select("id", "v", "own")
     many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.create_map(F.lit(0), F.lit(1))
     base = base.withColumns({"q": F.lit(False), "n_blocks": many[F.col("part")]}).withColumn(
         "block", F.expr("cast(pmod(xxhash64(id), n_blocks) as int)")).drop("n_blocks")
-    sent = asked.mapInArrow(dealt(True), schema).withColumn(
+    sent = asked.mapInArrow(dealt({r["part"]: r["count"] for r in sizes}), schema).withColumn(
         "n_blocks", F.coalesce(F.try_element_at(many, F.col("part")), F.lit(0))).where("n_blocks > 0").withColumn(
         "block", F.explode(F.expr("sequence(0, n_blocks - 1)"))).select("part", "id", "v", F.lit(True).alias("q"), "block")
 
