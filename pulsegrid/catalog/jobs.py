@@ -23,7 +23,6 @@ from pulsegrid.plans import decoders, models, runs, selection
 from pulsegrid.session import pin
 
 SEED = 303
-SMALL = {"trees": 20, "depth": 6}
 
 CHOSEN = """chs as (select *, row_number() over (partition by dataset, family, method, seed order by round(key1, 10) desc, round(key2, 10) desc, round(accuracy, 10) desc, cand) as r from gr),
 pol as (select c.dataset, c.family, c.method, c.seed, c.alpha, d.decoder, d.power, d.mult from chs c join dec d on d.dataset = c.dataset and d.seed = c.seed and d.decoder = case when c.dataset = 'MIT-BIH' then 'clinical_default' else c.decoder end where c.r = 1)"""
@@ -68,7 +67,7 @@ def _base(df):
 @query("evidence_model")
 def evidence_model(spark, sf):
     """Prototype evidence from fit rows, class-weighted forest, probability rows for the others."""
-    ev = runs.evidence_probabilities(pin(_base(assigned_beats(spark, sf))), SEED, **SMALL)
+    ev = runs.evidence_probabilities(pin(_base(assigned_beats(spark, sf))), SEED)
     return rounded(ev.select("dataset", "role", "beat_id", "y", *[F.col("p_evidence")[c].alias(f"p{c}") for c in range(5)]))
 
 
@@ -100,7 +99,7 @@ def full_run(spark, sf):
     """Run grid minus finished runs: splits, prototypes, forest, backbones, adapter, detail rows."""
     rows = pin(_base(beats(spark, sf)))
     done = spark.createDataFrame([("SVDB", "logistic", SEED)], "dataset string, method string, seed int")
-    detail = runs.full_run(rows, ["INCART", "SVDB"], ["logistic"], [SEED], protocol="beat", done=done, size=0.02, encoder=SMALL)
+    detail = runs.full_run(rows, ["INCART", "SVDB"], ["logistic"], [SEED], protocol="beat", done=done, size=0.02)
     return rounded(detail.select("dataset", "method", "seed", "protocol", "selected_decoder", "accuracy", "macro_f1_4", "raw_macro_f1_4", "delta_macro_f1_4"))
 
 
@@ -108,14 +107,14 @@ def full_run(spark, sf):
 def sensitivity_sweep(spark, sf):
     roles = pin(_base(assigned_beats(spark, sf)))
     back = probs(spark, sf).where(f"method = 'logistic_raw' and seed = {SEED}")
-    out = pin(runs.cost_sweep(roles, back, SEED, "logistic_raw", **SMALL))
+    out = pin(runs.cost_sweep(roles, back, SEED, "logistic_raw"))
     return rounded(summary.cost_rollup(out))
 
 
 @query("config_sweep")
 def config_sweep(spark, sf):
     roles = pin(_base(assigned_beats(spark, sf)))
-    out = runs.config_sweep(roles, SEED, runs.SWEEP, **SMALL)
+    out = runs.config_sweep(roles, SEED, runs.SWEEP)
     return rounded(out.select("dataset", "seed", "config_name", "stage", "macro_f1_4", "accuracy", "changed_samples"))
 
 
@@ -123,7 +122,7 @@ def config_sweep(spark, sf):
 def external_validation(spark, sf):
     rows = pin(beats(spark, sf).withColumn("features", F.concat("b0", "b1")))
     train, test = rows.where("dataset <> 'SVDB'"), rows.where("dataset = 'SVDB'")
-    out = runs.external_validation(train, test, [SEED, 1303], "strict", threshold=0.1, trees=20, depth=6)
+    out = runs.external_validation(train, test, [SEED, 1303], "strict", threshold=0.1)
     return rounded(out.select("scenario", "seed", "cand", "mode", "macro_f1_4", "accuracy", "is_best"))
 
 

@@ -37,7 +37,7 @@ def padded(values: Column) -> Column:
 
 
 def fit_forest(fit: DataFrame, seed, features="features", y="y", weights="legacy_cost", trees=700,
-               subset="0.35", min_leaf=2, depth=12, bootstrap=False):
+               subset="0.35", min_leaf=2, depth=30, bootstrap=False):
     """Class-weighted forest on every row of ``fit``; best splits over feature subsets."""
     rows = weighted_rows(fit.select(F.col(features).alias("_x"), F.col(y).alias("y")), weights)
     data = rows.select(array_to_vector(F.col("_x").cast("array<double>")).alias("features"),
@@ -85,12 +85,12 @@ def baseline(name: str, seed: int, width: int, size: float = 1.0):
         "linear_svm": lambda: (
             Pipeline(stages=[
                 StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                OneVsRest(classifier=LinearSVC(maxIter=n(100), regParam=1e-3), featuresCol="scaled",
+                OneVsRest(classifier=LinearSVC(maxIter=n(5000), regParam=1e-3), featuresCol="scaled",
                           rawPredictionCol="rawPrediction")]), "scores"),
         "random_forest": lambda: (RandomForestClassifier(
-            numTrees=n(400), featureSubsetStrategy="sqrt", seed=seed, maxDepth=12), "probability"),
+            numTrees=n(400), featureSubsetStrategy="sqrt", seed=seed, maxDepth=30), "probability"),
         "extra_trees": lambda: (RandomForestClassifier(
-            numTrees=n(500), featureSubsetStrategy="sqrt", seed=seed, maxDepth=12, bootstrap=False), "probability"),
+            numTrees=n(500), featureSubsetStrategy="sqrt", seed=seed, maxDepth=30, bootstrap=False), "probability"),
         "boosting": lambda: (OneVsRest(
             classifier=GBTClassifier(maxIter=n(260), stepSize=0.05, maxDepth=5, seed=seed),
             rawPredictionCol="rawPrediction"), "scores"),

@@ -54,7 +54,7 @@ def forest_probabilities(rows: DataFrame, seed: int, **encoder) -> DataFrame:
     settings = {**models.ENCODER, **encoder}
     model = models.fit_forest(
         rows.where("role = 'fit'"), seed, weights=settings["weights"], trees=settings["trees"],
-        subset=settings["subset"], min_leaf=settings["min_leaf"], depth=settings.get("depth", 12))
+        subset=settings["subset"], min_leaf=settings["min_leaf"], depth=settings.get("depth", 30))
     scored = models.predict(model, rows.where("role <> 'fit'"), name="p_evidence")
     return scored.select("dataset", "role", "beat_id", "y", "p_evidence").withColumn("seed", F.lit(seed))
 
