@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ann, bpe, html_content, mixing, pii, quality_rules, repeats, sharding, simhash, token_counts
+from pulsegrid.llm import ann, bpe, html_content, lexical, mixing, pii, quality_rules, repeats, sharding, simhash, token_counts
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
@@ -79,6 +79,12 @@ def op10(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), VOCABULARY)
 
 
+@query("op11_reversed_search", S.LEXICAL)
+def op11(spark, sf):
+    """Ten highest-scoring documents of every benchmark item, over all documents."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     """All stages of the corpus pipeline over documents."""

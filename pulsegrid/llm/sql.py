@@ -83,3 +83,18 @@ select doc_id, source, tokens, epoch::int as epoch, block::bigint as block,
        ('0x' || substr(md5('0|' || epoch || '|' || s || '|' || block), 1, 15))::bigint as block_rank,
        ('0x' || substr(md5('0|row|' || epoch || '|' || u), 1, 15))::bigint as draw from x
 """
+
+LEXICAL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+s as (select count(*) as nd, sum(len(ts))::bigint as nt from d where len(ts) > 0),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+t as (select rid, doc_id, len(ts) as n, unnest(ts) as term from d),
+c as (select rid, doc_id, n, term, count(*) as tf from t where term in (select term from q) group by all),
+f as (select term, floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1)::double))::bigint as w from c, s group by term),
+sc as (select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))))::bigint as score
+       from c join f using (term) join q using (term), s group by all),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from sc where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""

@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_number_has_a_query():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")} == set(range(1, 14))
     assert "pipeline" in QUERIES
 
 
