@@ -52,12 +52,12 @@ def difference(a, b):
 
 
 def main(argv):
-    from pulsegrid.catalog import load_all
+    import __spark_entry__
     from pulsegrid.session import local_session
 
     sf = argv[1]
     wanted = argv[2:]
-    queries, sqls = load_all()
+    queries, sqls = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     spark = local_session(8)
     con = connect(sf)
     failed = 0
