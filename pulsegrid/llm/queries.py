@@ -4,7 +4,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import ann, bpe, html_content, lexical, mixing, pii, quality_rules, repeats, sharding, simhash, token_counts
+from pulsegrid.llm import (
+    ann,
+    bpe,
+    cap_join,
+    html_content,
+    lexical,
+    mixing,
+    pii,
+    quality_rules,
+    repeats,
+    sharding,
+    simhash,
+    token_counts,
+    vector_codes,
+)
 from pulsegrid.llm import sql as S
 from pulsegrid.llm.registry import query, table
 
@@ -85,6 +99,18 @@ def op11(spark, sf):
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
 
 
+@query("op12_cap_filters", S.CAP_LINKS)
+def op12(spark, sf):
+    """Links of all vectors at a cosine of 0.9 or more, and their components."""
+    return cap_join.linked(table(spark, sf, "embeddings"), 0.9)
+
+
+@query("op13_hilbert_codes", S.vector_codes())
+def op13(spark, sf):
+    """Codes of all vectors from four integer codebooks."""
+    return vector_codes.encode(table(spark, sf, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     """All stages of the corpus pipeline over documents."""

@@ -98,3 +98,39 @@ sc as (select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8
 r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from sc where score > 0)
 select item_id, rank::int as rank, doc_id, score from r where rank <= 10
 """
+
+CAP_LINKS = r"""
+with recursive v as (select row_number() over () as rid, vec_id, embedding::double[] as x from embeddings),
+u as (select rid, vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) as norm from v
+  where vec_id is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+l as (select a.rid as a, b.rid as b, b.vec_id as other from u a join u b on a.rid <> b.rid and len(a.x) = len(b.x)
+  and list_sum(list_transform(list_zip(a.x, b.x), lambda t: t[1] * t[2])) >= 0.9 * a.norm * b.norm),
+r as (select rid, rid as at, vec_id as low from u union select r.rid, l.b, l.other from r join l on r.at = l.a),
+c as (select rid, min(low) as component_id from r group by rid),
+n as (select a as rid, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id,
+       vec_id is not distinct from coalesce(component_id, vec_id) as kept from v left join c using (rid) left join n using (rid)
+"""
+
+
+def vector_codes(rounds=4) -> str:
+    """Integer k-means of the four parts, every round two steps of one long statement."""
+    steps = ["""with v as (select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+p as (select rid, unnest(range(4)) as part, x, len(x) // 4 as w from v),
+q as (select rid, part, x[part * w + 1:part * w + w] as x from p),
+e0 as (select part, nth - 1 as entry, x from (select q.part, q.x, row_number() over (partition by q.part order by vec_id nulls last, v.x) as nth
+  from q join v using (rid)) where nth <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} as materialized (select rid, part, min(struct_pack(d := list_sum(list_transform(list_zip(q.x, e.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::bigint,
+  e := entry)) as b from q join e{i} e using (part) group by rid, part)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (select part, b.e as entry, pos, sum(c)::bigint as s, count(*) as n from (select rid, part, b, unnest(x) as c, unnest(range(len(x))) as pos
+  from d{i} join q using (rid, part)) group by all),
+u{i} as (select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) as x from s{i} group by all),
+e{i + 1} as materialized (select part, entry, coalesce(u.x, e.x) as x from e{i} e left join u{i} u using (part, entry))""")
+    return ",\n".join(steps) + f""",
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from e{rounds}),
+c as (select rid, string_agg(lpad(to_hex(b.e), 2, '0'), '' order by part) as code, sum(b.d)::bigint as error from d{rounds} group by rid)
+select vec_id, lower(code) as code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c join v using (rid), h
+"""
