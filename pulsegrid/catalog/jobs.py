@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import query
 from pulsegrid.catalog.events import cells_sql, metrics_sql
-from pulsegrid.catalog.roles import beats, probs, rounded, rounded_sql, softmax_sql
+from pulsegrid.catalog.roles import DATASETS, ROLE_SEEDS, beats, probs, role_of, rounded, rounded_sql, softmax_sql
 from pulsegrid.catalog.vectors import (
     ADAPTER,
     PAIRED,
@@ -14,16 +14,14 @@ from pulsegrid.catalog.vectors import (
     ROLLUP,
     RUN,
     argmax_sql,
-    assigned_beats,
     fuse_sql,
 )
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators import summary
 from pulsegrid.plans import decoders, models, runs, selection
+from pulsegrid.schema import SEEDS
 from pulsegrid.session import pin
 
-SEED = 303
-
 CHOSEN = """chs as (select *, row_number() over (partition by dataset, family, method, seed order by round(key1, 10) desc, round(key2, 10) desc, round(accuracy, 10) desc, cand) as r from gr),
 pol as (select c.dataset, c.family, c.method, c.seed, c.alpha, d.decoder, d.power, d.mult from chs c join dec d on d.dataset = c.dataset and d.seed = c.seed and d.decoder = case when c.dataset = 'MIT-BIH' then 'clinical_default' else c.decoder end where c.r = 1)"""
 TESTED = f"""tf as (select lg.*, pol.alpha, pol.decoder, pol.power, pol.mult, {fuse_sql('pol.alpha')} as sc from lg join pol using (dataset, family, method, seed) where role = 'test'),
@@ -64,22 +62,28 @@ def _base(df):
     return df.withColumn("x", A.lead_summary(F.col("b0"), F.col("b1")))
 
 
+def _seeded(spark, sf, seeds=ROLE_SEEDS):
+    """Beats with a role for each seed, and the base features."""
+    rows = _base(beats(spark, sf)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    return rows.withColumn("role", role_of(F.col("seed"), F.col("beat_id")))
+
+
 @query("evidence_model")
 def evidence_model(spark, sf):
-    """Prototype evidence from fit rows, class-weighted forest, probability rows for the others."""
-    ev = runs.evidence_probabilities(pin(_base(assigned_beats(spark, sf))), SEED)
-    return rounded(ev.select("dataset", "role", "beat_id", "y", *[F.col("p_evidence")[c].alias(f"p{c}") for c in range(5)]))
+    """Prototype evidence from fit rows, class-weighted extra-trees of every seed, probability rows for the others."""
+    ev = runs.evidence_probabilities(_seeded(spark, sf), keys=["seed"])
+    return rounded(ev.select("dataset", "seed", "role", "beat_id", "y", *[F.col("p_evidence")[c].alias(f"p{c}") for c in range(5)]))
 
 
 @query("baseline_models")
 def baseline_models(spark, sf):
-    rows = pin(assigned_beats(spark, sf).withColumn("features", F.concat("b0", "b1")))
+    """Probability rows of all raw baselines, fitted on the fit rows of every seed."""
+    rows = pin(_seeded(spark, sf).withColumn("features", F.concat("b0", "b1")).select("seed", "role", "beat_id", "y", "features"))
     fit, rest = rows.where("role = 'fit'"), rows.where("role <> 'fit'")
     out = None
     for name in models.BASELINES:
-        size = {"boosting": 0.01, "perceptron": 0.1, "logistic": 0.02}.get(name, 0.05)
-        p = models.fit_predict(name, fit, rest, SEED, 64, size=size).select(
-            F.lit(name).alias("model"), "beat_id", "y", A.argmax(F.col("p")).alias("pred"), A.total(F.col("p")).alias("total"))
+        p = models.fit_predict(name, fit, rest, ["seed"]).select(
+            F.lit(name).alias("model"), "seed", "beat_id", "y", A.argmax(F.col("p")).alias("pred"), A.total(F.col("p")).alias("total"))
         out = p if out is None else out.unionByName(p)
     return rounded(out)
 
@@ -94,36 +98,51 @@ def baseline_scores(spark, sf):
     return rounded(runs.prediction_metrics(rows).select("dataset", "model", "seed", "macro_f1_4", "accuracy", "F1_S", "F1_V", "F1_F"))
 
 
+@query("baseline_evaluation")
+def baseline_evaluation(spark, sf):
+    """Raw baselines fitted on one dataset and scored on the two others, all seeds."""
+    rows = pin(beats(spark, sf).withColumn("features", F.concat("b0", "b1")).select("dataset", "beat_id", "y", "features"))
+    train, tests = rows.where("dataset = 'MIT-BIH'"), rows.where("dataset <> 'MIT-BIH'")
+    out = runs.baseline_evaluation(train, tests, models.BASELINES, SEEDS)
+    return rounded(out.select("dataset", "model", "seed", "macro_f1_4", "accuracy", "F1_S", "F1_V", "F1_F"))
+
+
 @query("full_run")
 def full_run(spark, sf):
-    """Run grid minus finished runs: splits, prototypes, forest, backbones, adapter, detail rows."""
+    """All datasets, methods, seeds and both protocols: splits, prototypes, forests, backbones, adapter, detail rows."""
     rows = pin(_base(beats(spark, sf)))
-    done = spark.createDataFrame([("SVDB", "logistic", SEED)], "dataset string, method string, seed int")
-    detail = runs.full_run(rows, ["INCART", "SVDB"], ["logistic"], [SEED], protocol="beat", done=done, size=0.02)
-    return rounded(detail.select("dataset", "method", "seed", "protocol", "selected_decoder", "accuracy", "macro_f1_4", "raw_macro_f1_4", "delta_macro_f1_4"))
+    out = None
+    for protocol in ("record", "beat"):
+        detail = runs.full_run(rows, DATASETS, models.BASELINES, SEEDS, protocol=protocol)
+        out = detail if out is None else out.unionByName(detail)
+    return rounded(out.select("dataset", "method", "seed", "protocol", "selected_decoder", "accuracy", "macro_f1_4", "raw_macro_f1_4", "delta_macro_f1_4"))
 
 
 @query("sensitivity_sweep")
 def sensitivity_sweep(spark, sf):
-    roles = pin(_base(assigned_beats(spark, sf)))
-    back = probs(spark, sf).where(f"method = 'logistic_raw' and seed = {SEED}")
-    out = pin(runs.cost_sweep(roles, back, SEED, "logistic_raw"))
+    """Adapter scores of all methods and seeds under every class-cost profile."""
+    out = pin(runs.cost_sweep(_seeded(spark, sf), probs(spark, sf)))
     return rounded(summary.cost_rollup(out))
 
 
 @query("config_sweep")
 def config_sweep(spark, sf):
-    roles = pin(_base(assigned_beats(spark, sf)))
-    out = runs.config_sweep(roles, SEED, runs.SWEEP)
+    """Named configurations of all seeds, argmax and decoded."""
+    out = runs.config_sweep(_seeded(spark, sf), runs.SWEEP)
     return rounded(out.select("dataset", "seed", "config_name", "stage", "macro_f1_4", "accuracy", "changed_samples"))
 
 
 @query("external_validation")
 def external_validation(spark, sf):
-    rows = pin(beats(spark, sf).withColumn("features", F.concat("b0", "b1")))
-    train, test = rows.where("dataset <> 'SVDB'"), rows.where("dataset = 'SVDB'")
-    out = runs.external_validation(train, test, [SEED, 1303], "strict", threshold=0.1)
-    return rounded(out.select("scenario", "seed", "cand", "mode", "macro_f1_4", "accuracy", "is_best"))
+    """Strict, record-augmented and S-focused scenarios, all settings and seeds."""
+    rows = pin(_base(beats(spark, sf)))
+    of = {d: rows.where(F.col("dataset") == d) for d in DATASETS}
+    base = of["MIT-BIH"].where("record % 2 = 0")
+    tests = {"MIT_DS2": of["MIT-BIH"].where("record % 2 = 1"), "INCART_all": of["INCART"], "SVDB_all": of["SVDB"]}
+    augmented = {"record_augmented": ("INCART", of["INCART"]), "record_augmented_s_focus": ("SVDB", of["SVDB"])}
+    out = runs.external_validation(runs.external_rows(base, tests, augmented), SEEDS[:3])
+    return rounded(out.select("scenario", "train_data", "test_data", "trees", "subset", "seed", "cand", "mode", "selection_metric",
+                              "macro_f1_4", "macro_f1_3_nsv", "accuracy", "is_best"))
 
 
 @query("calibration_audit", rounded_sql(f"""with {ADAPTER}, {CHOSEN}, {TESTED},

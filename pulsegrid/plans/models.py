@@ -1,14 +1,13 @@
-"""Class-weighted forests, baselines and probability rows from fitted models (Spark ML)."""
+"""Class-weighted forests, raw baselines and probability rows, for all runs of a grid at once.
+
+Linear models (``linear``), forests (``forests``) and boosting (``boosting``) fit every run of the key columns in jobs whose number
+does not depend on the runs. Only the perceptron is a Spark ML fit a run, a few at a time.
+"""
+
+from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -17,17 +16,20 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions import probability as P
 from pulsegrid.operators.neighbours import nearest_neighbours
+from pulsegrid.plans import boosting, forests, linear
 from pulsegrid.plans.decoders import weighted_rows
 from pulsegrid.schema import N_CLASSES
+from pulsegrid.session import concurrently, pin
 
 # Main and older evidence encoder settings.
 ENCODER = {"trees": 700, "subset": "0.35", "min_leaf": 2, "weights": "legacy_cost"}
 OLDER_ENCODER = {"trees": 500, "subset": "0.35", "min_leaf": 2, "weights": "balanced"}
+# Raw baselines on the two-lead vector.
+LINEAR = {"logistic": "softmax", "linear_svm": "squared_hinge"}
+FORESTS = {"random_forest": {"trees": 400, "splits": "best"}, "extra_trees": {"trees": 500, "splits": "random"}}
+PERCEPTRON = {"layers": [256, 128], "iterations": 120}
 
-
-def as_vectors(df: DataFrame, features="features", y="y", keep=()) -> DataFrame:
-    return df.select(*keep, array_to_vector(F.col(features).cast("array<double>")).alias("features"),
-                     F.col(y).cast("double").alias("label"))
+BASELINES = [*LINEAR, *FORESTS, "boosting", "perceptron"]
 
 
 def padded(values: Column) -> Column:
@@ -36,79 +38,53 @@ def padded(values: Column) -> Column:
     return P.align(present)
 
 
-def fit_forest(fit: DataFrame, seed, features="features", y="y", weights="legacy_cost", trees=700,
-               subset="0.35", min_leaf=2, depth=30, bootstrap=False):
-    """Class-weighted forest on every row of ``fit``; best splits over feature subsets."""
-    rows = weighted_rows(fit.select(F.col(features).alias("_x"), F.col(y).alias("y")), weights)
-    data = rows.select(array_to_vector(F.col("_x").cast("array<double>")).alias("features"),
-                       F.col("y").cast("double").alias("label"), "weight")
-    return RandomForestClassifier(
-        numTrees=trees, featureSubsetStrategy=subset, minInstancesPerNode=min_leaf, maxDepth=depth,
-        bootstrap=bootstrap, weightCol="weight", seed=seed, cacheNodeIds=False,
-    ).fit(data)
-
-
-def predict(model, rows: DataFrame, features="features", name="p", kind="probability") -> DataFrame:
-    """Add a five-class probability row; margins go through a softmax, labels become near one-hot."""
-    with_vec = rows.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
-    renamed = with_vec.withColumnRenamed("features", "_arr") if "features" in rows.columns else with_vec
-    scored = model.transform(renamed.withColumnRenamed("_vec", "features"))
-    if kind == "probability":
-        p = padded(vector_to_array("probability"))
-    elif kind == "scores":
-        raw = vector_to_array("rawPrediction")
-        p = P.align_scores(F.map_from_arrays(F.sequence(F.lit(0), F.size(raw) - 1), raw))
-    elif kind == "labels":
-        p = P.near_one_hot(F.col("prediction").cast("int"))
+def fit_evidence(fit: DataFrame, keys, features="features", weights="legacy_cost", **settings) -> DataFrame:
+    """Class-weighted extra-trees of every run; ``weights``: a mode, or a column that names the mode of a run."""
+    if weights in fit.columns:
+        modes = [r[0] for r in fit.select(weights).distinct().collect()]  # the few weight modes
+        rows = reduce(DataFrame.unionByName, [weighted_rows(fit.where(F.col(weights) == m), m, keys) for m in sorted(modes)])
     else:
-        raise ValueError(f"unknown output kind {kind!r}")
-    out = scored.withColumn(name, p)
-    if "features" in rows.columns:
-        out = out.drop("features").withColumnRenamed("_arr", "features")
-    return out.select(*rows.columns, name)
-
-
-def _scaled(stage):
-    return Pipeline(stages=[
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        stage.setFeaturesCol("scaled")])
-
-
-def baseline(name: str, seed: int, width: int, size: float = 1.0):
-    """(estimator, output kind) of a raw-waveform baseline; ``size`` scales trees and iterations."""
-
-    def n(full):
-        return max(1, int(round(full * size)))
-
-    table = {
-        "logistic": lambda: (_scaled(LogisticRegression(maxIter=n(1000), family="multinomial")), "probability"),
-        "linear_svm": lambda: (
-            Pipeline(stages=[
-                StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                OneVsRest(classifier=LinearSVC(maxIter=n(5000), regParam=1e-3), featuresCol="scaled",
-                          rawPredictionCol="rawPrediction")]), "scores"),
-        "random_forest": lambda: (RandomForestClassifier(
-            numTrees=n(400), featureSubsetStrategy="sqrt", seed=seed, maxDepth=30), "probability"),
-        "extra_trees": lambda: (RandomForestClassifier(
-            numTrees=n(500), featureSubsetStrategy="sqrt", seed=seed, maxDepth=30, bootstrap=False), "probability"),
-        "boosting": lambda: (OneVsRest(
-            classifier=GBTClassifier(maxIter=n(260), stepSize=0.05, maxDepth=5, seed=seed),
-            rawPredictionCol="rawPrediction"), "scores"),
-        "perceptron": lambda: (_scaled(MultilayerPerceptronClassifier(
-            layers=[width, 256, 128, N_CLASSES], maxIter=n(120), seed=seed)), "probability"),
-    }
-    if name not in table:
+        rows = weighted_rows(fit, weights, keys)
+    return pin(forests.grow(rows, keys, features=features, weight="weight", **settings))
+
+
+def _perceptron(fit, target, seed, size, features, y, out):
+    """One Spark ML fit; the caller's columns come back with the probability row."""
+    width = len(fit.select(features).first()[0])
+    steps = max(1, round(PERCEPTRON["iterations"] * size))
+    stages = [StandardScaler(inputCol="_vec", outputCol="_scaled", withMean=True, withStd=True),
+              MultilayerPerceptronClassifier(layers=[width, *PERCEPTRON["layers"], N_CLASSES], maxIter=steps, seed=seed, featuresCol="_scaled",
+                                             labelCol="_label", probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")]
+    vec = array_to_vector(F.col(features).cast("array<double>")).alias("_vec")
+    model = Pipeline(stages=stages).fit(fit.select(vec, F.col(y).cast("double").alias("_label")))
+    return model.transform(target.select("*", vec)).select(*target.columns, padded(vector_to_array("_prob")).alias(out))
+
+
+def fit_predict(name: str, fit: DataFrame, target: DataFrame, keys, row_id="beat_id", seed="seed", features="features", y="y",
+                size=1.0, out="p") -> DataFrame:
+    """``target`` with the probability row of a raw baseline fitted on the ``fit`` rows of the same run.
+
+    ``keys`` name a run and include the ``seed`` column; ``row_id`` tells its target rows apart. ``size`` scales trees and rounds (tests).
+    """
+    keys = list(keys)
+    if name not in BASELINES:
         raise ValueError(f"unknown baseline {name!r}")
-    return table[name]()
-
-
-BASELINES = ["logistic", "linear_svm", "random_forest", "extra_trees", "boosting", "perceptron"]
-
-
-def fit_predict(name, fit, target, seed, width, features="features", y="y", size=1.0, out="p"):
-    estimator, kind = baseline(name, seed, width, size)
-    model = estimator.fit(as_vectors(fit, features, y))
-    return predict(model, target, features, out, kind)
+    if name in LINEAR:
+        return linear.predict(linear.fit(fit, keys, LINEAR[name], features, y), target, keys, LINEAR[name], features, out)
+    if name in FORESTS:
+        settings = {**FORESTS[name], "trees": max(1, round(FORESTS[name]["trees"] * size))}
+        table = pin(forests.grow(fit, keys, row_id if isinstance(row_id, str) else row_id[0], seed, features, y, subset="sqrt", min_leaf=1, **settings))
+        return forests.score(table, target, keys, row_id, features, out)
+    if name == "boosting":
+        return boosting.fit_predict(fit, target, keys, row_id, seed, features, y, out, size)
+    runs = [tuple(r) for r in fit.select(*keys).distinct().collect()]  # the run grid
+    at = keys.index(seed)
+
+    def one(run):
+        mine = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, run)])
+        return pin(_perceptron(fit.where(mine), target.where(mine), run[at], size, features, y, out))
+
+    return reduce(DataFrame.unionByName, concurrently(fit.sparkSession, one, runs))
 
 
 def standardise(fit: DataFrame, rows: DataFrame, vec="vec") -> DataFrame:

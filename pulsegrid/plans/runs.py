@@ -1,8 +1,7 @@
 """Composed jobs: scenarios, evidence store, scored run table, sweeps and audits.
 
-The model fits of a run grid are separate Spark ML jobs, one per (dataset, seed, method);
-everything after the probabilities (adapter search, scoring, summaries) is one job over
-all runs, keyed by the run columns.
+Evidence forests and raw baselines of a run grid are fitted together, keyed by the run columns, and so is
+everything after the probabilities (adapter search, scoring, summaries).
 """
 
 import hashlib
@@ -20,7 +19,7 @@ from pulsegrid.operators import splits
 from pulsegrid.operators.metrics import class_counts, confusion_counts, confusion_long, counts_map, metric_row, prior_ratio
 from pulsegrid.operators.prototypes import evidence_features, feature_set
 from pulsegrid.operators.reshape import paired_deltas
-from pulsegrid.plans import decoders, models, selection
+from pulsegrid.plans import decoders, forests, models, selection
 from pulsegrid.schema import CLASS_NAMES, METRICS
 from pulsegrid.session import concurrently, pin, small_side
 from pulsegrid.sources import tables
@@ -44,23 +43,30 @@ def assigned_roles(view: DataFrame, seed: int, protocol="record") -> DataFrame:
     return train.select(*test.columns).unionByName(test).drop("part")
 
 
-def evidence_rows(assigned: DataFrame, kind="clinical_proto", base="x") -> DataFrame:
-    """Rows with the evidence vector as ``features``; prototypes come from the fit rows."""
-    return feature_set(evidence_features(assigned, base=base), kind)
+EVIDENCE_RUN = ("dataset", "seed")
 
 
-def forest_probabilities(rows: DataFrame, seed: int, **encoder) -> DataFrame:
-    """One class-weighted forest on the fit rows, scores for val and test rows."""
+def evidence_rows(assigned: DataFrame, kind="clinical_proto", base="x", keys=()) -> DataFrame:
+    """Rows with the evidence vector as ``features``; prototypes come from the fit rows (of each run of ``keys``)."""
+    return feature_set(evidence_features(assigned, keys, base=base), kind)
+
+
+def forest_probabilities(rows: DataFrame, keys=EVIDENCE_RUN, **encoder) -> DataFrame:
+    """A class-weighted forest on the fit rows of every run of ``keys``, scores for its val and test rows; all runs in one job.
+
+    The keys include ``seed``. ``weights`` of the encoder is a mode, or a column that names it.
+    """
     settings = {**models.ENCODER, **encoder}
-    model = models.fit_forest(
-        rows.where("role = 'fit'"), seed, weights=settings["weights"], trees=settings["trees"],
-        subset=settings["subset"], min_leaf=settings["min_leaf"], depth=settings.get("depth", 30))
-    scored = models.predict(model, rows.where("role <> 'fit'"), name="p_evidence")
-    return scored.select("dataset", "role", "beat_id", "y", "p_evidence").withColumn("seed", F.lit(seed))
+    keys = list(keys)
+    table = models.fit_evidence(rows.where("role = 'fit'"), keys, **settings)
+    kept = list(dict.fromkeys([*keys, "dataset", "role", "beat_id", "y"]))
+    scored = forests.score(table, rows.where("role <> 'fit'").select(*kept, "features"), keys, ["dataset", "beat_id"] if "dataset" not in keys else "beat_id",
+                           name="p_evidence")
+    return scored.select(*kept, "p_evidence")
 
 
-def evidence_probabilities(assigned: DataFrame, seed: int, kind="clinical_proto", base="x", **encoder) -> DataFrame:
-    return forest_probabilities(pin(evidence_rows(assigned, kind, base)), seed, **encoder)
+def evidence_probabilities(assigned: DataFrame, kind="clinical_proto", base="x", keys=EVIDENCE_RUN, **encoder) -> DataFrame:
+    return forest_probabilities(pin(evidence_rows(assigned, kind, base, keys)), keys, **encoder)
 
 
 EVIDENCE_KEY = ("dataset", "seed", "profile", "protocol_id", "settings")
@@ -76,7 +82,7 @@ def stored_evidence(assigned, dataset, seed, path, profile="legacy_cost", force=
 
     def build():
         start = time.time()
-        out = evidence_probabilities(assigned, seed, weights=profile, **kw)
+        out = evidence_probabilities(assigned.withColumn("seed", F.lit(seed)), weights=profile, **kw)
         return tables.tagged(out, protocol).drop("run_tag").withColumns({
             "profile": F.lit(profile), "settings": F.lit(settings), "build_time": F.lit(time.time() - start)})
 
@@ -170,51 +176,56 @@ def full_run(beats, datasets, methods, seeds, protocol="record", lists=None, sto
     for r in todo.collect():  # the run grid itself: datasets x methods x seeds
         left.setdefault((r["dataset"], r["seed"]), []).append(r["method"])
 
-    def one(item):
-        (dataset, seed), names = item
-        fixed = (lists or {}).get(dataset)
-        roles = pin(assigned_roles(scenario(beats, dataset, seed, fixed), seed, protocol))
-        if store:
-            profile = {"profile": encoder["weights"]} if "weights" in encoder else {}
-            rest = {k: v for k, v in encoder.items() if k != "weights"}
-            evidence = stored_evidence(roles, dataset, seed, store, protocol=protocol, base=base, **profile, **rest).drop(
-                "profile", "protocol_id", "settings", "build_time")
-        else:
-            evidence = pin(evidence_probabilities(roles, seed, base=base, **encoder))
-        raw = roles.withColumn("features", F.concat(F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>")))
-        width = len(raw.select("features").first()["features"])
-        probs = []
-        for name in sorted(names):
-            backbone = models.fit_predict(
-                name, raw.where("role = 'fit'"), raw.where("role <> 'fit'"), seed, width, size=size, out="p_backbone")
-            met = met_probabilities(backbone.withColumn("seed", F.lit(seed)), evidence)
-            probs.append(met.withColumn("family", F.lit("raw_machine_learning")).withColumn("method", F.lit(name)))
-        return probs, roles.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y")
-
-    done_runs = concurrently(spark, one, sorted(left.items()))
-    probs, fits = [p for ps, _ in done_runs for p in ps], [f for _, f in done_runs]
-    if not probs:
+    if not left:
         none = spark.createDataFrame([], "dataset string, seed int, role string, beat_id long, y int, family string, method string, "
                                          "p_backbone array<double>, p_evidence array<double>")
         return score_runs(none, none.select("dataset", "seed", "y")).withColumn("protocol", F.lit(protocol))
-    union = reduce(lambda a, b: a.unionByName(b), probs)
-    return score_runs(union, reduce(lambda a, b: a.unionByName(b), fits)).withColumn("protocol", F.lit(protocol))
 
+    def split(item):
+        dataset, seed = item
+        return pin(assigned_roles(scenario(beats, dataset, seed, (lists or {}).get(dataset)), seed, protocol).withColumn("seed", F.lit(seed)))
+
+    cells = sorted(left)
+    parts = dict(zip(cells, concurrently(spark, split, cells)))
+    columns = next(iter(parts.values())).columns
+    roles = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts.values()])
+    if store:
+        profile = {"profile": encoder["weights"]} if "weights" in encoder else {}
+        rest = {k: v for k, v in encoder.items() if k != "weights"}
+        stored = [stored_evidence(parts[c].drop("seed"), *c, store, protocol=protocol, base=base, **profile, **rest) for c in cells]
+        evidence = reduce(lambda a, b: a.unionByName(b), [e.select("dataset", "seed", "role", "beat_id", "y", "p_evidence") for e in stored])
+    else:
+        evidence = pin(evidence_probabilities(roles, base=base, **encoder))
+    raw = pin(roles.withColumn("features", F.concat(F.col("b0").cast("array<double>"), F.col("b1").cast("array<double>"))).select(
+        "dataset", "seed", "role", "beat_id", "y", "features"))
+    todo = F.create_map(*[F.lit(v) for (d, s), names in left.items() for v in (f"{d}|{s}", ",".join(names))])
+    mine = F.split(todo[F.concat_ws("|", "dataset", F.col("seed").cast("string"))], ",")
+
+    def backbone(name):
+        rows = raw.where(F.array_contains(mine, name))
+        out = models.fit_predict(name, rows.where("role = 'fit'"), rows.where("role <> 'fit'"), EVIDENCE_RUN, size=size, out="p_backbone")
+        wanted = rows.select(*EVIDENCE_RUN).distinct()
+        met = met_probabilities(out, evidence.join(F.broadcast(wanted), list(EVIDENCE_RUN), "left_semi"))
+        return met.withColumn("family", F.lit("raw_machine_learning")).withColumn("method", F.lit(name))
+
+    probs = concurrently(spark, backbone, sorted({m for names in left.values() for m in names}), 2)
+    union = reduce(lambda a, b: a.unionByName(b), probs)
+    return score_runs(union, roles.where("role = 'fit'").select("dataset", "seed", "y")).withColumn("protocol", F.lit(protocol))
 
-def cost_sweep(assigned, backbone, seed, method, profiles=decoders.COST_PROFILES, base="x", **encoder) -> DataFrame:
-    """Adapter scores of one run under every class-cost profile of the evidence forest."""
-    rows = pin(evidence_rows(assigned, base=base))
 
-    def one(profile):
-        ev = forest_probabilities(rows, seed, **{**encoder, "weights": profile})
-        return pin(ev.join(backbone.select("beat_id", "p_backbone"), "beat_id").withColumn(
-            "class_cost_profile", F.lit(profile)).withColumn("method", F.lit(method)))
+def cost_sweep(assigned, backbone, profiles=decoders.COST_PROFILES, base="x", **encoder) -> DataFrame:
+    """Adapter scores of every run under every class-cost profile of the evidence forest.
 
-    parts = concurrently(assigned.sparkSession, one, profiles)
-    probs = reduce(lambda a, b: a.unionByName(b), parts)
-    fit = assigned.where("role = 'fit'").select("dataset", F.lit(seed).alias("seed"), "y")
+    ``assigned``: rows of all seeds with their roles; ``backbone``: method, seed, beat_id, p_backbone. One forest a (seed, profile),
+    shared by all methods and grown in one job.
+    """
+    rows = pin(evidence_rows(assigned, base=base, keys=["seed"]))
+    profiled = rows.withColumn("class_cost_profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
+    ev = pin(forest_probabilities(profiled, ["seed", "class_cost_profile"], **{**encoder, "weights": "class_cost_profile"}))
+    probs = ev.join(backbone.select("method", "seed", "beat_id", "p_backbone"), ["seed", "beat_id"])
+    fit = assigned.where("role = 'fit'").select("dataset", "seed", "y")
     keys = ["dataset", "method", "seed", "class_cost_profile"]
-    out = score_runs(probs, fit, keys)
+    out = score_runs(pin(probs), fit, keys)
     return out.select(*keys, "macro_f1_4", "delta_macro_f1_4", "accuracy", "F1_S", "F1_V", "F1_F")
 
 
@@ -241,21 +252,25 @@ SWEEP = [
 ]
 
 
-def config_sweep(assigned: DataFrame, seed: int, configs=SWEEP, base="x", **encoder) -> DataFrame:
-    """Argmax and decoded test metrics of every named configuration, train prior only."""
-    counts = class_counts(assigned.where("role = 'fit'"), ["dataset"])
-    parts, features = [], {kind: pin(evidence_rows(assigned, kind, base)) for kind in sorted({c[1] for c in configs})}
-    fits = sorted({(kind, weights) for _, kind, weights, _, _ in configs})
-    scored = dict(zip(fits, concurrently(assigned.sparkSession, lambda f: pin(
-        forest_probabilities(features[f[0]], seed, weights=f[1], **encoder)), fits)))
+def config_sweep(assigned: DataFrame, configs=SWEEP, base="x", **encoder) -> DataFrame:
+    """Argmax and decoded test metrics of every named configuration and seed, train prior only.
+
+    One forest a (seed, feature set, weight mode), all grown in one job; ``assigned`` holds the rows of all seeds.
+    """
+    spark = assigned.sparkSession
+    kinds, fits = sorted({c[1] for c in configs}), sorted({(kind, weights) for _, kind, weights, _, _ in configs})
+    columns = ["dataset", "seed", "role", "beat_id", "y", "features"]
+    rows = reduce(DataFrame.unionByName, [evidence_rows(assigned, kind, base, ["seed"]).select(*columns, F.lit(kind).alias("kind")) for kind in kinds])
+    fitted = rows.join(F.broadcast(spark.createDataFrame(fits, "kind string, weights string")), "kind")
+    ev = pin(forest_probabilities(pin(fitted), ["seed", "kind", "weights"], **{**encoder, "weights": "weights"})).where("role = 'test'")
+    counts = class_counts(assigned.where("role = 'fit'"), ["dataset", "seed"])
+    named = []
     for name, kind, weights, mode, power in configs:
-        ev = scored[kind, weights]
-        mult = counts.select("dataset", decoders.decision_multiplier(prior_ratio(), mode).alias("m"))
-        rows = ev.where("role = 'test'").join(F.broadcast(mult), "dataset")
-        parts.append(rows.select(
-            "dataset", F.lit(seed).alias("seed"), F.lit(name).alias("config_name"), "y",
-            A.argmax(F.col("p_evidence")).alias("argmax"), P.decode(F.col("p_evidence"), power, F.col("m")).alias("decoded")))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+        mult = counts.select("dataset", "seed", decoders.decision_multiplier(prior_ratio(), mode).alias("m"))
+        mine = ev.where((F.col("kind") == kind) & (F.col("weights") == weights)).join(F.broadcast(mult), ["dataset", "seed"])
+        named.append(mine.select("dataset", "seed", F.lit(name).alias("config_name"), "y", A.argmax(F.col("p_evidence")).alias("argmax"),
+                                 P.decode(F.col("p_evidence"), power, F.col("m")).alias("decoded")))
+    rows = reduce(lambda a, b: a.unionByName(b), named)
     keys = ["dataset", "seed", "config_name"]
     staged = rows.select(*keys, "y", F.explode(F.array(
         F.struct(F.lit("argmax").alias("stage"), F.col("argmax").alias("pred")),
@@ -265,17 +280,63 @@ def config_sweep(assigned: DataFrame, seed: int, configs=SWEEP, base="x", **enco
     return table.join(changed, keys)
 
 
-def external_validation(train: DataFrame, test: DataFrame, seeds, name, grid="wide",
-                        metric="macro_f1_4", threshold=0.5, features="features", **encoder) -> DataFrame:
-    """Forest on ``train``, multiplier grid on ``test``: default, kept and best rows per seed."""
-    def one(seed):
-        model = models.fit_forest(train, seed, features=features, **encoder)
-        return pin(models.predict(model, test, features).select(F.lit(seed).alias("seed"), "y", "p"))
+# External scenarios as (scenario, trees, subset, class weights, kept from, metric, multiplier grid), and the cap of class 0.
+EXTERNAL = [
+    ("strict_external", 700, "0.35", [1.0, 3.0, 1.5, 12.0, 1.0], 0.50, "macro_f1_4", "wide"),
+    ("record_augmented", 500, "0.35", [1.0, 3.0, 1.5, 12.0, 1.0], 0.50, "macro_f1_4", "wide"),
+    ("record_augmented", 500, "0.45", [1.0, 4.0, 1.5, 16.0, 1.0], 0.50, "macro_f1_4", "wide"),
+    ("record_augmented_s_focus", 500, "0.35", [1.0, 4.0, 1.5, 2.0, 1.0], 0.70, "macro_f1_3_nsv", "s_focus"),
+    ("record_augmented_s_focus", 500, "0.45", [1.0, 5.0, 1.5, 1.0, 1.0], 0.70, "macro_f1_3_nsv", "s_focus"),
+]
+EXTERNAL_CAP = {"record_augmented": 50_000, "record_augmented_s_focus": 25_000}
+EXTERNAL_SPLIT_SEED = 42
+
+
+def external_rows(train: DataFrame, tests: dict, augmented: dict, base="x") -> DataFrame:
+    """Evidence rows of all external scenarios: scenario, train_data, test_data (null for fit rows), role fit/test.
 
-    parts = concurrently(train.sparkSession, one, seeds)
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    kept = selection.kept_multipliers(selection.multiplier_grid(rows, ["seed"], grid), ["seed"], metric, threshold)
-    return kept.withColumn("scenario", F.lit(name))
+    ``train``: the rows every scenario is fitted on. ``tests``: name -> rows of the strict scenario. ``augmented``: scenario ->
+    (name, rows of a dataset): its train records join the fit rows, class 0 capped, and its other records are the test.
+    """
+    def part(rows, scenario, train_data, test_data, role):
+        return rows.withColumns({"scenario": F.lit(scenario), "train_data": F.lit(train_data), "role": F.lit(role),
+                                 "test_data": F.lit(test_data).cast("string")})
+
+    parts = [part(train, "strict_external", "base", None, "fit")]
+    parts += [part(rows, "strict_external", "base", name, "test") for name, rows in tests.items()]
+    for scenario, (name, rows) in augmented.items():
+        roles = splits.train_test_records(rows, EXTERNAL_SPLIT_SEED).withColumnRenamed("role", "part")
+        tagged = pin(rows.join(roles, "record"))
+        pool = splits.training_pool(train, tagged.where("part = 'train'").select(*train.columns))
+        fit = splits.majority_cap(pool, EXTERNAL_SPLIT_SEED, EXTERNAL_CAP[scenario])
+        parts += [part(fit, scenario, f"base+{name}_train", None, "fit"),
+                  part(tagged.where("part = 'test'").select(*train.columns), scenario, f"base+{name}_train", f"{name}_heldout", "test")]
+    return evidence_rows(reduce(lambda a, b: a.unionByName(b), parts), base=base, keys=["scenario", "train_data"])
+
+
+def external_validation(rows: DataFrame, seeds, specs=EXTERNAL, features="features", **encoder) -> DataFrame:
+    """Forests of every (scenario, setting, seed) in one job, multiplier grids on their tests: default, kept and best rows.
+
+    ``rows``: see ``external_rows``. A scenario's tests share its forests.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame(
+        [(s, int(encoder.get("trees", trees)), subset, w, float(seed), metric, kind, keep) for s, trees, subset, w, keep, metric, kind in specs for seed in seeds],
+        "scenario string, trees int, subset string, weights array<double>, seed double, metric string, grid string, threshold double").withColumn(
+        "seed", F.col("seed").cast("int"))
+    data = pin(rows.select("scenario", "train_data", "test_data", "role", "dataset", "beat_id", "y", features)).join(F.broadcast(table), "scenario")
+    model = ["scenario", "train_data", "trees", "subset", "seed"]
+    fit = data.where("role = 'fit'").withColumn("weight", F.get("weights", F.col("y")))
+    forest = pin(forests.grow(fit, model, features=features, weight="weight", trees=F.col("trees"), subset=F.col("subset"),
+                              min_leaf=encoder.get("min_leaf", 2), depth=encoder.get("depth")))
+    settings = ["metric", "grid", "threshold"]
+    scored = pin(forests.score(forest, data.where("role = 'test'").select(*model, "test_data", "dataset", "beat_id", "y", *settings, features),
+                               model, ["test_data", "dataset", "beat_id"], features).drop(features))
+    out, keys = [], [*model, "test_data"]
+    for kind, metric, threshold in sorted({(s[6], s[5], s[4]) for s in specs}):
+        mine = scored.where((F.col("grid") == kind) & (F.col("metric") == metric) & (F.col("threshold") == threshold))
+        out.append(selection.kept_multipliers(selection.multiplier_grid(mine, keys, kind), keys, metric, threshold).withColumn("selection_metric", F.lit(metric)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
 def prediction_metrics(predicted: DataFrame, keys=("dataset", "model", "seed")) -> DataFrame:
@@ -291,20 +352,22 @@ def baseline_evaluation(train: DataFrame, targets: DataFrame, names, seeds, done
     """
     keys = ["dataset", "model", "seed"]
     spark = train.sparkSession
-    width = len(train.select(features).first()[features])
-    wanted = targets.select("dataset").distinct().join(
-        spark.createDataFrame([(n, s) for n in names for s in seeds], "model string, seed int"))
+    grid = spark.createDataFrame([(n, s) for n in names for s in seeds], "model string, seed int")
+    wanted = targets.select("dataset").distinct().crossJoin(F.broadcast(grid))  # names x seeds, the run grid
     if done is not None:
         wanted = wanted.join(done.select(*keys).distinct(), keys, "left_anti")
     wanted = pin(wanted)
-    fits = sorted((r["model"], r["seed"]) for r in wanted.select("model", "seed").distinct().collect())  # names x seeds
+    left = {}
+    for r in wanted.select("model", "seed").distinct().collect():
+        left.setdefault(r["model"], []).append(r["seed"])
 
-    def one(fit):
-        name, seed = fit
-        mine = wanted.where((F.col("model") == name) & (F.col("seed") == seed)).select("dataset")
-        p = models.fit_predict(name, train, targets.join(small_side(mine), "dataset", "left_semi"), seed, width, features, size=size)
-        return pin(p.select("dataset", F.lit(name).alias("model"), F.lit(seed).alias("seed"), "y", A.argmax(F.col("p")).alias("pred")))
+    def one(name):
+        mine = wanted.where(F.col("model") == name).select("dataset", "seed")
+        fit = train.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in sorted(left[name])])))
+        asked = targets.join(small_side(mine), "dataset")
+        p = models.fit_predict(name, fit, asked.select("seed", "dataset", "beat_id", "y", features), ["seed"], ["dataset", "beat_id"], size=size, features=features)
+        return pin(p.select("dataset", F.lit(name).alias("model"), "seed", "y", A.argmax(F.col("p")).alias("pred")))
 
-    parts = concurrently(spark, one, fits)
+    parts = concurrently(spark, one, sorted(left), 2)
     none = spark.createDataFrame([], "dataset string, model string, seed int, y int, pred int")
     return prediction_metrics(reduce(lambda a, b: a.unionByName(b), parts) if parts else none, keys)

@@ -195,5 +195,6 @@ def test_baselines_give_probability_rows(spark, name):
     rng = np.random.default_rng(8)
     rows = [(i, i % 5, [float(v) for v in rng.normal(i % 5, 0.3, 4)]) for i in range(100)]
     df = spark.createDataFrame(rows, "beat_id long, y int, features array<double>")
-    out = models.fit_predict(name, df, df, 303, 4, size=0.02).collect()
+    df = df.withColumn("seed", F.lit(303))
+    out = models.fit_predict(name, df, df, ["seed"], size=0.02).collect()
     assert len(out) == 100 and all(sum(r["p"]) == pytest.approx(1.0) and len(r["p"]) == 5 for r in out)
