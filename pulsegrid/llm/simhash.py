@@ -270,13 +270,18 @@ def links(distinct_fps: DataFrame, shard_rows=SHARD_ROWS) -> DataFrame:
         _search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", shard_rows=SHARD_ROWS) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id (smallest linked doc_id)."""
+def with_components(docs: DataFrame, doc_id="doc_id", text="text", shard_rows=SHARD_ROWS) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id) and root, the fingerprint that names its component."""
     fps = pin(fingerprints(docs, doc_id, text))
     distinct = pin(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct, shard_rows))
     rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = pin(rooted.join(lowest, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = pin(rooted.join(lowest, "root").select("fp", "component_id", "root"))
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", shard_rows=SHARD_ROWS) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits) and component_id (smallest linked doc_id)."""
+    return with_components(docs, doc_id, text, shard_rows).drop("root")

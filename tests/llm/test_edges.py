@@ -80,6 +80,29 @@ def test_components_of_null_ids_keep_one_row(spark):
     assert corpus_pipeline.near_duplicates(spark, d, None).count() == 2
 
 
+def test_texts_that_share_an_id(spark):
+    other = " ".join(f"other{i} phrase{i * 5 % 89} here{i * 11}" for i in range(40))
+    third = " ".join(f"third{i} matter{i * 3 % 71} there{i * 17}" for i in range(40))
+
+    def kept(rows):
+        d = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+        return sorted((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_duplicates(spark, d, None).collect())
+
+    # two texts under one id, no copy of either; one of them written twice
+    assert kept([(5, CLEAN, "a"), (5, other, "a"), (5, other, "a")]) == sorted([(5, CLEAN, "a"), (5, other, "a")])
+    # a copy of document 1 under id 5, beside another text of id 5
+    assert kept([(1, CLEAN, "a"), (5, CLEAN, "b"), (5, other, "b"), (6, third, "c")]) == sorted([(1, CLEAN, "a"), (5, other, "b"), (6, third, "c")])
+    # two near copies under one id
+    near = CLEAN.replace("plain39", "plain40")
+    left = kept([(5, CLEAN, "a"), (5, near, "a"), (7, third, "a")])
+    assert len(left) == (2 if _linked(CLEAN, near) else 3)
+
+
+def _linked(a, b):
+    fps = [int(simhash._majority(h, [len(h)])[0]) for h in (simhash._hashes(t, simhash.SHINGLE, simhash.SEED) for t in (a, b))]
+    return bin(fps[0] ^ fps[1]).count("1") <= 3
+
+
 def test_pages_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a&nbsp;&amp; b<br>c</p><p></p> tail"), (None, "u", "plain < text"),
             (3, "u", "<!-- open"), (4, "u", "<script>var a = '<p>no</p>'"), (5, "u", "<a b='" * 1000)]
