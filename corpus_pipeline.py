@@ -12,7 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import public_tokenizers  # noqa: E402
-from pyspark.sql import DataFrame, Window  # noqa: E402
+from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pulsegrid.llm import bpe, mixing, pii, quality_rules, simhash  # noqa: E402
@@ -32,20 +32,25 @@ def quality(spark, docs: DataFrame, sf_dir) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """One document of each component of near-equal fingerprints: the one with the smallest id.
 
-    Of rows that repeat that id one stays; a component whose ids are all null keeps one row.
+    Its own fingerprint lies in the component, so texts that share an id but not a component all keep theirs. Of rows with the same id and
+    fingerprint one stays; ids of null come last, and a component whose ids are all null keeps one row.
     """
-    found = simhash.near_duplicates(docs)
-    # a component of null ids is known by its fingerprint alone
-    kept = pin(found.where("doc_id <=> component_id").groupBy("doc_id", F.expr("if(doc_id is null, fingerprint, null)").alias("fp"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    if kept.where("n > 1 or doc_id is null").limit(1).count() == 0:
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
-    printed = simhash.with_fingerprints(whole).withColumn("fp", F.expr("if(doc_id is null, _fp, null)"))
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kf"))
-    rows = printed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("fp").eqNullSafe(F.col("_kf")), "left_semi")
-    one = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_doc"))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_doc.*")
+    found = pin(simhash.with_components(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("k")
+    kept = found.groupBy("root").agg(first).select("k.doc_id", "k.fingerprint")
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "_id")
+    kept = pin(kept.join(rows, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "fingerprint", "n"))
+    alone = F.col("doc_id").isNotNull() & (F.col("n") == 1)
+    out = docs.join(kept.where(alone).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    many = kept.where(~alone).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_kf"))
+    if many.limit(1).count() == 0:
+        return out
+    # an id of several rows: its rows are known by their fingerprints
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text").join(many.select("_id").distinct(), same, "left_semi")
+    printed = simhash.with_fingerprints(whole).join(many, same & (F.col("_fp") == F.col("_kf")), "left_semi")
+    one = printed.groupBy("doc_id", "_fp").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+    return out.unionByName(one.select("_doc.*"))
 
 
 def personal_data(spark, docs: DataFrame, sf_dir) -> DataFrame:
