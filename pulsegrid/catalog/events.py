@@ -250,10 +250,19 @@ REC = f"rc as (select record, {COUNTS} from scored group by record), tot as (sel
 
 
 def candidate_sql(n, quota):
+    """Records of every candidate as one list in order of their draws (``cl``), and the class counts of its first ``quota`` (``cs``)."""
     h = hash_sql(f"'{SEED}'", "cand", "record")
-    return f"""cr as (select cand, rc.*, row_number() over (partition by cand order by {h}, cand, record) as rk from rc cross join (select range as cand from range({n}))),
-  q as (select {quota} as quota from tot),
-  cs as (select cand, {", ".join(f"sum(n{c}) as v{c}" for c in range(5))} from cr where rk <= (select quota from q) group by cand)"""
+    return f"""cl as materialized (select cand, list_sort(list(struct_pack(h := {h}, record := record, {", ".join(f"n{c} := n{c}" for c in range(5))}))) as l
+    from (select rc.*, unnest(range({n})) as cand from rc) group by cand),
+  q as materialized (select {quota} as quota from tot),
+  cs as materialized (select cand, {", ".join(f"list_sum(list_transform(t, lambda x: x.n{c})) as v{c}" for c in range(5))}
+    from (select cand, l[1:quota] as t from cl, q))"""
+
+
+def chosen_sql(cand, first, rest):
+    """Rows of one candidate: its first ``quota`` records on one side."""
+    return f"""select x.record as record, case when i <= (select quota from q) then '{first}' else '{rest}' end as role
+  from (select unnest(l) as x, generate_subscripts(l, 1) as i from cl where cand = ({cand}))"""
 
 
 @query("record_counts", f"with {SCORED} select record, {', '.join(f'count(*) filter (where y = {c}) as count_{n}' for c, n in enumerate(CLASS_NAMES))} from scored group by record")
@@ -263,7 +272,7 @@ def record_counts(spark, sf):
 
 @query("record_split", f"""with {SCORED}, {REC}, {candidate_sql(2000, "greatest(1, round_even(r * 0.67::double, 0))::bigint")},
   ok as (select min(cand) as cand from cs, tot where {" and ".join(f"(t{c} < 20 or (v{c} > 0 and v{c} < t{c}))" for c in range(4))})
-select record, case when rk <= (select quota from q) then 'train' else 'test' end as role from cr where cand = (select cand from ok)""")
+{chosen_sql("select cand from ok", "train", "test")}""")
 def record_split(spark, sf):
     return splits.train_test_records(scored_events(spark, sf), SEED)
 
@@ -271,7 +280,7 @@ def record_split(spark, sf):
 @query("constrained_record_split", f"""with {SCORED}, {REC}, {candidate_sql(3000, "least(greatest(1, round_even(r * 0.15::double, 0)), r - 1)::bigint")},
   adm as (select cand, v1 + v3 as m, v3 from cs, tot where {" and ".join(f"(t{c} < 30 or (v{c} * 2 <= t{c} and v{c} > 0))" for c in range(5))}),
   pick as (select coalesce(min(cand) filter (where v3 >= 10), arg_max(cand, m * 10000 - cand)) as cand from adm)
-select record, case when rk <= (select quota from q) then 'val' else 'fit' end as role from cr where cand = (select cand from pick)""")
+{chosen_sql("select cand from pick", "val", "fit")}""")
 def constrained_record_split(spark, sf):
     return splits.fit_val_records(scored_events(spark, sf), SEED)
 

@@ -7,7 +7,7 @@ from pulsegrid.functions.hashing import hash32, normal, uniform
 from pulsegrid.operators.neighbours import nearest_neighbours
 from pulsegrid.operators.splits import hash_rank
 from pulsegrid.schema import N_CLASSES
-from pulsegrid.session import pin
+from pulsegrid.session import pin, small_side
 
 
 PIECE = 10_000
@@ -89,12 +89,10 @@ def interpolate_minority(df: DataFrame, seed, y="y", row_id="beat_id", vec="vec"
         .withColumn("rank", (hash32(seed, F.col("slot"), "near") % k + 1).cast("int"))
         .withColumn("u", uniform(seed, F.col("slot"), "u"))
     )
-    # Few minority rows under many slots are broadcast. Otherwise slots spread over many ranks
-    # and the joins shuffle; the adaptive skew split covers a tiny class beside a large one.
-    few = minor.count() <= SMALL_CLASS_ROWS
-
+    # Few minority rows of bounded bytes under many slots are broadcast. Otherwise slots spread over many
+    # ranks and the joins shuffle; the adaptive skew split covers a tiny class beside a large one.
     def side(df):
-        return F.broadcast(df) if few else df
+        return small_side(df, SMALL_CLASS_ROWS)
 
     near = pin(near.select("id", "rank", "neighbour"))
     placed = slots.join(side(ranked.withColumnRenamed("vec", "a")), ["by", "_rank"])
