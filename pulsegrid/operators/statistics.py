@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.functions.hashing import hash32
 from pulsegrid.operators.quantiles import grouped_quantiles
+from pulsegrid.session import pin
 
 N_BOOT = 10_000
 BOOT_SEED = 20260928
@@ -79,22 +81,98 @@ Z975 = 1.959963984540054
 
 
 def variance_components(gains: DataFrame, with_p=True) -> DataFrame:
-    """Dataset fixed effects and method random intercept for one mean per cell.
+    """Dataset fixed effects and method random intercept by restricted maximum likelihood.
 
-    Restricted maximum likelihood has a closed form in the balanced layout; an unbalanced
-    layout raises instead of being approximated. Needs only marginal sums.
+    One mean in every cell has a closed form over marginal sums; any other layout (missing cells, several gains in one) goes through
+    the likelihood of the variance ratio over cell sums. Rows without a gain do not count.
     """
+    cells = pin(gains.where("gain is not null").groupBy("dataset", "method").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gain").alias("s"), F.sum(F.col("gain") * F.col("gain")).alias("ss")))
+    layout = cells.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("n"), F.count_distinct("dataset").alias("d"), F.count_distinct("method").alias("m")).first()
+    if layout["cells"] == layout["d"] * layout["m"] and layout["n"] == 1:
+        return _balanced_components(gains.where("gain is not null"), with_p)
+    return _component_table(cells.groupBy().applyInPandas(_reml, _COMPONENTS), with_p)
+
+
+_COMPONENTS = ("n_obs long, n_datasets long, n_methods long, mean_gain double, se_mean_gain double, reference_dataset_gain double, "
+               "se_intercept double, method_var double, residual_var double")
+
+
+def reml_terms(ratio, count, total, square, n):
+    """(-2 log likelihood, coefficients, covariance / residual variance, residual variance) at a ratio of method to residual variance.
+
+    ``count`` and ``total``: methods x datasets; ``square``: sum of squared gains of ``n`` rows.
+    """
+    weight = ratio / (1 + ratio * count.sum(1))
+    sums = total.sum(1)
+    inner = np.diag(count.sum(0)) - (count * weight[:, None]).T @ count
+    cross = total.sum(0) - (count * weight[:, None]).T @ sums
+    inverse = np.linalg.inv(inner)
+    beta = inverse @ cross
+    left = square - (weight * sums ** 2).sum() - cross @ beta
+    free = n - count.shape[1]
+    residual = max(left, 0.0) / free
+    value = free * np.log(max(residual, 1e-300)) + np.log1p(ratio * count.sum(1)).sum() + np.linalg.slogdet(inner)[1]
+    return value, beta, inverse, residual
+
+
+def _reml(cells: pd.DataFrame) -> pd.DataFrame:
+    """One row of estimates from cell sums: the ratio is bracketed on a logarithmic grid, then the bracket is cut in three until it is tight."""
+    cells = cells.sort_values(["dataset", "method"])
+    count = cells.pivot(index="method", columns="dataset", values="n").fillna(0).to_numpy(float)
+    total = cells.pivot(index="method", columns="dataset", values="s").fillna(0).to_numpy(float)
+    square, n = float(cells["ss"].sum()), int(cells["n"].sum())
+    if n <= count.shape[1] or len(count) < 2:
+        raise ValueError("variance components need two methods and more gains than datasets")
+
+    def value(ratio):
+        return reml_terms(ratio, count, total, square, n)[0]
+
+    grid = np.concatenate([[0.0], np.logspace(-8, 8, 129)])
+    at = int(np.argmin([value(r) for r in grid]))
+    low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+    for _ in range(200):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if value(a) <= value(b) else (a, high)
+    ratio = (low + high) / 2
+    ratio = 0.0 if value(0.0) <= value(ratio) else ratio
+    _, beta, inverse, residual = reml_terms(ratio, count, total, square, n)
+    even = np.full(len(beta), 1 / len(beta))
+    return pd.DataFrame([{
+        "n_obs": n, "n_datasets": count.shape[1], "n_methods": count.shape[0], "mean_gain": float(even @ beta),
+        "se_mean_gain": math.sqrt(residual * float(even @ inverse @ even)), "reference_dataset_gain": float(beta[0]),
+        "se_intercept": math.sqrt(residual * float(inverse[0, 0])), "method_var": ratio * residual, "residual_var": residual}])
+
+
+def _component_table(estimates: DataFrame, with_p) -> DataFrame:
+    """Estimates with the shares and intervals that follow from them."""
+    tot = F.col("method_var") + F.col("residual_var")
+    icc = F.when(tot != 0, F.col("method_var") / tot).otherwise(F.lit(float("nan")))
+    cluster = F.col("n_obs") / F.col("n_methods")
+    out = estimates.select(
+        "*", tot.alias("total_var"), icc.alias("icc_method"), cluster.alias("mean_cluster_size"), (1 + (cluster - 1) * icc).alias("design_effect"))
+    out = out.select(
+        "*", (F.col("n_obs") / F.col("design_effect")).alias("effective_n"),
+        (F.col("mean_gain") - F.lit(Z975) * F.col("se_mean_gain")).alias("mean_gain_ci_low"),
+        (F.col("mean_gain") + F.lit(Z975) * F.col("se_mean_gain")).alias("mean_gain_ci_high"),
+    )
+    if with_p:
+        out = out.withColumn("p_mean_gain", normal_p_value(F.col("mean_gain") / F.col("se_mean_gain")))
+        out = out.withColumn("p_intercept", normal_p_value(F.col("reference_dataset_gain") / F.col("se_intercept")))
+    return out
+
+
+def _balanced_components(gains: DataFrame, with_p) -> DataFrame:
+    """Closed form for one gain in every cell."""
     by_d = gains.groupBy("dataset").agg(F.avg("gain").alias("_md"), F.count("gain").alias("_nd"))
-    by_m = gains.groupBy("method").agg(F.avg("gain").alias("_mm"), F.count("gain").alias("_nm"))
+    by_m = gains.groupBy("method").agg(F.avg("gain").alias("_mm"))
     d = by_d.agg(
         F.count(F.lit(1)).alias("D"), F.avg("_md").alias("mean_gain"),
         F.sum(F.col("_md") * F.col("_md") * F.col("_nd")).alias("_sd2"),
-        F.min("_nd").alias("_dlo"), F.max("_nd").alias("_dhi"),
         F.min_by("_md", "dataset").alias("reference_dataset_gain"),
     )
     m = by_m.agg(
         F.count(F.lit(1)).alias("M"), F.var_pop("_mm").alias("_vm"),
-        F.min("_nm").alias("_mlo"), F.max("_nm").alias("_mhi"),
     )
     cells = gains.join(by_d.select("dataset", "_md"), "dataset").join(by_m.select("method", "_mm"), "method")
     grand = gains.agg(F.avg("gain").alias("_g"), F.count("gain").alias("n_obs"))
@@ -103,36 +181,16 @@ def variance_components(gains: DataFrame, with_p=True) -> DataFrame:
         F.sum(F.pow(F.col("gain") - F.col("_md") - F.col("_mm") + F.col("_g"), 2.0)).alias("_ssr"))
     one = d.crossJoin(m).crossJoin(grand).crossJoin(resid)
     D, M = F.col("D"), F.col("M")
-    balanced = (
-        (F.col("_dlo") == M) & (F.col("_dhi") == M) & (F.col("_mlo") == D) & (F.col("_mhi") == D)
-    )
-    one = one.withColumn(
-        "D", F.when(balanced, D).otherwise(F.raise_error(F.lit("gains must hold one mean per dataset and method")))
-    )
     ssm = D * M * F.col("_vm")
     msm, msr = ssm / (M - 1), F.col("_ssr") / ((D - 1) * (M - 1))
     inner = msm >= msr
     one = one.withColumn("method_var", F.when(inner, (msm - msr) / D).otherwise(F.lit(0.0))).withColumn(
         "residual_var", F.when(inner, msr).otherwise((ssm + F.col("_ssr")) / (D * (M - 1))))
     tot = F.col("method_var") + F.col("residual_var")
-    icc = F.when(tot != 0, F.col("method_var") / tot).otherwise(F.lit(float("nan")))
-    cluster = F.col("n_obs") / M
-    out = one.select(
+    return _component_table(one.select(
         "n_obs", D.cast("long").alias("n_datasets"), M.alias("n_methods"), "mean_gain",
         F.sqrt((F.col("method_var") + F.col("residual_var") / D) / M).alias("se_mean_gain"),
-        "reference_dataset_gain", F.sqrt(tot / M).alias("se_intercept"),
-        "method_var", "residual_var", tot.alias("total_var"), icc.alias("icc_method"),
-        cluster.alias("mean_cluster_size"), (1 + (cluster - 1) * icc).alias("design_effect"),
-    )
-    out = out.select(
-        "*", (F.col("n_obs") / F.col("design_effect")).alias("effective_n"),
-        (F.col("mean_gain") - F.lit(Z975) * F.col("se_mean_gain")).alias("mean_gain_ci_low"),
-        (F.col("mean_gain") + F.lit(Z975) * F.col("se_mean_gain")).alias("mean_gain_ci_high"),
-    )
-    if with_p:
-        out = out.withColumn("p_mean_gain", normal_p_value(F.col("mean_gain") / F.col("se_mean_gain")))
-        out = out.withColumn("p_intercept", normal_p_value(F.col("reference_dataset_gain") / F.col("se_intercept")))
-    return out
+        "reference_dataset_gain", F.sqrt(tot / M).alias("se_intercept"), "method_var", "residual_var"), with_p)
 
 
 def cluster_bootstrap(gains: DataFrame, cluster: str, n_boot=N_BOOT, seed=BOOT_SEED) -> DataFrame:

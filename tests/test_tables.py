@@ -1,6 +1,7 @@
 """Statistics, outliers, selection rules and table round trips."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +45,45 @@ def test_negative_method_variance_is_set_to_zero(spark):
     assert r["residual_var"] == pytest.approx(total / (3 * 3))
 
 
-def test_unbalanced_gains_raise(spark):
-    g = gains(spark, [[0.1, 0.2], [0.3, 0.1]]).where("not (dataset = 'd1' and method = 'm01')")
-    with pytest.raises(Exception, match="one mean per dataset"):
-        statistics.variance_components(g).collect()
+def dense_reml(rows, ratio):
+    """-2 log restricted likelihood with the whole covariance matrix, profile over the residual variance."""
+    y = np.array([g for _, _, g in rows])
+    x, z = (np.array([[float(r[k] == v) for v in sorted({q[k] for q in rows})] for r in rows]) for k in (0, 1))
+    v = np.eye(len(y)) + ratio * z @ z.T
+    inner = x.T @ np.linalg.solve(v, x)
+    beta = np.linalg.solve(inner, x.T @ np.linalg.solve(v, y))
+    residual = (y - x @ beta) @ np.linalg.solve(v, y - x @ beta) / (len(y) - x.shape[1])
+    value = (len(y) - x.shape[1]) * np.log(residual) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(inner)[1]
+    return value, beta, np.linalg.inv(inner) * residual, residual
+
+
+def test_unbalanced_variance_components(spark):
+    """Missing cells, two gains in one cell and a null gain."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(3, 9)) * 0.03 + rng.normal(size=9) * 0.05 + np.array([[0.1], [0.2], [0.0]])
+    rows = [(f"d{i}", f"m{j}", float(y[i, j])) for i in range(3) for j in range(9) if (i + 2 * j) % 5] + [("d0", "m3", 0.17), ("d2", "m1", 0.01)]
+    r = statistics.variance_components(spark.createDataFrame([*rows, ("d9", "m9", None)], "dataset string, method string, gain double")).first()
+    ratio = r["method_var"] / r["residual_var"]
+    value, beta, cov, residual = dense_reml(rows, ratio)
+    assert ratio > 0 and all(value <= dense_reml(rows, ratio * f)[0] + 1e-9 for f in (0, 0.5, 0.9, 0.99, 1.01, 1.1, 2, 10))
+    assert r["residual_var"] == pytest.approx(residual) and r["mean_gain"] == pytest.approx(beta.mean())
+    assert r["se_mean_gain"] == pytest.approx(np.sqrt(np.full(3, 1 / 3) @ cov @ np.full(3, 1 / 3)))
+    assert r["reference_dataset_gain"] == pytest.approx(beta[0]) and r["se_intercept"] == pytest.approx(np.sqrt(cov[0, 0]))
+    assert (r["n_obs"], r["n_datasets"], r["n_methods"]) == (len(rows), 3, 9)
+
+
+def test_likelihood_equals_the_closed_form_where_balanced():
+    rng = np.random.default_rng(4)
+    for spread in (0.05, 0.0001):
+        y = rng.normal(size=(3, 12)) * 0.02 + rng.normal(size=12) * spread
+        cells = pd.DataFrame([(f"d{i}", f"m{j:02d}", 1, y[i, j], y[i, j] ** 2) for i in range(3) for j in range(12)], columns=["dataset", "method", "n", "s", "ss"])
+        got = statistics._reml(cells).iloc[0]
+        ms_m = 3 * ((y.mean(0) - y.mean()) ** 2).sum() / 11
+        ms_r = ((y - y.mean(0) - y.mean(1)[:, None] + y.mean()) ** 2).sum() / 22
+        if ms_m >= ms_r:
+            assert got["method_var"] == pytest.approx((ms_m - ms_r) / 3, rel=1e-5) and got["residual_var"] == pytest.approx(ms_r, rel=1e-6)
+        else:
+            assert got["method_var"] == 0 and got["residual_var"] == pytest.approx(((y - y.mean(1)[:, None]) ** 2).sum() / 33)
 
 
 def test_bootstrap_is_size_weighted(spark):
