@@ -34,8 +34,18 @@ MULTIPLIERS = {
 DEFAULT_MULTIPLIER = (0.85, 2.5, 0.95, 2.0)
 
 
-def candidate_confusions(rows: DataFrame, keys, inputs, predict, y="y") -> DataFrame:
-    """Confusion cells per (keys, cand); ``predict`` maps input arrays to (rows, candidates)."""
+def predicted_cells(predict):
+    """Counts (candidates x 25 confusion cells) of the classes that ``predict`` maps input arrays to, (rows, candidates)."""
+    def count(labels, *inputs):
+        preds = predict(*inputs)
+        n_cand = preds.shape[1]
+        code = np.arange(n_cand) * 25 + labels[:, None] * 5 + preds
+        return np.bincount(code.ravel(), minlength=n_cand * 25).reshape(n_cand, 25)
+    return count
+
+
+def candidate_confusions(rows: DataFrame, keys, inputs, cells, y="y") -> DataFrame:
+    """Confusion cells per (keys, cand); ``cells`` maps labels and input arrays to counts (candidates x 25)."""
     keys = list(keys)
     data = rows.select(*keys, F.col(y).cast("int").alias("_y"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(inputs)])
     types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
@@ -47,10 +57,7 @@ def candidate_confusions(rows: DataFrame, keys, inputs, predict, y="y") -> DataF
         for pdf in batches:
             groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for key, part in groups:
-                preds = predict(*[np.stack(part[f"_x{i}"].to_numpy()) for i in range(width)])
-                n_cand = preds.shape[1]
-                code = np.arange(n_cand) * 25 + part["_y"].to_numpy()[:, None] * 5 + preds
-                counts = np.bincount(code.ravel(), minlength=n_cand * 25)
+                counts = cells(part["_y"].to_numpy(), *[np.stack(part[f"_x{i}"].to_numpy()) for i in range(width)]).ravel()
                 totals[key] = totals[key] + counts if key in totals else counts
         for key, counts in totals.items():
             at = np.flatnonzero(counts)
@@ -120,7 +127,7 @@ def adapter_grid(val: DataFrame, policies: DataFrame, keys=(), backbone="p_backb
     """
     keys = list(keys)
     rows = _with_side(val, policies, keys).withColumn("_pol", _policy_arrays("decoders"))
-    cells = candidate_confusions(rows, keys, [backbone, evidence, "_pol"], _predict_adapter, y)
+    cells = candidate_confusions(rows, keys, [backbone, evidence, "_pol"], predicted_cells(_predict_adapter), y)
     scored = metric_row(cells, [*keys, "cand"])
     scored = scored.withColumn("penalty", absent_share())
     named = _with_side(scored, policies, keys)
@@ -178,7 +185,7 @@ def decoder_candidates(val: DataFrame, policies: DataFrame, keys=(), p="p", y="y
     """The six decoders scored on validation rows."""
     keys = list(keys)
     rows = _with_side(val, policies, keys).withColumn("_pol", _policy_arrays("decoders"))
-    cells = candidate_confusions(rows, keys, [p, "_pol"], _predict_decoders, y)
+    cells = candidate_confusions(rows, keys, [p, "_pol"], predicted_cells(_predict_decoders), y)
     scored = metric_row(cells, [*keys, "cand"])
     scored = scored.withColumn("penalty", absent_share())
     names = F.array(*[F.lit(n) for n in ("evidence_argmax", "clinical_default", "stable_prior",
@@ -227,7 +234,7 @@ def boundary_grid(val: DataFrame, fit: DataFrame, keys=(), backbone="p_backbone"
     counts = class_counts(fit, keys, y)
     biases = F.flatten(F.array(*[prior_bias(s) for s in BOUNDARY_STRENGTHS]))
     rows = _with_side(val, counts.select(*keys, biases.alias("_bias")), keys)
-    cells = candidate_confusions(rows, keys, [backbone, evidence, "_bias"], _predict_boundary, y)
+    cells = candidate_confusions(rows, keys, [backbone, evidence, "_bias"], predicted_cells(_predict_boundary), y)
     scored = metric_row(cells, [*keys, "cand"])
     c, inner = F.col("cand"), F.col("cand") % 10 - 1
 
@@ -253,15 +260,44 @@ def multiplier_points(kind="wide"):
     return [(a, b, c, d) for a in n for b in s for c in v for d in f]
 
 
+def swept_cells(labels, x, axes):
+    """Counts (grid points x 25) of the largest of x times (n, s, v, f, 1) over the grid of four axes, f fastest; ties to the lower class.
+
+    With the first three multipliers fixed, a row has one best class apart from F, and one breakpoint on the ascending f axis from which
+    on F beats it. The row adds one to that class at the start of the axis and moves to F at the breakpoint; running sums along
+    the axis give all points. Entries of ``x`` are not negative.
+    """
+    n, s, v, f = axes
+    order = np.argsort(f, kind="stable")
+    steps, rivals = f[order], np.array([0, 1, 2, 4])
+    out = np.zeros((len(n), len(s), len(v), 5, 5, len(f) + 1), np.int64)
+    tail = x[:, 3, None] * steps
+    for i, j, k in np.ndindex(out.shape[:3]):
+        others = x[:, rivals] * np.array([n[i], s[j], v[k], 1.0])
+        best = others.argmax(axis=1)
+        top = others[np.arange(len(x)), best][:, None]
+        wins = np.where(best[:, None] == 3, tail >= top, tail > top)
+        turn = len(f) - wins.sum(axis=1)
+        rival = rivals[best]
+        np.add.at(out[i, j, k], (labels, rival, 0), 1)
+        np.add.at(out[i, j, k], (labels, rival, turn), -1)
+        np.add.at(out[i, j, k], (labels, 3, turn), 1)
+    points = out.cumsum(axis=-1)[..., :-1]
+    back = np.empty_like(points)
+    back[..., order] = points
+    return np.moveaxis(back, -1, 3).reshape(-1, 25)
+
+
 def multiplier_grid(rows: DataFrame, keys=(), kind="wide", p="p", y="y") -> DataFrame:
     """Default point (cand 0) and every multiplier of the grid, with metrics and supports."""
     keys = list(keys)
-    table = np.array([(*pt, 1.0) for pt in (DEFAULT_MULTIPLIER, *multiplier_points(kind))])
+    fixed, grid = np.array([*DEFAULT_MULTIPLIER, 1.0]), [np.array(v, float) for v in MULTIPLIERS[kind]]
+    at_default = predicted_cells(lambda x: (x * fixed).argmax(axis=1)[:, None])
 
-    def predict(x):
-        return np.stack([(x * m).argmax(axis=1) for m in table], axis=1)
+    def cells(labels, x):
+        return np.concatenate([at_default(labels, x), swept_cells(labels, x, grid)])
 
-    scored = metric_row(candidate_confusions(rows, keys, [p], predict, y), [*keys, "cand"])
+    scored = metric_row(candidate_confusions(rows, keys, [p], cells, y), [*keys, "cand"])
     axes, step, at = [], 1, F.col("cand") - 1
     for values, default in reversed(list(zip(MULTIPLIERS[kind], DEFAULT_MULTIPLIER))):
         spot = (F.floor(at / step) % len(values)).cast("int")

@@ -93,6 +93,20 @@ def test_bootstrap_is_size_weighted(spark):
     assert (r["ci_low"], r["ci_high"]) == (0.0, 1.0) and r["frac_positive"] == pytest.approx(0.75, abs=0.03)
 
 
+@pytest.mark.parametrize("kind", sorted(selection.MULTIPLIERS))
+def test_swept_grid_equals_prediction_at_every_point(kind):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.dirichlet(np.ones(5), 300), 2)
+    x[:20] = 0.2
+    x[20:40, 3] = 0.0
+    x[40:60] = [0.0, 0.0, 0.0, 0.25, 0.5]  # F meets Q exactly at a multiplier of 2
+    x[60:70] = 0.0
+    y = rng.integers(0, 5, 300)
+    table = np.array([(*p, 1.0) for p in selection.multiplier_points(kind)])
+    want = selection.predicted_cells(lambda v: np.stack([(v * m).argmax(axis=1) for m in table], axis=1))(y, x)
+    assert (selection.swept_cells(y, x, [np.array(v, float) for v in selection.MULTIPLIERS[kind]]) == want).all()
+
+
 def flags(spark, values, **kw):
     rows = [("d", None, "m", s, float(v)) for s, v in values]
     df = spark.createDataFrame(rows, "dataset string, family string, method string, seed int, macro_f1_4 double")
