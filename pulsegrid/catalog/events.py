@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog import query
+from pulsegrid.catalog import SQL, query
 from pulsegrid.catalog.roles import (
     DATASETS,
     EVENT_CLASS,
@@ -301,6 +301,16 @@ def stratified_split_all(spark, sf):
     return splits.stratified_split_all(scored_events(spark, sf), SEED).select("beat_id", "y", "role")
 
 
+@query("split_protocols", f"""select 'record' as protocol, s.beat_id, s.y, r.role from (with {SCORED} select record, beat_id, y from scored) s
+ join (select * from ({SQL["constrained_record_split"]})) r using (record)
+ union all select 'beat', beat_id, y, role from ({SQL["stratified_split"]})""")
+def split_protocols(spark, sf):
+    """Fit and validation rows under both split protocols."""
+    ev = scored_events(spark, sf)
+    both = [splits.fit_val_split(ev, SEED, p).select(F.lit(p).alias("protocol"), "beat_id", "y", "role") for p in ("record", "beat")]
+    return both[0].unionByName(both[1])
+
+
 @query("majority_cap", f"""with {SCORED}, s as (select *, row_number() over (partition by y order by {hash_sql(f"'{SEED}'", "beat_id")}, beat_id) as rk from scored)
 select beat_id, y from s where y <> 0 or rk <= 1000""")
 def majority_cap(spark, sf):

@@ -1,9 +1,10 @@
 """Result tables: materialise, append, overwrite parts, priority reads, documents."""
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.ranking import first_by_priority
@@ -39,6 +40,42 @@ def replace_partitions(df: DataFrame, path: str, partition_by=()):
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+class BrokenContract(ValueError):
+    """A written table did not hold what was promised; the table before it stays."""
+
+
+def checked_write(df: DataFrame, path: str, contracts: dict, partition_by=()) -> dict:
+    """Replace the table at ``path`` if its contracts hold; {name: value}.
+
+    ``contracts``: name -> (aggregate column, test of its value). The values are gathered in the pass that writes, so a write is one
+    job. Rows go to a folder beside the table, which takes the table's place only after all tests.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    observed = df.observe(seen, *[column.alias(name) for name, (column, _) in contracts.items()])
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    place, fresh, old = (fs_path(f"{path.rstrip('/')}{end}") for end in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    writer = observed.write
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh.toString())
+        values = dict(seen.get)
+        broken = [f"{name} is {values[name]}" for name, (_, test) in contracts.items() if not test(values[name])]
+        if broken:
+            raise BrokenContract("; ".join(broken))
+        if fs.exists(place) and not fs.rename(place, old):
+            raise OSError(f"{path} can not be moved aside")
+        if not fs.rename(fresh, place):
+            raise OSError(f"the rows written for {path} can not take its place")
+    finally:
+        if fs.exists(old) and not fs.exists(place):
+            fs.rename(old, place)
+        for rest in (fresh, old):
+            if fs.exists(rest):
+                fs.delete(rest, True)
+    return values
+
+
 def append(df: DataFrame, path: str, partition_by=()):
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

@@ -214,6 +214,21 @@ def test_upsert_and_priority(spark):
     assert sorted(tuple(r) for r in tables.read_first([new, cur], ["k"]).collect()) == [("a", 1), ("b", None), ("c", 4)]
 
 
+def test_checked_write_is_one_job_and_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(100, numPartitions=3).withColumn("g", F.col("id") % 4)
+    rules = {"rows": (F.count(F.lit(1)), lambda v: v == 100), "lowest": (F.min("id"), lambda v: v is not None and v >= 0)}
+    spark.sparkContext.setJobGroup("checked", "write")
+    assert tables.checked_write(df, path, rules, ["g"]) == {"rows": 100, "lowest": 0}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("checked")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "")
+    with pytest.raises(tables.BrokenContract, match="rows is 99; lowest is -1"):
+        tables.checked_write(df.where("id > 1").union(spark.sql("select -1L, 0L")), path, rules)
+    assert spark.read.parquet(path).count() == 100 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    tables.checked_write(df.select((F.col("id") * 2).alias("id")), path, rules)
+    assert spark.read.parquet(path).agg(F.max("id")).first()[0] == 198 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_aligned_union(spark):
     a = spark.createDataFrame([("a", 1, 2.0)], "k string, v int, w double")
     b = spark.createDataFrame([("b", 7, "x")], "k string, v int, extra string")
