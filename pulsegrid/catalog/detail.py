@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog import query
+from pulsegrid.catalog import SQL, query
 from pulsegrid.catalog.roles import DELTAS, DETAIL, DETAIL_METRICS, hash_sql, rounded, rounded_sql, run_detail, table
 from pulsegrid.operators import contracts, ranking, reshape, statistics, summary
 from pulsegrid.plans import derived
@@ -202,6 +202,14 @@ def hierarchical_table(spark, sf):
     return rounded(statistics.hierarchical_table(pin(_gains(spark, sf)), "record-level validation"))
 
 
+@query("hierarchical_rows", f"""select b.*, 'record-level validation' as protocol, t.cohen_dz as naive_cohen_dz, t.n as n_means, v.icc_method, v.design_effect, v.effective_n,
+ v.mean_gain as mixed_mean_gain, v.se_mean_gain as mixed_se, v.mean_gain_ci_low as mixed_ci_low, v.mean_gain_ci_high as mixed_ci_high
+ from ({SQL["cluster_bootstrap"]}) b cross join ({SQL["paired_t"]}) t cross join ({SQL["variance_components"]}) v""")
+def hierarchical_rows(spark, sf):
+    """The same table without the p-values, which SQL has no function for."""
+    return rounded(statistics.hierarchical_table(pin(_gains(spark, sf)), "record-level validation").drop("naive_t_p", "mixed_p"))
+
+
 # ---- analysis tables -----------------------------------------------------------------------
 
 FAM = {"F": "Machine learning", "O": "Deep/time-series"}
