@@ -1,12 +1,12 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
-A page is read once into blocks. Elements that are never content (by name, or by a class or id
-that labelled pages only have outside their article, never inside or around it) are passed over
-with all they hold; an element around the article of a labelled page never is. What is
-left is a sequence of words, which score positive, and tags, which score negative by a weight
-learned from labelled pages: the share of the tag's uses that lies outside the article. One
-linear scan (the largest sum of a contiguous run) gives the content region; the words of its
-blocks are the text.
+A page is read once into blocks: a sequence of words, which score positive, and tags, which score
+negative by a weight learned from labelled pages: the share of the tag's uses that lies outside
+the article, times a scale at which the scan finds the marked articles. One linear scan (the
+largest sum of a contiguous run) over the whole page gives the content region. Inside the region
+elements that are never content (by name, or by a class or id that labelled pages only have
+outside their article, never inside or around it) are passed over with all they hold; an element
+around the article of a labelled page never is. The words of the other blocks are the text.
 
 Labelled pages are those that mark their article themselves (exactly one ``article`` or
 ``main`` element). Weights are fitted on at most LABELLED_PAGES of them, chosen by hash; the
@@ -15,8 +15,8 @@ region of a page is always found by its scores, also where it has such an elemen
 Defined results: null and empty pages have empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by a line feed, empty blocks vanish.
 An unclosed comment or script reaches to the end of the page, an unclosed element to the end tag
-of an element around it; p, li, dt, dd, td, th, tr, option and head end where HTML ends them without a tag. A page whose words all lie in passed-over elements is read again by
-element names alone. Equal scores keep the
+of an element around it; p, li, dt, dd, td, th, tr, option and head end where HTML ends them without a tag. A region that lies in passed-over elements gives way to the best run of the other words; a page whose
+words all lie in such elements is read again by element names alone. Equal scores keep the
 earliest and then the longest region. Repeated rows give repeated results, null keys stay null,
 extra columns are ignored. No rows give no rows.
 """
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 #: Bound of the pages that weights are fitted on, and uses needed before a class or id counts as learned.
 LABELLED_PAGES, LEARNED_USES = 2_000, 20
-#: Score of a word, and of a tag that is only ever used outside (inside: near zero).
-WORD, TAG = 1.0, -1.0
+#: Score of a word, of a tag that is only ever used outside (inside: near zero) and of one the labelled pages lack, before the tags' scale.
+WORD, TAG, UNSEEN = 1.0, -1.0, -0.1
+#: Scales that the tags' scores are tried at.
+SCALES = tuple(2.0 ** k for k in range(-2, 11))
 
 # Element names and the words of class and id names that are not content.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
@@ -217,7 +219,9 @@ def tag_uses(page: str):
 def weights(pages: DataFrame, page_id="page_id", page="html", limit=LABELLED_PAGES):
     """(tag weights, learned boilerplate classes) from at most ``limit`` labelled pages.
 
-    Uses are counted on the executors and added up per key; keys are bounded by the sample.
+    Uses are counted on the executors and added up per key; keys are bounded by the sample. A second pass counts,
+    for every scale, the pages whose marked article the scan alone finds; tags weigh by the scale that finds most
+    (the middle one of several).
     """
     def run(batches):
         for b in batches:
@@ -236,53 +240,79 @@ def weights(pages: DataFrame, page_id="page_id", page="html", limit=LABELLED_PAG
     rows = sample.repartition(8).mapInArrow(run, "key string, i long, o long, h long").groupBy("key").agg(*[F.sum(c).alias(c) for c in "ioh"]).collect()
     tags = {r["key"]: TAG * r["o"] / (r["i"] + r["o"]) for r in rows if not r["key"].startswith(".") and r["i"] + r["o"]}
     learned = {r["key"] for r in rows if r["key"].startswith(".") and r["i"] == r["h"] == 0 and r["o"] >= LEARNED_USES}
-    return tags, learned
+
+    def tried(batches):
+        for b in batches:
+            found = [0] * len(SCALES)
+            for t in b.column(0):
+                blocks = _blocks(t.as_py() or "", tags, learned)
+                if any(marked for *_, marked in blocks):
+                    found = [n + finds_article(blocks, scale) for n, scale in zip(found, SCALES)]
+            yield pa.RecordBatch.from_arrays([pa.array(SCALES, pa.float64()), pa.array(found, pa.int64())], ["scale", "n"])
+
+    if not tags:
+        return tags, learned
+    found = {r["scale"]: r["n"] for r in sample.repartition(8).mapInArrow(tried, "scale double, n long").groupBy("scale").agg(F.sum("n").alias("n")).collect()}
+    best = sorted(k for k, n in found.items() if n == max(found.values()))
+    scale = best[(len(best) - 1) // 2] if best and found[best[0]] else 1.0
+    return {k: scale * w for k, w in tags.items()}, learned
 
 
 def _blocks(page, tags, learned, outside=_outside):
-    """Blocks of what is not boilerplate: (text, score of the tags since the last block, words)."""
-    out, run, cost, skip, tree = [], [], 0.0, None, Open()
+    """Blocks of a page: (text, tag score before it, tag score within it, words, in a passed-over element, in the marked article)."""
+    out, run, tree = [], [], Open()
+    before = within = pending = 0.0
+    state = (False, False)
+    skip = held = None
     root = _root(page)
     around = _around(page, root) or () if root else ()
 
     def flush():
-        nonlocal run, cost
+        nonlocal run, before, within, pending
         words = html.unescape("".join(run)).split() if run else []
         if words:
-            out.append((" ".join(words), cost, len(words)))
-            cost = 0.0
-        run = []
+            out.append((" ".join(words), before, within, len(words), *state))
+        else:
+            pending += before + within
+        run, before, within = [], 0.0, 0.0
 
     for n, e in enumerate(events(page)):
         if e[0] == "text":
-            if skip is None:
+            if e[1].isspace():
                 run.append(e[1])
+                continue
+            now = (skip is not None, held is not None and len(tree.stack) > held)
+            if now != state:
+                flush()
+                state = now
+            if any(not r.isspace() for r in run):
+                within += pending
+            else:
+                before += pending
+            pending = 0.0
+            run.append(e[1])
             continue
         name, holds = e[1], e[0] == "open" and e[1] not in VOID and not e[3]
         if e[0] == "close":
-            skipped = None if skip is None else tree.stack[skip][0]
             tree.close(name, -1 if skip is None else skip)
-            if skip is not None and len(tree.stack) <= skip:
-                skip = None
-                if name == skipped:
-                    continue
         else:
             tree.start(name)
-            if skip is not None and len(tree.stack) <= skip:
-                skip = None
-            if holds:
-                tree.open(name, n)
-        if skip is not None:
-            continue
-        if holds and n not in around and outside(e[2], learned):
-            flush()
-            skip = len(tree.stack) - 1
-            continue
-        if name in BLOCK:
+        if skip is not None and len(tree.stack) <= skip:
+            skip = None
+        if held is not None and len(tree.stack) <= held:
+            held = math.inf
+        passed = holds and skip is None and n not in around and outside(e[2], learned)
+        if passed or name in BLOCK:
             flush()
         elif name in SPACE:
             run.append(" ")
-        cost += tags.get(name, 0.1 * TAG)
+        if e[0] == "open" and name == root and held is None:
+            held = len(tree.stack)
+        if holds:
+            tree.open(name, n)
+        if passed:
+            skip = len(tree.stack) - 1
+        pending += tags.get(name, UNSEEN)
     flush()
     return out
 
@@ -291,19 +321,37 @@ def _outside_by_name(keys, learned):
     return keys[0] in OUTSIDE and keys[0] != "form"
 
 
-def main_text(page: str, tags: dict, learned: set) -> str:
-    """Text of the best contiguous run of blocks; the first tag cost of a run lies before it."""
-    blocks = _blocks(page, tags, learned) or _blocks(page, tags, learned, _outside_by_name)
+def _region(blocks, scale=1.0, words=None):
+    """[start, end) of the contiguous run of blocks with the largest sum; the tags before its first block do not count."""
     best, best_at, total, start = -math.inf, (0, 0), 0.0, 0
-    for i, (_, cost, words) in enumerate(blocks):
-        if i == start or total + cost <= 0:
+    for i, (_, before, within, n, passed, _) in enumerate(blocks):
+        total += scale * before
+        if i == 0 or total <= 0:
             total, start = 0.0, i
-        else:
-            total += cost
-        total += WORD * words
+        total += scale * within + WORD * (n if words is None else words(n, passed))
         if total > best:
             best, best_at = total, (start, i + 1)
-    return "\n".join(b[0] for b in blocks[best_at[0]:best_at[1]])
+    return best_at
+
+
+def finds_article(blocks, scale):
+    """Whether the scan alone finds the marked article: all its blocks (passed-over ones may miss) and none else."""
+    start, end = _region(blocks, scale)
+    return all((start <= i < end) if marked and not passed else marked or not start <= i < end
+               for i, (_, _, _, _, passed, marked) in enumerate(blocks))
+
+
+def main_text(page: str, tags: dict, learned: set) -> str:
+    """Text of the best contiguous run of blocks, without the passed-over elements in it."""
+    for outside in (_outside, _outside_by_name):
+        blocks = _blocks(page, tags, learned, outside)
+        # where the best run holds nothing but passed-over elements, their words score nothing
+        for words in (None, lambda n, passed: 0 if passed else n):
+            start, end = _region(blocks, words=words)
+            kept = [b[0] for b in blocks[start:end] if not b[4]]
+            if kept:
+                return "\n".join(kept)
+    return ""
 
 
 def extract(pages: DataFrame, page_id="page_id", url="url", page="html", fitted=None) -> DataFrame:

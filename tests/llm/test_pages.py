@@ -1,5 +1,8 @@
 """Pages with wrapper elements around their article, labelled and not."""
 
+import html
+import re
+
 import pytest
 
 from pulsegrid.llm import html_content
@@ -65,3 +68,47 @@ def test_article_after_unclosed_blocks_has_no_ancestors_among_them():
 def test_deep_pages_stay_linear():
     page = "<i><div class=ad>" + "<b><div>" * 60_000 + "</i></b>" * 60_000
     assert html_content.main_text(page, {}, set()) == ""
+
+
+def renamed(page):
+    """The page without any name that says what an element is for."""
+    page = re.sub(r"(</?)(nav|footer|article|header|aside|section|main)\b", r"\1div", page)
+    return page.replace('class="ad"', 'class="zz"')
+
+
+def article_of(page):
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (" ".join(html.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(p for p in parts if p)
+
+
+def test_scan_alone_finds_the_article_without_telling_names(spark):
+    """Held-out pages whose elements have neutral names: no list of names can find the region, only the scan."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tags, learned = html_content.weights(pages.where("page_id % 2 = 0"))
+    held_out = [r.html for r in pages.where("page_id % 2 = 1").collect()]
+    for change in (lambda p: p, renamed):
+        alone = 0
+        for page in held_out:
+            blocks = html_content._blocks(change(page), tags, learned)
+            start, end = html_content._region(blocks)
+            alone += "\n".join(b[0] for b in blocks[start:end]) == article_of(page)
+        assert alone >= 0.99 * len(held_out)
+    assert sum(html_content.main_text(renamed(p), tags, learned) == article_of(p) for p in held_out) >= 0.99 * len(held_out)
+
+
+def test_region_wins_by_scores():
+    tags = {"a": -16.0, "li": -16.0, "p": 0.0}
+    page = f"<div><li><a>Home</a></li><li><a>News and more of it</a></li><p>{WORDS}</p><p>More.</p><li><a>Legal words</a></li></div>"
+    assert html_content.main_text(page, tags, set()) == f"{WORDS}\nMore."
+    inside = f"<div><p>{WORDS}</p><aside>a note</aside><p>{WORDS}</p></div>"
+    assert html_content.main_text(inside, tags, set()) == f"{WORDS}\n{WORDS}"
+    longer = f"<div><p>short one</p><li></li><li></li><div class=comments><p>{WORDS} {WORDS}</p></div></div>"
+    assert html_content.main_text(longer, tags, set()) == "short one"
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "u", f"<p>{WORDS}</p>", 5, "x", "y", 2.0), (None, None, None, 5, "x", "y", 2.0)],
+                              "page_id long, url string, html string, n_chars int, text string, key string, _h double")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_content.extract(d).collect()), key=str)
+    assert got == [(1, "u", WORDS, len(WORDS)), (None, None, "", 0)]
