@@ -4,7 +4,7 @@ A trie of the vocabulary has a root for pieces that begin a word and one for pie
 Each node has a failure link, the node that stands for what is left after the longest pieces
 have been popped off, and the number of pieces popped on the way. Counting follows edges and
 links and adds the numbers; no piece is ever built. Distinct words of a batch walk the trie
-together, one byte per step.
+together, one byte per step; a very long word walks alone.
 
 Defined results: null, empty and blank texts have no words and no tokens. A word with a part
 that no piece matches counts as one unknown token. Repeated rows give repeated results, null
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import BATCH_BYTES, REMEMBERED, byte_letters
 
-#: Words of up to this many bytes walk together.
+#: Words of up to this many bytes walk together; a longer one walks alone, edge by edge.
 WIDE = 64
 
 
@@ -64,6 +64,7 @@ class Automaton:
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(edges.values()), np.int64)[order]
         self.fail, self.pops, self.rest = (np.array(x, np.int64) for x in (fail, pops, rest))
+        self.plain = None
 
     def _step(self, node, c):
         key = node << 8 | c
@@ -75,13 +76,33 @@ class Automaton:
         size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")
         out, bad = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        for part in np.split(order, np.searchsorted(size[order], [8, 16, 32, WIDE], side="right")):
+        *groups, long = np.split(order, np.searchsorted(size[order], [8, 16, 32, WIDE], side="right"))
+        for i in long:
+            out[i], bad[i] = self._alone(words[i])
+        for part in groups:
             if len(part):
                 top = int(size[part].max())
                 for rows in np.array_split(part, max(1, len(part) * top // (8 << 20))):
                     out[rows], bad[rows] = self._together([words[i] for i in rows], size[rows], top)
         return np.where(bad, 1, out), bad
 
+    def _alone(self, word):
+        """(tokens, unknown) of one word, over plain tables that are made from the arrays when first needed."""
+        if self.plain is None:
+            self.plain = dict(zip(self.keys.tolist(), self.child.tolist())), *(x.tolist() for x in (self.fail, self.pops, self.rest))
+        edges, fail, pops, rest = self.plain
+        node = total = 0
+        for c in word:
+            to = edges.get(node << 8 | c)
+            while to is None:
+                if fail[node] < 0:
+                    return 0, True
+                total += pops[node]
+                node = fail[node]
+                to = edges.get(node << 8 | c)
+            node = to
+        return total + max(rest[node], 0), rest[node] < 0
+
     def _together(self, words, size, top):
         raw = np.frombuffer(b"".join(w.ljust(top, b"\0") for w in words), np.uint8).reshape(len(words), top)
         node, total, alive = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -131,6 +132,18 @@ def test_automaton_is_greedy():
         assert [(a, b) for a, b in zip(n.tolist(), lost.tolist())] == [brute_pieces(w, initial, going_on) for w in words]
 
 
+def test_one_very_long_word():
+    initial, going_on = token_counts.word_pieces(VOCABULARY)
+    auto = token_counts.Automaton(initial, going_on)
+    rng = random.Random(6)
+    word = b" " + "".join(rng.choice(["ab", "the", "é", "漢", "zq", "11"]) for _ in range(1_200_000)).encode()
+    start = time.perf_counter()
+    (n,), (lost,) = auto.counts([word])
+    assert time.perf_counter() - start < 30 and not lost
+    short = word[:20_000].decode("utf-8", "ignore").encode()
+    assert auto.counts([short])[0][0] == brute_pieces(short, set(initial), set(going_on))[0] < n
+
+
 def test_token_count_query(spark, texts):
     initial, going_on = (set(x) for x in token_counts.word_pieces(VOCABULARY))
     for r in QUERIES["op2_linear_token_counts"](spark, SF).collect():
