@@ -124,7 +124,7 @@ def mix(docs: DataFrame, target_entropy=None, max_repeat=None, budget_factor=1.0
     led = token_ledger(docs.drop(*[c for c in MIX if c in docs.columns and c not in (source, text, doc_id)]),
                        source, text, doc_id, seed)
     narrow = pin(led.select("_s", "tokens", "_u"))
-    shares = source_shares(narrow)
+    shares = pin(source_shares(narrow))  # a row a source, read by every step of the search
     quotas = pin(source_quotas(shares, exponent(shares, target_entropy, max_repeat, budget_factor), budget_factor, block_rows))
     sources = small_side(quotas.selectExpr("_s", "n_blocks as _blocks", "epochs as _epochs", "rest as _rest"))
     row = _draw(f"'{seed}'", "'row'", "cast(_epochs as string)", "cast(_u as string)")
