@@ -100,7 +100,7 @@ def two_leads(spark, sf):
 
 @query("bandpass")
 def bandpass(spark, sf):
-    out = signal.bandpass(signals(spark, sf), CHUNK)
+    out = signal.bandpass(signals(spark, sf))
     return rounded(out.select("record", "lead", "chunk", A.mean_square(F.col("values")).alias("power"),
                               F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last")))
 
@@ -109,7 +109,7 @@ def bandpass(spark, sf):
 def beat_features(spark, sf):
     """Recordings to the assembled base row: band-pass, z-score, intervals, windows, descriptors."""
     n = _records(spark, sf)
-    sig = windows_join.record_zscore(signal.bandpass(signals(spark, sf), CHUNK))
+    sig = windows_join.record_zscore(signal.bandpass(signals(spark, sf)))
     ann = signal_annotations(spark, sf, n)
     rr = intervals.interval_array(intervals.interval_features(intervals.interval_context(ann, 32.0)))
     mapped = recordings.map_symbols(rr, FOUR)
