@@ -392,6 +392,22 @@ def safe_json(spark, sf):
     return e.select(F.coalesce(k, F.lit(-1)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MIXED = """case when value < 5 then '' when value > 200 then null when event_type = 'error' then substr(props, 1, length(props) - 1) else
+  substr(props, 1, length(props) - 1) || ', "' || event_type || '": "' || user_id || '", "x' || (user_id % 4) || '": '
+  || case event_id % 5 when 0 then 'true' when 1 then 'null' when 2 then '"n/a"' when 3 then '[1, 2]' else '2.5' end || '}' end"""
+
+
+@query("json_any_fields", rounded_sql(f"""with d as (select {_MIXED} as doc from events), o as (select doc from d where doc <> '' and json_valid(doc)),
+k as (select doc, unnest(json_keys(doc)) as field from o), v as (select field, json_type(doc, '$."' || field || '"') as t, json_extract_string(doc, '$."' || field || '"') as s from k)
+select field, case when t = 'NULL' then 'null' when t = 'VARCHAR' then 'text' when t = 'BOOLEAN' then 'boolean' when t = 'ARRAY' then 'array' when t = 'OBJECT' then 'object' else 'number' end as kind,
+  count(*) as n, sum(case when t in ('BOOLEAN', 'ARRAY', 'OBJECT') then null else try_cast(s as double) end) as total, min(case when t = 'VARCHAR' then s end) as first_text from v group by all""", "total"))
+def json_any_fields(spark, sf):
+    """Fields of objects whose keys and value types no schema fixes."""
+    docs = table(spark, sf, "events").select(F.expr(_MIXED).alias("doc"))
+    return rounded(reshape.json_fields(docs, [], "doc").groupBy("field", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("number").alias("total"), F.min("text").alias("first_text")))
+
+
 @query("wide_long_wide", rounded_sql(f"""with {SCORED}, {metrics_sql('dataset', cells_sql('dataset'))}
 select dataset, 'S' as class, Pr_S as Pr, Se_S as Se, 'F1_S' as full_name from mrow union all select dataset, 'F', Pr_F, Se_F, 'F1_F' from mrow""", "Pr Se"))
 def wide_long_wide(spark, sf):

@@ -12,6 +12,23 @@ def parse_json(col, schema) -> Column:
     return F.from_json(F.when(c != "", c), schema)
 
 
+def json_fields(df: DataFrame, keys, col) -> DataFrame:
+    """One row (keys, field, kind, number, text) per field of a JSON object of any keys.
+
+    The text is parsed once, to a variant. ``kind`` is number, text, boolean, null, array or object. ``number`` is the
+    value of a number or of a text that reads as one, else null; ``text`` is the value of a text, else null.
+    Null, empty and malformed texts and those that hold no object have no fields; what follows the first whole value is not read.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    fields = F.try_variant_get(F.try_parse_json(F.when(c != "", c)), "$", "map<string,variant>")
+    rows = df.select(*keys, F.explode(fields).alias("field", "_v")).withColumn("_s", F.schema_of_variant("_v"))
+    kind = F.expr("""case when _s is null or _s = 'VOID' then 'null' when _s = 'STRING' then 'text' when _s = 'BOOLEAN' then 'boolean'
+        when startswith(_s, 'ARRAY') then 'array' when startswith(_s, 'OBJECT') then 'object' else 'number' end""")
+    return rows.withColumn("kind", kind).select(
+        *keys, "field", "kind", F.when(F.col("kind").isin("number", "text"), F.try_variant_get("_v", "$", "double")).alias("number"),
+        F.when(F.col("kind") == "text", F.try_variant_get("_v", "$", "string")).alias("text"))
+
+
 def counts_long(df: DataFrame, keys, splits: dict) -> DataFrame:
     """Count-map JSON columns (split label -> column) to (keys, split, class, count)."""
     items = F.array(*[

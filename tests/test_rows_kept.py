@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import rebalance, splits, summary
+from pulsegrid.operators import rebalance, reshape, splits, summary
 from pulsegrid.operators.ranking import take_lowest
 from pulsegrid.plans import runs
 
@@ -107,3 +107,13 @@ def test_baselines_are_evaluated_once(spark):
     rest = runs.baseline_evaluation(rows, targets, ["logistic"], [1, 2], done=first.where("not (dataset = 'C' and seed = 2)"), size=0.02)
     assert [(r.dataset, r.seed) for r in rest.collect()] == [("C", 2)]
     assert runs.baseline_evaluation(rows, targets, ["logistic"], [1, 2], done=first).count() == 0
+
+
+def test_json_fields_of_any_keys(spark):
+    docs = ['{"a": 1, "b": "2.5", "c": "x"}', '{"a": [1], "d": {"e": 1}, "f": null, "g": true, "h": -0.5}', "", None, "{", "[1, 2]", "7", "{}", '{"z": 1', '{"y": 3}{']
+    d = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    got = {(r.id, r.field): (r.kind, r.number, r.text) for r in reshape.json_fields(d, ["id"], "doc").collect()}
+    assert got == {
+        (0, "a"): ("number", 1.0, None), (0, "b"): ("text", 2.5, "2.5"), (0, "c"): ("text", None, "x"), (1, "a"): ("array", None, None),
+        (1, "d"): ("object", None, None), (1, "f"): ("null", None, None), (1, "g"): ("boolean", None, None), (1, "h"): ("number", -0.5, None),
+        (9, "y"): ("number", 3.0, None)}
