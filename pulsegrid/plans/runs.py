@@ -99,10 +99,28 @@ def stored_probabilities(build, spark, path, dataset, method, seed, protocol="re
         spark, path, lambda: build().withColumns({c: F.lit(v) for c, v in key.items()}), tuple(key), where, force)
 
 
+BEAT_KEY = ["dataset", "seed", "role", "beat_id"]
+
+
+def keep_bucketed(probs: DataFrame, table: str, buckets=64, path=None):
+    """Write probabilities as a table bucketed and sorted by BEAT_KEY, one file a bucket.
+
+    Tables with the same number of buckets join on BEAT_KEY without a shuffle, however often they are fused; Spark sorts each bucket again,
+    in its task, unless it is told to trust the order of files.
+    Choose the number so that a bucket of the largest table fits a task. ``path`` makes the table external.
+    """
+    writer = probs.repartition(buckets, *BEAT_KEY).write.bucketBy(buckets, *BEAT_KEY).sortBy(*BEAT_KEY).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def paired_probabilities(backbone: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Full join of backbone and evidence by BEAT_KEY; ``_e`` is null where the evidence is missing."""
+    return backbone.select(*BEAT_KEY, "p_backbone").join(evidence.withColumn("_e", F.lit(True)), BEAT_KEY, "full")
+
+
 def met_probabilities(backbone: DataFrame, evidence: DataFrame) -> DataFrame:
     """Backbone and evidence of the same rows by (dataset, seed, role, beat_id); an unmatched row is an error."""
-    key = ["dataset", "seed", "role", "beat_id"]
-    met = pin(backbone.select(*key, "p_backbone").join(evidence.withColumn("_e", F.lit(True)), key, "full"))
+    met = pin(paired_probabilities(backbone, evidence))
     lost = met.where("_e is null or p_backbone is null").count()
     if lost:
         raise ValueError(f"{lost} rows have only one of backbone and evidence probabilities")

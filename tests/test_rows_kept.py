@@ -117,3 +117,26 @@ def test_json_fields_of_any_keys(spark):
         (0, "a"): ("number", 1.0, None), (0, "b"): ("text", 2.5, "2.5"), (0, "c"): ("text", None, "x"), (1, "a"): ("array", None, None),
         (1, "d"): ("object", None, None), (1, "f"): ("null", None, None), (1, "g"): ("boolean", None, None), (1, "h"): ("number", -0.5, None),
         (9, "y"): ("number", 3.0, None)}
+
+
+def test_bucketed_probabilities_meet_without_exchange(spark, tmp_path):
+    rows = [("a" if i % 3 else "b", i % 2, "val" if i % 5 else "test", i, [0.2] * 5) for i in range(2000)]
+    back = spark.createDataFrame(rows, "dataset string, seed int, role string, beat_id long, p_backbone array<double>")
+    evidence = back.withColumn("y", F.col("beat_id") % 5).withColumnRenamed("p_backbone", "p_evidence")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs.keep_bucketed(back, "kept_backbone", 8, str(tmp_path / "b"))
+        runs.keep_bucketed(evidence, "kept_evidence", 8, str(tmp_path / "e"))
+        stored = spark.table("kept_backbone"), spark.table("kept_evidence")
+        plan = runs.paired_probabilities(*stored)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert "Exchange" in runs.paired_probabilities(back, evidence)._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, runs.met_probabilities(*stored).collect()))
+        assert got == sorted(map(str, runs.met_probabilities(back, evidence).collect())) and len(got) == 2000
+        with pytest.raises(ValueError, match="only one"):
+            runs.met_probabilities(stored[0].where("beat_id <> 7"), stored[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for t in ("kept_backbone", "kept_evidence"):
+            spark.sql(f"drop table if exists {t}")
