@@ -1,24 +1,32 @@
-"""Exact k-nearest-neighbour join by pivots and bounded blocks.
+"""Exact k-nearest-neighbour join by pivots and bounded groups.
 
 Both sides are assigned to the nearest of a few pivots. Cell radii give, by the triangle
 inequality, an upper bound on the k-th neighbour distance of a cell and a lower bound on
-the distance between two cells; cell pairs that cannot hold a neighbour are never joined.
-Within the remaining cell pairs, blocks of bounded size meet and each pair of blocks emits
-at most k rows per left row, which a second step merges. No side is collected, and copies
-of one vector are searched once.
+the distance between two cells; cell pairs that cannot hold a neighbour are never compared.
+The cells of a side are packed into GROUPS groups, more if a group would hold over GROUP_ROWS
+rows; a pair of groups is one task, and a row goes to a task only if its cell meets another
+there. A row is thus sent at most as often as the other side has groups, which is a constant
+up to GROUPS * GROUP_ROWS rows. A task keeps its left group and the k best of each of its rows,
+and streams the right group past them. No side is collected, and copies of one vector are
+searched once.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import hash32
 from pulsegrid.session import pin
 
-BLOCK = 512
+#: Left and right rows that are compared at once, pairs that are measured at once, groups of a side at least, rows of a group.
+BLOCK, WIDE, HITS, GROUPS, GROUP_ROWS = 512, 2048, 1 << 17, 10, 65_536
 ROWS_PER_PIVOT = 4096
 MAX_PIVOTS = 128
+NONE = np.iinfo(np.int64).max
 
 
 def _assign(df, pivots):
@@ -66,38 +74,125 @@ def _cell_pairs(left, right, pivots, need):
     return pairs
 
 
-def _blocks(side, prefix):
-    """Pack each cell into blocks of about BLOCK rows; the block count follows the cell size."""
-    sizes = side.groupBy("by", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
-    spread = side.join(F.broadcast(sizes), ["by", "cell"]).withColumn(
-        "block", (hash32("block", F.col("id")) % F.col("_parts")).cast("int"))
-    return spread.groupBy("by", "cell", "block").agg(
-        F.collect_list("id").alias(f"{prefix}_ids"), F.collect_list("vec").alias(f"{prefix}_vecs")
-    ).withColumnRenamed("cell", f"{prefix}_cell").withColumnRenamed("block", f"{prefix}_block")
+def _groups(cells):
+    """{(by, cell): groups of its parts}: cells in order, in parts of at most a quarter of a group's rows."""
+    total = sum(n for n, _, _ in cells.values())
+    size = max(BLOCK, min(GROUP_ROWS, -(-total // GROUPS)))
+    groups, group, held = {}, 0, 0
+    for cell, (n, _, _) in sorted(cells.items()):
+        parts = -(-4 * n // size)
+        rows = -(-n // parts)
+        for _ in range(parts):
+            if held and held + rows > size:
+                group, held = group + 1, 0
+            groups.setdefault(cell, []).append(group)
+            held += rows
+    return groups
+
+
+def _dealt(side, spark, groups, tasks):
+    """``side`` with the tasks of each row; ``tasks``: (by, cell, group) -> task numbers."""
+    units = [(*cell, part, tasks[(*cell, group)]) for cell, own in groups.items() for part, group in enumerate(own) if (*cell, group) in tasks]
+    parts = F.broadcast(spark.createDataFrame([(*cell, len(own)) for cell, own in groups.items()], "by int, cell int, _parts int"))
+    units = F.broadcast(spark.createDataFrame(units, "by int, cell int, _part int, _tasks array<int>"))
+    placed = side.join(parts, ["by", "cell"]).withColumn("_part", (hash32("block", F.col("id")) % F.col("_parts")).cast("int"))
+    return placed.join(units, ["by", "cell", "_part"]).select(F.explode("_tasks").alias("task"), "by", "cell", "id", "vec")
+
+
+class _Nearest:
+    """The left rows of a task with the k nearest right rows seen so far; ties go to the smaller id."""
+
+    def __init__(self, k):
+        self.k, self.cells, self.parts = k, {}, []
+
+    def add(self, cell, ids, x):
+        at = self.cells.setdefault(cell, [])
+        lo = sum(len(i) for i, _ in self.parts)
+        at.append((lo, lo + len(ids)))
+        self.parts.append((ids, x))
+
+    def close(self):
+        self.ids, self.x = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts = []
+        self.dist = np.full((len(self.ids), self.k), np.inf)
+        self.near = np.full((len(self.ids), self.k), NONE)
+
+    def meet(self, cell, ids, y):
+        for lo, hi in self.cells[cell]:
+            # single precision around the cell's centre decides what is measured exactly; the slack covers its error
+            centre = self.x[lo:hi].mean(0)
+            a, b = self.x[lo:hi] - centre, y - centre
+            aa, bb = (a * a).sum(1), (b * b).sum(1)
+            top = max(aa.max(), np.max(bb))
+            kind = np.float32 if top < 1e30 else np.float64  # also where values are not finite
+            left = np.hstack([-2.0 * a, np.ones((len(a), 1))]).astype(kind)
+            right = np.ascontiguousarray(np.hstack([b, bb[:, None]]).astype(kind).T)
+            slack = 4.0 * np.finfo(kind).eps * (a.shape[1] + 8) * (np.sqrt(aa) + np.sqrt(np.nanmax(bb, initial=0.0))) ** 2 + 1e-30
+            for i in range(0, hi - lo, BLOCK):
+                for j in range(0, len(ids), WIDE):
+                    some = slice(i, i + BLOCK)
+                    self._block(lo + i, left[some], aa[some], slack[some], ids[j:j + WIDE], y[j:j + WIDE], right[:, j:j + WIDE])
+
+    def _block(self, lo, left, aa, slack, ids, y, right):
+        k, hi = self.k, lo + len(left)
+        rough = left @ right
+        limit = self.dist[lo:hi, -1] - aa
+        fresh = np.isinf(limit)
+        if fresh.any() and len(ids) >= k:
+            limit[fresh] = np.partition(rough[fresh, :max(k, 1024)], k - 1, axis=1)[:, k - 1] + slack[fresh]
+        at, other = np.divmod(np.flatnonzero(rough <= (limit + slack).astype(rough.dtype)[:, None]), len(ids))
+        if len(at) > HITS and len(left) > 1:
+            half = len(left) // 2
+            for part in (slice(0, half), slice(half, len(left))):
+                self._block(lo + part.start, left[part], aa[part], slack[part], ids, y, right)
+            return
+        if not len(at):
+            return
+        exact = ((y[other] - self.x[lo + at]) ** 2).sum(axis=1)
+        rows, counts = np.unique(at, return_counts=True)
+        at = np.concatenate([at, np.repeat(rows, k)])
+        dist = np.concatenate([exact, self.dist[lo + rows].ravel()])
+        near = np.concatenate([ids[other], self.near[lo + rows].ravel()])
+        order = np.lexsort((near, dist, at))
+        first = np.cumsum(counts + k) - counts - k
+        best = order[first[:, None] + np.arange(k)]
+        self.dist[lo + rows], self.near[lo + rows] = dist[best], near[best]
+
+    def found(self):
+        some = self.near != NONE
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, self.k)[some.ravel()]), pa.array(self.near[some]), pa.array(self.dist[some])], ["id", "neighbour", "dist2"])
 
 
-def _block_topk(k):
+def _task_topk(k, pairs):
+    """Over rows (task, right, by, cell, id, vec) sorted by the first four: the k nearest right rows of every left row of a task."""
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                lid, rid = np.asarray(row.l_ids), np.asarray(row.r_ids)
-                a = np.stack(row.l_vecs).astype(np.float64)
-                b = np.stack(row.r_vecs).astype(np.float64)
-                rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-                take = min(k, len(rid))
-                limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                slack = 1e-9 * (1.0 + np.abs(limit))
-                out_l, out_r, out_d = [], [], []
-                for i in range(len(lid)):
-                    near = np.flatnonzero(rough[i] <= limit[i] + slack[i])
-                    exact = ((b[near] - a[i]) ** 2).sum(axis=1)
-                    order = np.lexsort((rid[near], exact))[:take]
-                    out_l.append(np.full(len(order), lid[i]))
-                    out_r.append(rid[near][order])
-                    out_d.append(exact[order])
-                yield pd.DataFrame({
-                    "id": np.concatenate(out_l), "neighbour": np.concatenate(out_r),
-                    "dist2": np.concatenate(out_d)})
+        met = pairs.value
+        own, mine, closed = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task, right, by, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ids = batch.column(4).to_numpy(zero_copy_only=False)
+            x = np.asarray(batch.column(5).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            change = np.flatnonzero((np.diff(task) != 0) | np.diff(right.astype(np.int8)) | (np.diff(by) != 0) | (np.diff(cell) != 0)) + 1
+            for lo, hi in zip([0, *change], [*change, batch.num_rows]):
+                if task[lo] != own:
+                    if closed:
+                        yield mine.found()
+                    own, mine, closed = task[lo], _Nearest(k), False
+                key = (int(by[lo]), int(cell[lo]))
+                if not right[lo]:
+                    mine.add(key, ids[lo:hi], x[lo:hi])
+                    continue
+                if not closed:
+                    mine.close()
+                    closed = True
+                for i in met.get(key, ()):
+                    if (key[0], i) in mine.cells:
+                        mine.meet((key[0], i), ids[lo:hi], x[lo:hi])
+        if closed:
+            yield mine.found()
 
     return run
 
@@ -151,14 +246,21 @@ def _search(left, right, k):
     if len(pivots) == 0:
         raise ValueError("the right side of a neighbour join must not be empty")
     a, b = pin(_assign(left, pivots)), pin(_assign(right, pivots))
-    pairs = _cell_pairs(_cells(a), _cells(b), pivots, k)
-    links = left.sparkSession.createDataFrame(pairs, "by int, l_cell int, r_cell int")
-    met = (
-        _blocks(a, "l").join(F.broadcast(links), ["by", "l_cell"])
-        .join(_blocks(b, "r"), ["by", "r_cell"])
-        .repartition("by", "l_cell", "l_block", "r_cell", "r_block")
-        .select("l_ids", "l_vecs", "r_ids", "r_vecs")
-    )
-    found = met.mapInPandas(_block_topk(k), "id long, neighbour long, dist2 double")
+    cells = _cells(a), _cells(b)
+    pairs, groups = _cell_pairs(*cells, pivots, k), [_groups(c) for c in cells]
+    wanted = sorted({(g, h) for by, i, j in pairs for g in groups[0][by, i] for h in groups[1][by, j]})
+    number, tasks, met = {p: t for t, p in enumerate(wanted)}, ({}, {}), {}
+    for by, i, j in pairs:
+        met.setdefault((by, j), []).append(i)
+        for g in groups[0][by, i]:
+            for h in groups[1][by, j]:
+                tasks[0].setdefault((by, i, g), set()).add(number[g, h])
+                tasks[1].setdefault((by, j, h), set()).add(number[g, h])
+    spark = left.sparkSession
+    sides = [_dealt(side, spark, own, {u: sorted(t) for u, t in of.items()}) for side, own, of in zip((a, b), groups, tasks)]
+    both = reduce(DataFrame.unionByName, [s.withColumn("right", F.lit(r)) for s, r in zip(sides, (False, True))])
+    order = ["task", "right", "by", "cell"]
+    dealt = both.select(*order, "id", "vec").repartitionById(max(1, len(wanted)), F.col("task")).sortWithinPartitions(*order)
+    found = dealt.mapInArrow(_task_topk(k, spark.sparkContext.broadcast(met)), "id long, neighbour long, dist2 double")
     w = Window.partitionBy("id").orderBy("dist2", "neighbour")
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

@@ -44,6 +44,35 @@ def test_equals_brute_force(spark, monkeypatch, skip):
         assert [x[1] for x in mine] == pytest.approx([d for d, _ in near], abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_rows_are_sent_a_bounded_number_of_times(spark, monkeypatch, n):
+    monkeypatch.setattr(neighbours, "ROWS_PER_PIVOT", 60)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "GROUPS", 4)
+    sent, dealt = [], neighbours._dealt
+
+    def counted(*args):
+        out = dealt(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_dealt", counted)
+    rows = cloud(5, n, clusters=1, groups=1, dim=12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert neighbours.nearest_neighbours(df, df, 2, True).count() == 2 * n
+    assert len(sent) == 2 and max(sent) <= 7 * n
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 1e6), (1e-12, 0.0), (1e25, 0.0)])
+def test_any_scale_equals_brute_force(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(neighbours, "HITS", 50)
+    rows = [(b, i, [shift + scale * x for x in v]) for b, i, v in cloud(3, 90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, rows, 3, True)
+    for r in neighbours.nearest_neighbours(df, df, 3, True).collect():
+        assert r["neighbour"] == want[r["id"]][r["rank"] - 1][1]
+
+
 def labelled(spark, sizes, dim=4):
     rng = np.random.default_rng(9)
     rows, i = [], 0
