@@ -146,3 +146,41 @@ def test_rows_beyond_the_bound_are_drawn_by_block(spark, monkeypatch):
     monkeypatch.setattr(forests, "TREES_A_BLOCK", 1)
     sizes = [r["rows"][0] for r in forests.grow(df, ["run"], trees=12).select("rows").collect()]
     assert len(set(sizes)) > 3 and all(60 < n < 145 for n in sizes)
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 8])
+def test_drawn_features_give_the_split_of_all_features(k):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[:, 2], x[:, 5] = 1.0, np.round(x[:, 5])  # a constant one, and one that often does not vary in a node
+    rows, y = rng.permutation(400)[:300], rng.integers(0, 5, 400)
+    at = np.sort(rng.integers(0, 40, 300))
+    at = np.unique(at, return_inverse=True)[1]
+    rows = rows[np.lexsort((y[rows], at))]
+    starts, weight = np.searchsorted(at, np.arange(at.max() + 1)), np.array([1, 3, 2, 5, 1.5])
+    hashes = forests.root_hash(3, np.arange(len(starts)))
+    mine = forests._random_split(x, rows, y[rows], starts, at, hashes, weight, k, 2)
+    want = forests._any_split(x[rows], y[rows], starts, at, hashes, weight, k, 2)
+    assert (mine[0] == want[0]).all() and mine[0].any()
+    for a, b in zip(mine[1:], want[1:]):
+        assert (a[mine[0]] == b[mine[0]]).all()
+
+
+def test_bits_keep_the_order_of_values():
+    v = np.array([-np.inf, -3.5, -1e-40, -0.0, 0.0, 1e-40, 2.0, 2.0, np.inf], np.float32)
+    bits = forests._bits(v)
+    assert (np.diff(bits) >= 0).all() and ((np.diff(bits) == 0) == (v[1:] == v[:-1])).all() and bits.min() >= 0 and bits.max() < 1 << 32
+
+
+def test_rows_arrive_where_a_walk_ends():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(500, 6)).astype(np.float32), rng.integers(0, 5, 500)
+    (tree,) = forests.grow_trees(x, y, np.ones(5), forests.root_hash(1, np.arange(1)), 3, 2)
+    feature, threshold, left, right = tree[:4]
+    asked = np.vstack([x, np.full((1, 6), np.nan)]).astype(np.float64)
+    leaves = forests._arrive(asked, *forests._linked(feature, left, right), threshold)
+    for row, leaf in zip(asked, leaves):
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= threshold[at] else right[at]
+        assert at == leaf
