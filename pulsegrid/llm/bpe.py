@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of up to this many bytes are merged together in arrays.
 WIDE = 64
-#: Remembered pieces of a task, and bytes of text handled at once.
-REMEMBERED, BATCH_BYTES = 1_000_000, 4 << 20
+#: Remembered pieces and chunks of a task, and bytes of text handled at once.
+REMEMBERED, BATCH_BYTES = 300_000, 2 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -201,8 +201,8 @@ class Encoder:
 
     A text is cut at its spaces: a chunk that begins and ends with other than white space falls
     into the same pieces wherever it stands, so the ids of a chunk (and their bytes) are
-    remembered. Texts with doubled or outer white space, or with an added token, are cut into
-    pieces as a whole.
+    remembered. Beyond REMEMBERED only the chunks that came back in the last call are kept.
+    Texts with doubled or outer white space, or with an added token, are cut into pieces as a whole.
     """
 
     def __init__(self, m: Merges):
@@ -210,12 +210,18 @@ class Encoder:
         self.outer = regex.compile(r"\A\s|\s\Z|\A\Z").search
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")").split if m.special else None
         self.bytes_of = {str(i): b for i, b in m.token_bytes.items()}
+        self.chunks, self.runs, self.again = {}, _Runs(self.bytes_of), set()
         self.forget()
 
     def forget(self):
         """Remembered: ids of pieces, ids of chunks after a space (None: not safe), bytes of id runs."""
-        self.pieces, self.chunks = {s: str(i) for s, i in self.m.special.items()}, {}
-        self.runs = _Runs(self.bytes_of)
+        self.pieces = {s: str(i) for s, i in self.m.special.items()}
+        self.chunks = {c: self.chunks[c] for c in self.again}
+        kept, self.runs = self.runs, _Runs(self.bytes_of)
+        self.runs.update((r, kept[r]) for r in self.chunks.values() if r in kept)
+
+    def _ids(self, pieces):
+        return [",".join(map(str, ids)) for ids in merge_pieces(self.m, [p.encode() for p in pieces])]
 
     def _whole(self, text):
         if self.split is None or not any(s in text for s in self.m.special):
@@ -234,10 +240,16 @@ class Encoder:
         seen = set()
         for c in cut:
             seen.update(c[1:])
-        new = {c: None if self.outer(c) else self.find(" " + c) for c in seen.difference(chunks)}
+        fresh = seen.difference(chunks)
+        self.again = seen.difference(fresh) if len(seen) < REMEMBERED // 2 else set()
+        # letters alone are one piece
+        plain = [c for c in fresh if c.isascii() and c.isalpha()]
+        chunks.update(zip(plain, self._ids([" " + c for c in plain])))
+        new = {c: None if self.outer(c) else self.find(" " + c) for c in fresh.difference(plain)}
         whole = {}
+        special = tuple(self.m.special)
         for i, c in enumerate(cut):
-            if any(s in texts[i] for s in self.m.special) or "" in c:
+            if "" in c or any([s in texts[i] for s in special]):
                 whole[i] = self._whole(texts[i])
             elif c[0] and self.outer(c[0]):
                 whole[i] = self._whole(texts[i])
@@ -248,26 +260,24 @@ class Encoder:
                 if p:
                     fresh.update(p)
         fresh = list(fresh.difference(pieces))
-        for p, ids in zip(fresh, merge_pieces(self.m, [p.encode() for p in fresh])):
-            pieces[p] = ",".join(map(str, ids))
+        pieces.update(zip(fresh, self._ids(fresh)))
         get = pieces.__getitem__
         for c, found in new.items():
             chunks[c] = None if found is None else ",".join(map(get, found))
-        out = []
+        out, unsafe = [], any(chunks[c] is None for c in seen)
         for i, c in enumerate(cut):
             if i not in whole:
                 run = list(map(chunks.__getitem__, c[1:]))
-                if None in run:
+                if unsafe and None in run:
                     whole[i] = self._whole(texts[i])
                     lost = [p for p in set(whole[i]) if p not in pieces]
-                    for p, ids in zip(lost, merge_pieces(self.m, [p.encode() for p in lost])):
-                        pieces[p] = ",".join(map(str, ids))
+                    pieces.update(zip(lost, self._ids(lost)))
             out.append(list(map(get, whole[i] if i in whole else heads[i])) + ([] if i in whole else run))
         return out
 
     def decode(self, runs: list) -> str:
         """Text of id runs: the bytes of their ids in order, as UTF-8."""
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > 2 * REMEMBERED:
             self.runs.clear()
         return b"".join(map(self.runs.__getitem__, runs)).decode("utf-8", "replace")
 

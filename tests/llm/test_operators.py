@@ -368,3 +368,17 @@ def test_pipeline(spark, texts):
     assert got == want
     for _, ids in got[:20]:
         assert "@mail" not in lib.decode(ids)
+
+
+def test_bpe_keeps_what_comes_back(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    rng = random.Random(3)
+    enc, whole = bpe.Encoder(bpe.Merges(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    for turn in range(20):
+        texts = [f"the cat's  {rng.random()} of\nit", f"and the cat sat {rng.randrange(10 ** 9)} x{rng.randrange(10 ** 6)} é\t", ""]
+        for t, runs in zip(texts, enc.encode(texts)):
+            assert ",".join(r for r in runs) == ",".join(map(str, whole.encode(t, add_special_tokens=False).ids))
+            assert enc.decode(runs) == t
+        if turn:
+            assert "cat" in enc.again
+    assert "cat" in enc.chunks and len(enc.chunks) + len(enc.pieces) < 120
