@@ -97,13 +97,14 @@ def _lerp_rows(x: np.ndarray, points: int) -> np.ndarray:
 
 
 def resample_batch(points: int):
-    """Arrow-batched linear resampling, for long windows."""
+    """Arrow-batched linear resampling, for long windows; null stays null."""
 
     @F.pandas_udf("array<double>")
     def run(vec: pd.Series) -> pd.Series:
         out = np.empty(len(vec), dtype=object)
-        for at, x in _by_length(vec):
-            for i, row in zip(at, _lerp_rows(x, points)):
+        given = np.flatnonzero(vec.notna())
+        for at, x in _by_length(vec.iloc[given]):
+            for i, row in zip(given[at], _lerp_rows(x, points)):
                 out[i] = row
         return pd.Series(out)
 

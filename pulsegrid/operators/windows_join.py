@@ -65,10 +65,10 @@ def pair_leads(cut: DataFrame, key="beat_id") -> DataFrame:
 def beat_windows(ann, signals, chunk_len, pre=None, post=None, points=None, key="beat_id"):
     """Annotations inside their recording with windows ``b0``/``b1``, resampled to ``points``."""
     bounds = window_bounds(ann, record_lengths(signals), pre, post).where("inside")
-    cut = interval_join(bounds, signals, chunk_len, key)
-    if points:
-        cut = cut.withColumn("samples", resample_batch(points)("samples"))
-    return bounds.join(pair_leads(cut, key), key)
+    out = bounds.join(pair_leads(interval_join(bounds, signals, chunk_len, key), key), key)
+    if points:  # last, so that the windows move at their own rate
+        out = out.withColumns({b: resample_batch(points)(b) for b in ("b0", "b1")})
+    return out
 
 
 def record_zscore(signals: DataFrame, eps=1e-8) -> DataFrame:

@@ -94,3 +94,26 @@ def test_lead_choice(spark, names, want):
     df = spark.createDataFrame([("r", i, n) for i, n in enumerate(names)], "record string, pos int, name string")
     r = recordings.choose_leads(df).first()
     assert (r["lead0"], r["lead1"]) == want
+
+
+def test_resampled_windows_of_one_lead(spark):
+    wave = [float(i % 7) for i in range(64)]
+    sig = spark.createDataFrame([(1, 32.0, 0, 0, wave, 0), (2, 32.0, 0, 0, wave, 1), (3, 32.0, 0, 0, wave, 0), (3, 32.0, 0, 0, wave[::-1], 1)],
+                                "record long, fs double, chunk long, start_idx long, values array<double>, lead int")
+    ann = spark.createDataFrame([(1, 10, 30), (2, 20, 30), (3, 30, 30)], "record long, beat_id long, sample long")
+    raw = {r["beat_id"]: r for r in windows_join.beat_windows(ann, sig, 64).collect()}
+    got = {r["beat_id"]: r for r in windows_join.beat_windows(ann, sig, 64, points=50).collect()}
+    assert set(got) == {10, 20, 30} and got[20]["b0"] is None
+    for i, r in got.items():
+        for b in ("b0", "b1"):
+            v = raw[i][b]
+            assert (r[b] is None) == (v is None)
+            if v is not None:
+                assert r[b] == pytest.approx(np.interp(np.linspace(0, len(v) - 1, 50), np.arange(len(v)), v))
+
+
+def test_windows_are_resampled_after_their_joins(spark):
+    sig = spark.createDataFrame([], "record long, fs double, chunk long, start_idx long, values array<double>, lead int")
+    ann = spark.createDataFrame([], "record long, beat_id long, sample long")
+    plan = windows_join.beat_windows(ann, sig, 64, points=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join")
