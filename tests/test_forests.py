@@ -184,3 +184,27 @@ def test_rows_arrive_where_a_walk_ends():
         while feature[at] >= 0:
             at = left[at] if row[feature[at]] <= threshold[at] else right[at]
         assert at == leaf
+
+
+def test_every_block_has_a_task_of_its_own(spark):
+    df = spark.createDataFrame(rows_of(40, 4, runs=3), SCHEMA)
+    grown = forests.grow(df, ["run"], trees=16 * 8).withColumn("task", F.spark_partition_id())
+    at = {(r["run"], r["block"], r["task"]) for r in grown.select("run", "block", "task").distinct().collect()}
+    assert len(at) == 24 and len({t for *_, t in at}) == 24
+
+
+def test_best_splits_read_only_the_drawn_features(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 12)).astype(np.float32), rng.integers(0, 5, 300)
+    x[:, 3], x[150:] = 1.0, x[:150]
+    x[5, 4], x[9, 7] = np.nan, -0.0
+    roots = forests.root_hash(5, np.arange(4))
+    times = rng.integers(0, 3, (4, 300))
+    weight = np.array([1.0, 3.0, 1.5, 12.0, 1.0])
+    seen, slow = [], forests._best_split
+    monkeypatch.setattr(forests, "_best_split", lambda x, *rest: seen.append(len(x)) or slow(x, *rest))
+    mine = forests.grow_trees(x, y, weight, roots, 3, 1, times=times)
+    assert sum(seen) < 0.8 * sum(int(n[4][n[0] >= 0].sum()) for n in mine)
+    monkeypatch.setattr(forests, "_drawn_best_split", lambda ranks, x, rows, y, starts, at, hashes, w, k, least, times: slow(x[rows], y, starts, at, hashes, w, k, least, times))
+    for a, b in zip(mine, forests.grow_trees(x, y, weight, roots, 3, 1, times=times)):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b))

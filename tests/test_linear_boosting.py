@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.plans import boosting, linear
+from pulsegrid.plans import boosting, linear, models
+from pulsegrid.session import spread, unioned_lists
 
 SCHEMA = "run int, seed int, beat_id long, y int, features array<double>"
 
@@ -127,3 +128,22 @@ def test_split_and_subtraction_against_all_cuts():
         mine = at == leaf
         assert mine.sum() >= boosting.MIN_ROWS
         assert value[leaf] == pytest.approx(-boosting.RATE * g[mine].sum() / (h[mine].sum() + boosting.PENALTY))
+
+
+def test_no_null_lists_meet_the_models(spark, runs):
+    model = spark.createDataFrame([(0, [1.0], ["a"], "t")], "run int, cut array<double>, names array<string>, text string")
+    both = unioned_lists(model, runs.select("run", "beat_id"))
+    lists = both.where("beat_id is not null").select("cut", "names", "text").distinct().collect()
+    assert [tuple(r) for r in lists] == [([], [], None)] and both.count() == 461
+
+
+def test_perceptron_rows_are_dealt_by_their_number(spark, runs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "spread", lambda df, *columns: seen.append(spread(df, *columns, rows=50)) or seen[-1])
+    one = runs.where("run = 0").coalesce(1)
+    got = models.fit_predict("perceptron", one, one, ["run", "seed"], size=0.02)
+    assert [df.rdd.getNumPartitions() for df in seen] == [3] and got.count() == 150
+    assert all(sum(r.p) == pytest.approx(1) for r in got.collect())
+    again = models.fit_predict("perceptron", one.repartition(4), one, ["run", "seed"], size=0.02)
+    assert {r.beat_id: r.p for r in again.collect()} == {r.beat_id: r.p for r in got.collect()}
+    assert spread(one, "beat_id").rdd.getNumPartitions() == 1  # few rows stay as they are
