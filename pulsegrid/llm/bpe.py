@@ -173,8 +173,8 @@ def _merge_one(m: Merges, piece: bytes) -> list:
 def merge_pieces(m: Merges, pieces: list) -> list:
     """Ids of each piece (bytes), in order."""
     out, by_width = [None] * len(pieces), {}
-    for i, p in enumerate(pieces):
-        by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()) if len(p) > 1 else 2, []).append(i)
+    for i, n in enumerate(map(len, pieces)):
+        by_width.setdefault(1 << max(1, (n - 1).bit_length()), []).append(i)
     for width, index in by_width.items():
         if width > WIDE:
             for i in index:
@@ -185,43 +185,34 @@ def merge_pieces(m: Merges, pieces: list) -> list:
     return out
 
 
-class _Runs(dict):
-    """Bytes of runs of ids, worked out at first sight."""
-
-    def __init__(self, bytes_of):
-        self.bytes_of = bytes_of
-
-    def __missing__(self, run):
-        self[run] = out = b"".join(map(self.bytes_of.__getitem__, run.split(","))) if run else b""
-        return out
-
-
 class Encoder:
     """Text to runs of decimal ids joined by commas, and back.
 
     A text is cut at its spaces: a chunk that begins and ends with other than white space falls
-    into the same pieces wherever it stands, so the ids of a chunk (and their bytes) are
-    remembered. Beyond REMEMBERED only the chunks that came back in the last call are kept.
+    into the same pieces wherever it stands, so the ids of a chunk are remembered. Beyond REMEMBERED only the chunks that came back in the last call are kept.
     Texts with doubled or outer white space, or with an added token, are cut into pieces as a whole.
     """
 
     def __init__(self, m: Merges):
         self.m, self.find = m, regex.compile(PIECES).findall
-        self.outer = regex.compile(r"\A\s|\s\Z|\A\Z").search
+        self.name = {i: str(i) for i in m.token_bytes}.__getitem__
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(m.special, key=len, reverse=True)) + ")").split if m.special else None
-        self.bytes_of = {str(i): b for i, b in m.token_bytes.items()}
-        self.chunks, self.runs, self.again = {}, _Runs(self.bytes_of), set()
+        self.bytes_of = {str(i): b for i, b in m.token_bytes.items()}.__getitem__
+        self.chunks, self.again = {}, set()
         self.forget()
 
     def forget(self):
-        """Remembered: ids of pieces, ids of chunks after a space (None: not safe), bytes of id runs."""
+        """Remembered: ids of pieces, ids of chunks after a space (None: not safe)."""
         self.pieces = {s: str(i) for s, i in self.m.special.items()}
         self.chunks = {c: self.chunks[c] for c in self.again}
-        kept, self.runs = self.runs, _Runs(self.bytes_of)
-        self.runs.update((r, kept[r]) for r in self.chunks.values() if r in kept)
 
     def _ids(self, pieces):
-        return [",".join(map(str, ids)) for ids in merge_pieces(self.m, [p.encode() for p in pieces])]
+        return [",".join(map(self.name, ids)) for ids in merge_pieces(self.m, [p.encode() for p in pieces])]
+
+    @staticmethod
+    def _outer(text):
+        """Empty, or with outer white space."""
+        return not text or text[0].isspace() or text[-1].isspace()
 
     def _whole(self, text):
         if self.split is None or not any(s in text for s in self.m.special):
@@ -245,13 +236,13 @@ class Encoder:
         # letters alone are one piece
         plain = [c for c in fresh if c.isascii() and c.isalpha()]
         chunks.update(zip(plain, self._ids([" " + c for c in plain])))
-        new = {c: None if self.outer(c) else self.find(" " + c) for c in fresh.difference(plain)}
+        new = {c: None if self._outer(c) else self.find(" " + c) for c in fresh.difference(plain)}
         whole = {}
         special = tuple(self.m.special)
         for i, c in enumerate(cut):
             if "" in c or any([s in texts[i] for s in special]):
                 whole[i] = self._whole(texts[i])
-            elif c[0] and self.outer(c[0]):
+            elif c[0] and self._outer(c[0]):
                 whole[i] = self._whole(texts[i])
         heads = [self.find(c[0]) if i not in whole else [] for i, c in enumerate(cut)]
         fresh = set()
@@ -277,9 +268,8 @@ class Encoder:
 
     def decode(self, runs: list) -> str:
         """Text of id runs: the bytes of their ids in order, as UTF-8."""
-        if len(self.runs) > 2 * REMEMBERED:
-            self.runs.clear()
-        return b"".join(map(self.runs.__getitem__, runs)).decode("utf-8", "replace")
+        ids = ",".join(runs)
+        return b"".join(map(self.bytes_of, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
 def _text_batches(column):
@@ -320,7 +310,7 @@ def with_ids(docs: DataFrame, path: str, text="text", ids=False) -> DataFrame:
                     t = ",".join(runs)
                     n.append(t.count(",") + 1 if t else 0)
                     digest.append(sha(t))
-                    decoded.append(sha(enc.decode(runs)))
+                    decoded.append(sha(enc.decode([t])))
                     if ids:
                         listed.append(np.array(t.split(",") if t else [], np.int32))
             cols = [b.column(i) for i in range(len(kept))] + [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]

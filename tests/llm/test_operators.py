@@ -382,3 +382,15 @@ def test_bpe_keeps_what_comes_back(monkeypatch):
         if turn:
             assert "cat" in enc.again
     assert "cat" in enc.chunks and len(enc.chunks) + len(enc.pieces) < 120
+
+
+def test_encoder_remembers_no_run_twice(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    enc = bpe.Encoder(bpe.Merges(VOCABULARY))
+    for i in range(12):
+        texts = [f"odd{i}x{j} word{i * j}. \x1cedge\x1c and\u00a0more" for j in range(20)]
+        for t, runs in zip(texts, enc.encode(texts)):
+            assert enc.decode(runs) == enc.decode([",".join(runs)]) == t
+    kept = [v for v in vars(enc).values() if isinstance(v, dict)]
+    assert len(kept) == 2 and sum(map(len, kept)) < 60 + 20 * 12
+    assert enc.decode([]) == ""
