@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.plans import forests
+from pulsegrid.plans import forests, models
 
 SCHEMA = "run int, seed int, beat_id long, y int, weight double, features array<float>"
 
@@ -208,3 +208,63 @@ def test_best_splits_read_only_the_drawn_features(monkeypatch):
     monkeypatch.setattr(forests, "_drawn_best_split", lambda ranks, x, rows, y, starts, at, hashes, w, k, least, times: slow(x[rows], y, starts, at, hashes, w, k, least, times))
     for a, b in zip(mine, forests.grow_trees(x, y, weight, roots, 3, 1, times=times)):
         assert all(np.array_equal(u, v) for u, v in zip(a, b))
+
+
+def scores_of(df, **kw):
+    scored = forests.grow(df, ["run"], weight="weight", target=df.select("run", "beat_id", "features"), **kw)
+    return {(r["run"], r["beat_id"]): r["p"] for r in scored.collect()}
+
+
+@pytest.mark.parametrize("splits", ["random", "best"])
+def test_forests_that_score_see_every_row(spark, monkeypatch, splits):
+    df = spark.createDataFrame(rows_of(400, 6, runs=2), SCHEMA).repartition(3)
+    kw = {"trees": 36, "splits": splits, "min_leaf": 1}
+    table = forests.grow(df, ["run"], weight="weight", **kw)
+    want = {(r["run"], r["beat_id"]): r["p"] for r in forests.score(table, df.select("run", "beat_id", "features"), ["run"], "beat_id").collect()}
+    monkeypatch.setattr(forests, "FIT_ROWS", 100)
+    got = scores_of(df, **kw)
+    monkeypatch.setattr(forests, "TASKS_A_CORE", 1000)
+    split = scores_of(df, **kw)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12) and split[k] == pytest.approx(want[k], abs=1e-12)
+    name = {"random": "extra_trees", "best": "random_forest"}[splits]
+    part = df.where("run = 0")
+    few = {r.beat_id: r.p for r in models.fit_predict(name, part, part, ["run", "seed"], size=0.04).collect()}
+    monkeypatch.undo()
+    all_ = {r.beat_id: r.p for r in models.fit_predict(name, part, part, ["run", "seed"], size=0.04).collect()}
+    assert all(few[k] == pytest.approx(all_[k]) for k in all_)
+
+
+def test_rows_are_written_once_for_runs_that_are_alike(spark, monkeypatch):
+    one = spark.createDataFrame(rows_of(150, 6), SCHEMA)
+    both = one.withColumn("mode", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("weight", F.when(F.col("mode") == "b", 1.0).otherwise(F.col("weight")))
+    seen, pinned = [], forests.pin
+    monkeypatch.setattr(forests, "pin", lambda df: seen.append(df.count()) or pinned(df))
+    got = {}
+    for alike in (None, ["run"]):
+        scored = forests.grow(both, ["run", "mode"], weight="weight", trees=20, target=both.select("run", "mode", "beat_id", "features"), alike=alike)
+        got[str(alike)] = {(r["mode"], r["beat_id"]): r["p"] for r in scored.collect()}
+    assert seen == [600, 300] and got["None"]["a", 3] != got["None"]["b", 3]
+    assert all(p == pytest.approx(got["['run']"][k]) for k, p in got["None"].items())
+
+
+@pytest.mark.parametrize("times", [False, True])
+def test_trees_of_many_rows_equal_those_in_one_piece(monkeypatch, times):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(500, 12)).astype(np.float32), rng.integers(0, 5, 500)
+    x[:, 3], x[:, 6], x[250:] = 1.0, np.round(x[:, 6]), x[:250]
+    counts = rng.integers(0, 3, (3, 500)) if times else None
+    args = (x, y, np.array([1.0, 3.0, 1.5, 12.0, 1.0]), forests.root_hash(5, np.arange(3)), 4, 1, None, counts)
+    want = forests.grow_trees(*args)
+    monkeypatch.setattr(forests, "CELLS", 64)
+    monkeypatch.setattr(forests, "PLACE_BITS", 6)
+    monkeypatch.setattr(forests, "IN_MEMORY", 10)
+    for a, b in zip(forests.grow_trees(*args), want):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b))
+
+
+def test_draws_of_rows_with_several_ids_differ(spark):
+    """A bootstrap by the first id alone counts all rows of a dataset alike."""
+    df = spark.createDataFrame(rows_of(200, 4), SCHEMA).withColumn("dataset", F.lit("A"))
+    trees = forests.grow(df, ["run"], ["dataset", "beat_id", "absent"], trees=8, splits="best", min_leaf=1)
+    assert all(100 < r["rows"][0] < 300 and r["rows"][0] % 200 for r in trees.select("rows").collect())
