@@ -147,3 +147,24 @@ def test_perceptron_rows_are_dealt_by_their_number(spark, runs, monkeypatch):
     again = models.fit_predict("perceptron", one.repartition(4), one, ["run", "seed"], size=0.02)
     assert {r.beat_id: r.p for r in again.collect()} == {r.beat_id: r.p for r in got.collect()}
     assert spread(one, "beat_id").rdd.getNumPartitions() == 1  # few rows stay as they are
+
+
+def test_boosting_sees_every_row(spark, runs, monkeypatch):
+    want = {r["run"]: r["value"] for r in boosting.grow(runs, ["run"], size=0.02).collect()}
+    monkeypatch.setattr(boosting, "FIT_ROWS", 50, raising=False)
+    assert {r["run"]: r["value"] for r in boosting.grow(runs, ["run"], size=0.02).collect()} == want
+
+
+def test_held_out_rows_are_drawn_by_all_ids(spark, runs):
+    """By the first id alone, all rows of a dataset or none of them are held out, and the loss on them is not watched."""
+    losses = boosting.grow(runs.withColumn("dataset", F.lit("A")), ["run"], ["dataset", "beat_id"], size=0.02).select("losses").collect()
+    assert all(after > 0 for r in losses for _, after in r["losses"])
+
+
+def test_histogram_by_feature_equals_the_one_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, g, h = rng.normal(size=(300, 5)), rng.normal(size=300), rng.uniform(0.05, 0.25, 300)
+    codes = boosting.codes_of(x, boosting.edges_of(x))
+    want = boosting.grow_tree(codes, g, h, 255)
+    monkeypatch.setattr(boosting, "CELLS", 10)
+    assert all((a == b).all() for a, b in zip(boosting.grow_tree(codes, g, h, 255), want))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import rebalance, reshape, splits, summary
 from pulsegrid.operators.ranking import take_lowest
-from pulsegrid.plans import runs
+from pulsegrid.plans import boosting, forests, runs
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +140,13 @@ def test_bucketed_probabilities_meet_without_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         for t in ("kept_backbone", "kept_evidence"):
             spark.sql(f"drop table if exists {t}")
+
+
+def test_baselines_of_one_dataset_are_fitted_beyond_the_old_bounds(spark, monkeypatch):
+    """The first id column is the dataset: drawn by it, all rows of a run or none were fitted, and runs without rows divided by zero."""
+    monkeypatch.setattr(forests, "FIT_ROWS", 10)
+    monkeypatch.setattr(boosting, "FIT_ROWS", 10, raising=False)
+    rows = spark.createDataFrame([("ABC"[i % 3], i, i % 5, [float(i % 5), float(i % 7)]) for i in range(600)], "dataset string, beat_id long, y int, features array<double>")
+    for name in ("boosting", "random_forest", "extra_trees"):
+        got = runs.baseline_evaluation(rows.where("dataset = 'A'"), rows.where("dataset <> 'A'"), [name], [303, 1303], size=0.05).collect()
+        assert len(got) == 4 and all(r["accuracy"] > 0.9 for r in got), name
