@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions.waveform import resample_batch
 from pulsegrid.schema import BASE_RATE, POST_SAMPLES, PRE_SAMPLES
+from pulsegrid.session import pin, small_side
 
 PRE_SECONDS = PRE_SAMPLES / BASE_RATE
 POST_SECONDS = POST_SAMPLES / BASE_RATE
@@ -62,10 +63,39 @@ def pair_leads(cut: DataFrame, key="beat_id") -> DataFrame:
     return wide.select(key, "b0", F.coalesce("_b1", "b0").alias("b1"))
 
 
+def both_leads(signals: DataFrame) -> DataFrame:
+    """One row per (record, chunk): ``_leads``, its (lead, start_idx, values)."""
+    return signals.groupBy("record", "chunk").agg(F.collect_list(F.struct("lead", "start_idx", "values")).alias("_leads"))
+
+
+def _cut(lead):
+    """Samples lo <= index < hi of a lead in ``_leads``; null without that lead."""
+    def part(e):
+        a, b = F.greatest(F.col("lo"), e["start_idx"]), F.least(F.col("hi"), e["start_idx"] + F.size(e["values"]))
+        return F.slice(e["values"], (a - e["start_idx"] + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    mine = F.filter("_leads", lambda e: e["lead"] == lead)
+    return F.when(F.size(mine) > 0, F.flatten(F.sort_array(F.transform(mine, part))))
+
+
 def beat_windows(ann, signals, chunk_len, pre=None, post=None, points=None, key="beat_id"):
-    """Annotations inside their recording with windows ``b0``/``b1``, resampled to ``points``."""
+    """Annotations inside their recording with windows ``b0``/``b1``, resampled to ``points``.
+
+    A window within one chunk is cut where the annotation meets both leads of that chunk, and is not moved again. Only windows across chunks
+    are put together by ``key``, and those of a key that comes more than once, whose pieces are joined as one.
+    """
     bounds = window_bounds(ann, record_lengths(signals), pre, post).where("inside")
-    out = bounds.join(pair_leads(interval_join(bounds, signals, chunk_len, key), key), key)
+    leads = both_leads(signals)
+    columns = [key, *(c for c in bounds.columns if c != key), "b0", "b1"]
+    repeated = pin(ann.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(True).alias("_repeated")))
+    first = F.floor(F.col("lo") / chunk_len)
+    marked = bounds.where(F.col(key).isNotNull()).join(small_side(repeated), key, "left").withColumn(
+        "_alone", F.col("_repeated").isNull() & (first == F.floor((F.col("hi") - 1) / chunk_len)))
+    alone = marked.where("_alone").withColumn("chunk", first).join(leads, ["record", "chunk"])
+    # a generator, so that the chunks end here: Spark would pull the cuts up into the Python resampling and queue whole chunks there
+    alone = alone.select(*columns[:-2], F.inline(F.array(F.struct(_cut(0).alias("b0"), F.coalesce(_cut(1), _cut(0)).alias("b1")))))
+    rest = marked.where("not _alone").select(*bounds.columns)
+    parts = interval_join(rest, leads.select("record", "chunk", F.inline("_leads")), chunk_len, key)
+    out = alone.unionByName(rest.join(pair_leads(parts, key), key).select(*columns))
     if points:  # last, so that the windows move at their own rate
         out = out.withColumns({b: resample_batch(points)(b) for b in ("b0", "b1")})
     return out

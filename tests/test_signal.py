@@ -117,3 +117,27 @@ def test_windows_are_resampled_after_their_joins(spark):
     ann = spark.createDataFrame([], "record long, beat_id long, sample long")
     plan = windows_join.beat_windows(ann, sig, 64, points=50)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Join")
+
+
+def test_windows_within_a_chunk_are_cut_where_they_meet_it(spark, monkeypatch):
+    x, z = np.arange(1000.0), -np.arange(1000.0)
+    sig = chunked(spark, "a", x, 100, 100.0).unionByName(chunked(spark, "a", z, 100, 100.0, 1, "V1")).unionByName(chunked(spark, "b", x[:300], 100, 100.0, 1, "V1"))
+    rows = [(i, "ab"[i % 2], 26 + 7 * i) for i in range(60)] + [(4, "a", 326), (None, "a", 330), (70, "a", 526), (70, "a", 526), (71, "c", 40), (72, None, 40)]
+    ann = spark.createDataFrame(rows, "beat_id long, record string, sample long")
+    bounds = windows_join.window_bounds(ann, windows_join.record_lengths(sig)).where("inside")
+    pieces = windows_join.pair_leads(windows_join.interval_join(bounds, sig, 100))
+    want = sorted(map(str, bounds.join(pieces, "beat_id").collect()))
+    asked, whole = [], windows_join.interval_join
+    monkeypatch.setattr(windows_join, "interval_join", lambda windows, *a: asked.append(windows) or whole(windows, *a))
+    got = windows_join.beat_windows(ann, sig, 100)
+    assert sorted(map(str, got.collect())) == want and len(want) > 40
+    moved = {(r["beat_id"], r["lo"] // 100 != (r["hi"] - 1) // 100) for r in asked[0].collect()}
+    assert {(4, False), (70, False)} <= moved and {k for k, across in moved if not across} == {4, 70}
+    assert len(moved) < len({r["beat_id"] for r in got.collect()})
+
+
+def test_whole_chunks_do_not_reach_the_resampling(spark):
+    sig = spark.createDataFrame([], "record long, fs double, chunk long, start_idx long, values array<double>, lead int")
+    ann = spark.createDataFrame([], "record long, beat_id long, sample long")
+    lines = windows_join.beat_windows(ann, sig, 64, points=50)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("_leads" in line for line in lines if "ArrowEvalPython" in line)
